@@ -381,3 +381,242 @@ WHERE rn = 1""")
 def q_first_per_key(spark, root):
     d = t(spark, root, "documents").select("source", "doc_id", "lang", "n_chars")
     return R.first_per_key(d, "source", "doc_id").select("source", "doc_id", "lang", "n_chars")
+
+
+# ---------------------------------------------------------------------------
+# Aggregates, split and metrics over labels (truth = quality) with two
+# predictions: a keyword-count rule and the toxic flag.
+# ---------------------------------------------------------------------------
+def _quality(c):
+    return F.when(c == 1, F.lit("good")).otherwise(F.lit("poor"))
+
+
+def scored(spark, root) -> DataFrame:
+    """labels ⋈ documents with truth, rule prediction and toxic prediction."""
+    docs = t(spark, root, "documents").select("doc_id", "text")
+    f = KW.keyword_features(docs, "text", DOC_DICT, DOC_THRESHOLDS)
+    total = F.col("alpha_keyword_count") + F.col("beta_keyword_count") + F.col("gamma_keyword_count")
+    lab = t(spark, root, "labels")
+    return lab.join(f.select("doc_id", total.alias("hits")), "doc_id", "inner").select(
+        "doc_id", _quality(F.col("quality")).alias("truth"),
+        F.when(F.col("hits") >= 40, "good").otherwise("poor").alias("pred_rule"),
+        F.when(F.col("toxic") == 0, "good").otherwise("poor").alias("pred_toxic"))
+
+
+SQL_SCORED = f"""
+f AS (SELECT doc_id, {Q.hits("lower(coalesce(text, ''))", [k for v in DOC_DICT.values() for k in v])} AS hits FROM documents),
+sc AS (SELECT l.doc_id, CASE WHEN l.quality = 1 THEN 'good' ELSE 'poor' END AS truth,
+  CASE WHEN f.hits >= 40 THEN 'good' ELSE 'poor' END AS pred_rule,
+  CASE WHEN l.toxic = 0 THEN 'good' ELSE 'poor' END AS pred_toxic
+  FROM labels l JOIN f ON f.doc_id = l.doc_id)"""
+
+SQL_RANKED = """
+hsh AS (SELECT *, md5(CAST(doc_id AS VARCHAR) || ':42') AS h FROM sc),
+rk AS (SELECT *, row_number() OVER (PARTITION BY truth ORDER BY h, doc_id) AS class_rank FROM hsh),
+cnt AS (SELECT truth, count(*) AS n_c FROM sc GROUP BY truth),
+tot AS (SELECT sum(n_c) AS n, ceil(0.2 * sum(n_c)) AS n_test FROM cnt),
+cont AS (SELECT truth, n_c, n_test * n_c / n AS c, floor(n_test * n_c / n) AS fl, n_test FROM cnt, tot),
+rem AS (SELECT *, round(c - fl, 9) AS r, n_test - sum(fl) OVER () AS lft FROM cont),
+quota AS (SELECT truth, n_c, CAST(fl + CASE WHEN row_number() OVER (ORDER BY r DESC, truth) <= lft THEN 1 ELSE 0 END AS BIGINT) AS n_test FROM rem),
+spl AS (SELECT rk.*, CASE WHEN class_rank <= quota.n_test THEN 'test' ELSE 'train' END AS split FROM rk JOIN quota USING (truth)),
+trn AS (SELECT * FROM spl WHERE split = 'train'),
+tr2 AS (SELECT *, row_number() OVER (PARTITION BY truth ORDER BY h, doc_id) AS r2 FROM trn),
+tcnt AS (SELECT truth, count(*) AS n FROM trn GROUP BY truth),
+toff AS (SELECT truth, coalesce(sum(n) OVER (ORDER BY truth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM tcnt),
+folds AS (SELECT tr2.*, CAST((r2 - 1 + off) % 5 AS INTEGER) AS fold FROM tr2 JOIN toff USING (truth))"""
+
+
+def split_rows(spark, root) -> DataFrame:
+    return SP.stratified_split(scored(spark, root), "truth", "doc_id")
+
+
+def fold_rows(spark, root) -> DataFrame:
+    return SP.stratified_folds(split_rows(spark, root).filter(F.col("split") == "train"), "truth", "doc_id")
+
+
+@register("label_distribution", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def q_label_distribution(spark, root):
+    return t(spark, root, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("index_count", """
+SELECT count(*) AS n, min(len(embedding)) AS min_dims, max(len(embedding)) AS max_dims FROM embeddings""")
+def q_index_count(spark, root):
+    e = t(spark, root, "embeddings")
+    return e.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).cast("long").alias("min_dims"),
+                 F.max(F.size("embedding")).cast("long").alias("max_dims"))
+
+
+@register("class_weights", """
+SELECT quality, count(*) AS n_c, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 9) AS weight
+FROM labels GROUP BY quality""")
+def q_class_weights(spark, root):
+    w = SP.class_weights(t(spark, root, "labels"), "quality")
+    return w.select("quality", "n_c", F.round("weight", 9).alias("weight"))
+
+
+@register("class_weight_lookup", """
+WITH w AS (SELECT quality, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight FROM labels GROUP BY quality)
+SELECT l.doc_id, l.quality, round(w.weight, 9) AS weight FROM labels l JOIN w USING (quality)""")
+def q_class_weight_lookup(spark, root):
+    lab = SP.with_class_weights(t(spark, root, "labels").select("doc_id", "quality"), "quality")
+    return lab.select("doc_id", "quality", F.round("weight", 9).alias("weight"))
+
+
+@register("distinct_labels", "SELECT array_to_string(list_sort(list_distinct(list(lang))), ',') AS labels FROM documents")
+def q_distinct_labels(spark, root):
+    d = t(spark, root, "documents")
+    return d.agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("labels"))
+
+
+@register("null_check", """
+SELECT max(CASE WHEN doc_id IS NULL OR text IS NULL OR lang IS NULL OR source IS NULL OR n_chars IS NULL
+                THEN 1 ELSE 0 END) > 0 AS has_nulls, count(*) AS n FROM documents""")
+def q_null_check(spark, root):
+    d = t(spark, root, "documents")
+    anyn = F.greatest(*[F.col(c).isNull().cast("int") for c in d.columns])
+    return d.agg((F.max(anyn) > 0).alias("has_nulls"), F.count(F.lit(1)).alias("n"))
+
+
+@register("stratified_split", f"WITH {SQL_SCORED}, {SQL_RANKED} SELECT doc_id, truth, class_rank, split FROM spl")
+def q_stratified_split(spark, root):
+    return split_rows(spark, root).select("doc_id", "truth", "class_rank", "split")
+
+
+@register("split_quotas", f"WITH {SQL_SCORED}, {SQL_RANKED} SELECT truth, n_c, n_test FROM quota")
+def q_split_quotas(spark, root):
+    return SP.class_quotas(scored(spark, root), "truth")
+
+
+@register("stratified_folds", f"WITH {SQL_SCORED}, {SQL_RANKED} SELECT doc_id, truth, fold FROM folds")
+def q_stratified_folds(spark, root):
+    return fold_rows(spark, root).select("doc_id", "truth", "fold")
+
+
+@register("accuracy", f"""
+WITH {SQL_SCORED} SELECT avg(CASE WHEN truth = pred_rule THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n FROM sc""")
+def q_accuracy(spark, root):
+    return M.accuracy(scored(spark, root), "truth", "pred_rule")
+
+
+def _sql_per_class(src: str, pred: str, labels=None) -> str:
+    lab = ("(SELECT truth AS label FROM " + src + " UNION SELECT " + pred + " FROM " + src + ")"
+           if labels is None else "(SELECT unnest([" + ", ".join(Q.q(x) for x in labels) + "]) AS label)")
+    return f"""(SELECT lab.label,
+  coalesce(CASE WHEN np > 0 THEN tp / np END, 0.0) AS precision,
+  coalesce(CASE WHEN sup > 0 THEN tp / sup END, 0.0) AS recall,
+  coalesce(CASE WHEN sup + np > 0 THEN 2.0 * tp / (sup + np) END, 0.0) AS f1,
+  CAST(coalesce(sup, 0) AS BIGINT) AS support, CAST(coalesce(np, 0) AS BIGINT) AS predicted
+FROM {lab} lab
+LEFT JOIN (SELECT truth AS label, count(*) AS sup, sum(CASE WHEN truth = {pred} THEN 1 ELSE 0 END) AS tp
+           FROM {src} GROUP BY truth) t ON t.label = lab.label
+LEFT JOIN (SELECT {pred} AS label, count(*) AS np FROM {src} GROUP BY {pred}) p ON p.label = lab.label)"""
+
+
+def _rounded_report(df):
+    return df.select("label", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support", "predicted")
+
+
+@register("per_class_report", f"""
+WITH {SQL_SCORED}
+SELECT label, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1, support, predicted
+FROM {_sql_per_class('sc', 'pred_rule')} x""")
+def q_per_class_report(spark, root):
+    return _rounded_report(M.per_class(scored(spark, root), "truth", "pred_rule"))
+
+
+QUALITY_FIXED = QUALITY_LABELS + ["unknown"]
+
+
+@register("macro_f1", f"""
+WITH {SQL_SCORED}
+SELECT round(avg(f1), 9) AS f1_macro FROM {_sql_per_class('sc', 'pred_rule', QUALITY_FIXED)} x""")
+def q_macro_f1(spark, root):
+    return M.macro_f1(scored(spark, root), "truth", "pred_rule", QUALITY_FIXED) \
+        .select(F.round("f1_macro", 9).alias("f1_macro"))
+
+
+@register("fold_metrics", f"""
+WITH {SQL_SCORED}, {SQL_RANKED},
+lab AS (SELECT unnest({'[' + ', '.join(Q.q(x) for x in QUALITY_FIXED) + ']'}) AS label),
+fl AS (SELECT DISTINCT fold FROM folds),
+sup AS (SELECT fold, truth AS label, count(*) AS sup, sum(CASE WHEN truth = pred_rule THEN 1 ELSE 0 END) AS tp
+        FROM folds GROUP BY fold, truth),
+prd AS (SELECT fold, pred_rule AS label, count(*) AS np FROM folds GROUP BY fold, pred_rule),
+f1 AS (SELECT fl.fold, lab.label,
+         coalesce(CASE WHEN coalesce(sup.sup, 0) + coalesce(prd.np, 0) > 0
+                       THEN 2.0 * coalesce(sup.tp, 0) / (coalesce(sup.sup, 0) + coalesce(prd.np, 0)) END, 0.0) AS f1
+       FROM fl CROSS JOIN lab LEFT JOIN sup ON sup.fold = fl.fold AND sup.label = lab.label
+       LEFT JOIN prd ON prd.fold = fl.fold AND prd.label = lab.label),
+per AS (SELECT f.fold, avg(f.f1) AS f1_macro, a.accuracy FROM f1 f JOIN
+        (SELECT fold, avg(CASE WHEN truth = pred_rule THEN 1.0 ELSE 0.0 END) AS accuracy FROM folds GROUP BY fold) a
+        ON a.fold = f.fold GROUP BY f.fold, a.accuracy)
+SELECT round(avg(accuracy), 9) AS accuracy_mean, round(stddev_pop(accuracy), 9) AS accuracy_std,
+       round(avg(f1_macro), 9) AS f1_macro_mean, round(stddev_pop(f1_macro), 9) AS f1_macro_std FROM per""")
+def q_fold_metrics(spark, root):
+    folds = fold_rows(spark, root)
+    acc = M.accuracy(folds, "truth", "pred_rule", ["fold"]).select("fold", "accuracy")
+    f1 = M.macro_f1(folds, "truth", "pred_rule", QUALITY_FIXED, ["fold"])
+    s = M.fold_summary(acc.join(f1, "fold"), ["accuracy", "f1_macro"])
+    return s.select(*[F.round(c, 9).alias(c) for c in s.columns])
+
+
+CANDIDATES = [("rule", "pred_rule"), ("toxic", "pred_toxic")]
+
+
+@register("best_of", f"""
+WITH {SQL_SCORED},
+m AS ({' UNION ALL '.join(f"SELECT '{n}' AS candidate, {i} AS ord, (SELECT avg(f1) FROM {_sql_per_class('sc', p, QUALITY_FIXED)} x) AS f1" for i, (n, p) in enumerate(CANDIDATES))})
+SELECT candidate, round(f1, 9) AS f1 FROM m WHERE f1 > 0 ORDER BY f1 DESC, ord LIMIT 1""")
+def q_best_of(spark, root):
+    sc = scored(spark, root)
+    parts = [M.macro_f1(sc, "truth", p, QUALITY_FIXED).select(F.lit(n).alias("candidate"), F.lit(i).alias("ord"),
+                                                               F.col("f1_macro").alias("f1"))
+             for i, (n, p) in enumerate(CANDIDATES)]
+    allc = parts[0]
+    for p in parts[1:]:
+        allc = allc.unionByName(p)
+    return M.best_of(allc, "f1", "ord").select("candidate", F.round("f1", 9).alias("f1"))
+
+
+@register("report_compare", f"""
+WITH {SQL_SCORED},
+a AS (SELECT label, round(f1, 4) AS f1 FROM {_sql_per_class('sc', 'pred_rule')} x),
+b AS (SELECT label, round(f1, 4) AS f1 FROM {_sql_per_class('sc', 'pred_toxic')} y)
+SELECT coalesce(a.label, b.label) AS label, coalesce(a.f1, 0.0) AS f1_rule, coalesce(b.f1, 0.0) AS f1_toxic,
+  round(coalesce(b.f1, 0.0) - coalesce(a.f1, 0.0), 9) AS delta,
+  CASE WHEN coalesce(b.f1, 0.0) > coalesce(a.f1, 0.0) THEN '+' WHEN coalesce(b.f1, 0.0) < coalesce(a.f1, 0.0) THEN '-' ELSE '' END AS sign
+FROM a FULL JOIN b ON a.label = b.label""")
+def q_report_compare(spark, root):
+    sc = scored(spark, root)
+    a = _rounded_report(M.per_class(sc, "truth", "pred_rule"))
+    b = _rounded_report(M.per_class(sc, "truth", "pred_toxic"))
+    c = M.compare_reports(a, b, "label", "f1", ("rule", "toxic"))
+    return c.select("label", "f1_rule", "f1_toxic", F.round("delta", 9).alias("delta"), "sign")
+
+
+@register("label_set_equality", f"""
+WITH obs AS (SELECT DISTINCT CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS label FROM labels),
+exp AS (SELECT unnest({'[' + ', '.join(Q.q(x) for x in QUALITY_FIXED) + ']'}) AS label)
+SELECT label, 'missing' AS side FROM (SELECT label FROM exp EXCEPT SELECT label FROM obs)
+UNION ALL
+SELECT label, 'unexpected' AS side FROM (SELECT label FROM obs EXCEPT SELECT label FROM exp)""")
+def q_label_set_equality(spark, root):
+    obs = t(spark, root, "labels").select(_quality(F.col("quality")).alias("label")).distinct()
+    exp = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in QUALITY_FIXED])).alias("label"))
+    return exp.exceptAll(obs).withColumn("side", F.lit("missing")).unionByName(
+        obs.exceptAll(exp).withColumn("side", F.lit("unexpected")))
+
+
+@register("standardiser_fit", f"""
+WITH {SQL_SCORED}, {SQL_RANKED},
+tr AS (SELECT e.embedding FROM embeddings e JOIN spl ON spl.doc_id = e.vec_id WHERE spl.split = 'train'),
+x AS (SELECT unnest(range(len(embedding))) AS dim, unnest(embedding) AS v FROM tr)
+SELECT CAST(dim AS BIGINT) AS dim, round(avg(v), 6) AS mean,
+       round(CASE WHEN stddev_pop(v) = 0 THEN 1.0 ELSE stddev_pop(v) END, 6) AS std FROM x GROUP BY dim""")
+def q_standardiser_fit(spark, root):
+    from ..operators.ml import fit_standardizer_long
+    tr = split_rows(spark, root).filter(F.col("split") == "train").select("doc_id")
+    e = t(spark, root, "embeddings").join(tr, F.col("vec_id") == F.col("doc_id"), "left_semi")
+    st = fit_standardizer_long(e, "embedding")
+    return st.select(F.col("dim").cast("long"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
