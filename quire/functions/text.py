@@ -81,18 +81,21 @@ def keyword_hits(lowered_text, keywords: Iterable[str], method: str = "filter")
 
 
 def format_fixed(c, decimals: int) -> Column:
-    """``f"{x:.Nf}"`` (Java rounds half-up; Python rounds the binary value)."""
-    return F.format_string(f"%.{decimals}f", as_col(c).cast("double"))
+    """``f"{x:.Nf}"``.  ``format_number`` rounds the exact binary value half-even,
+    as Python does (``format_string('%.Nf')`` would round the shortest decimal
+    string half-up: 0.5005 → 0.501 instead of 0.500); grouping commas removed."""
+    return F.replace(F.format_number(as_col(c).cast("double"), decimals), F.lit(","), F.lit(""))
 
 
 def format_signed(c, decimals: int) -> Column:
     """``f"{x:+.Nf}"``."""
-    return F.format_string(f"%+.{decimals}f", as_col(c).cast("double"))
+    s = format_fixed(c, decimals)
+    return F.when(F.startswith(s, F.lit("-")), s).otherwise(F.concat(F.lit("+"), s))
 
 
-def format_percent(c) -> Column:
-    """``f"{x:.0%}"``."""
-    return F.concat(F.format_string("%.0f", as_col(c).cast("double") * 100), F.lit("%"))
+def format_percent(c, decimals: int = 0) -> Column:
+    """``f"{x:.0%}"``: the value times 100, fixed format, then '%'."""
+    return F.concat(format_fixed(as_col(c).cast("double") * 100, decimals), F.lit("%"))
 
 
 def session_suffix(message, session_id) -> Column:

@@ -620,3 +620,355 @@ def q_standardiser_fit(spark, root):
     e = t(spark, root, "embeddings").join(tr, F.col("vec_id") == F.col("doc_id"), "left_semi")
     st = fit_standardizer_long(e, "embedding")
     return st.select(F.col("dim").cast("long"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+# ---------------------------------------------------------------------------
+# Retrieval: every vector of the table is a query against the whole table.
+# ---------------------------------------------------------------------------
+def _sql_search(k: int, min_sim: float) -> str:
+    return f"""
+qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings),
+xv AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT qv.query_id, xv.vec_id, xv.label,
+        list_dot_product(qv.v, xv.v) / (sqrt(list_dot_product(qv.v, qv.v)) * sqrt(list_dot_product(xv.v, xv.v))) AS sim
+      FROM qv CROSS JOIN xv),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s),
+hits AS (SELECT query_id, rank, vec_id, label, sim FROM r WHERE rank <= {k} AND sim >= {min_sim})"""
+
+
+def vector_hits(spark, root, k=C.DEFAULT_TOP_K, min_similarity=C.AGENT_MIN_SIMILARITY) -> DataFrame:
+    e = t(spark, root, "embeddings")
+    return S.search(e.select(F.col("vec_id").alias("query_id"), "embedding"), e, k=k,
+                    min_similarity=min_similarity, carry=["vec_id", "label"], tie=["vec_id"])
+
+
+@register("vector_search", f"""
+WITH {_sql_search(5, 0.2)}
+SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, label, round(sim, 4) AS similarity FROM hits""")
+def q_vector_search(spark, root):
+    h = vector_hits(spark, root)
+    return h.select("query_id", F.col("rank").cast("long"), "vec_id", "label", "similarity")
+
+
+@register("retrieval_report", f"""
+WITH {_sql_search(3, 0.3)}
+SELECT query_id, CAST(rank AS BIGINT) AS rank, 'doc' || CAST(vec_id AS VARCHAR) AS destination,
+       round(sim, 4) AS similarity FROM hits""")
+def q_retrieval_report(spark, root):
+    h = vector_hits(spark, root, k=C.SANITY_TOP_K, min_similarity=C.DEFAULT_MIN_SIMILARITY)
+    return h.select("query_id", F.col("rank").cast("long"),
+                    TX.strip_prefix_all(F.concat(F.lit(C.SOURCE_PREFIX + "doc"), F.col("vec_id").cast("string")),
+                                        C.SOURCE_PREFIX).alias("destination"), "similarity")
+
+
+def context_rows(spark, root, min_similarity=C.AGENT_MIN_SIMILARITY) -> DataFrame:
+    h = vector_hits(spark, root, min_similarity=min_similarity)
+    docs = t(spark, root, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("chunk_text"))
+    h = h.join(docs, "vec_id", "left").withColumn(
+        "source_document", F.concat(F.lit(C.SOURCE_PREFIX + "doc"), F.col("vec_id").cast("string")))
+    queries = t(spark, root, "embeddings").select(F.col("vec_id").alias("query_id"))
+    return SV.assemble_context(queries, h, "query_id")
+
+
+SQL_CONTEXT = f"""
+top AS (SELECT h.query_id, h.rank, 'doc' || CAST(h.vec_id AS VARCHAR) AS dest, round(h.sim, 4) AS similarity,
+               coalesce(d.text, '') AS chunk_text FROM hits h LEFT JOIN documents d ON d.doc_id = h.vec_id WHERE h.rank <= 4),
+ctx AS (SELECT query_id, string_agg('[' || dest || ' - similarity: ' || printf('%.2f', similarity) || ']'
+                 || chr(10) || substr(chunk_text, 1, 400), chr(10) || chr(10) ORDER BY rank) AS context FROM top GROUP BY query_id),
+nh AS (SELECT query_id, count(*) AS n_hits FROM hits GROUP BY query_id),
+qc AS (SELECT e.vec_id AS query_id, coalesce(ctx.context, {Q.q(C.NO_CONTEXT_TEXT)}) AS context,
+              CAST(coalesce(nh.n_hits, 0) AS BIGINT) AS n_hits
+       FROM embeddings e LEFT JOIN ctx ON ctx.query_id = e.vec_id LEFT JOIN nh ON nh.query_id = e.vec_id)"""
+
+
+@register("prompt_context", f"WITH {_sql_search(5, 0.2)}, {SQL_CONTEXT} SELECT query_id, context, n_hits FROM qc")
+def q_prompt_context(spark, root):
+    return context_rows(spark, root).select("query_id", "context", "n_hits")
+
+
+@register("no_hits_fallback", f"""
+WITH {_sql_search(5, 0.5)}, nh AS (SELECT query_id, count(*) AS n FROM hits GROUP BY query_id),
+{SQL_WIKI},
+rc AS (SELECT doc_id, {_sql_rule_class()[0]} AS style FROM documents)
+SELECT e.vec_id AS query_id, CAST(coalesce(nh.n, 0) AS BIGINT) AS n_hits, coalesce(nh.n, 0) = 0 AS no_hits,
+  'I found some ' || coalesce(rc.style, 'Unknown') || ' destinations that might interest you, but I''m having trouble generating a detailed response right now. Please try again.' AS fallback
+FROM embeddings e LEFT JOIN nh ON nh.query_id = e.vec_id LEFT JOIN rc ON rc.doc_id = e.vec_id""")
+def q_no_hits_fallback(spark, root):
+    h = vector_hits(spark, root, min_similarity=0.5)
+    n = h.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    docs = t(spark, root, "documents").select("doc_id", "text")
+    rc = KW.rule_class(KW.keyword_features(docs, "text", DOC_DICT, DOC_THRESHOLDS), list(DOC_DICT)) \
+        .select(F.col("doc_id").alias("query_id"), F.col("rule_class").alias("style"))
+    q = t(spark, root, "embeddings").select(F.col("vec_id").alias("query_id"))
+    j = q.join(n, "query_id", "left").join(rc, "query_id", "left")
+    nh = F.coalesce(F.col("n"), F.lit(0)).cast("long")
+    return j.select("query_id", nh.alias("n_hits"), SV.no_hits_flag(F.col("n")).alias("no_hits"),
+                    SV.fallback_answer(F.col("style")).alias("fallback"))
+
+
+def _sql_prompt() -> str:
+    tmpl = C.USER_PROMPT_TEMPLATE
+    parts = []
+    rest = tmpl
+    vals = {"query": "pq.query", "style": "pq.style",
+            "confidence": "printf('%.0f', pq.confidence * 100) || '%'", "context": "qc.context"}
+    while "{" in rest:
+        pre, _, tail = rest.partition("{")
+        name, _, rest = tail.partition("}")
+        parts += [Q.q(pre).replace(chr(10), "' || chr(10) || '"), vals[name]]
+    parts.append(Q.q(rest).replace(chr(10), "' || chr(10) || '"))
+    return " || ".join(parts)
+
+
+@register("prompt_text", f"""
+WITH {_sql_search(5, 0.2)}, {SQL_CONTEXT},
+kc AS (SELECT doc_id, {_sql_rule_class()[0]} AS style,
+         {' , '.join(f"{Q.hits("lower(coalesce(text, ''))", kws)} AS c_{c.lower()}" for c, kws in DOC_DICT.items())},
+         coalesce(string_split(coalesce(text, ''), chr(10))[1], '') AS query FROM documents),
+pq AS (SELECT doc_id, query, coalesce(style, 'Unknown') AS style,
+         CASE WHEN style IS NULL THEN 0.0 ELSE greatest({', '.join(f'c_{c.lower()}' for c in DOC_DICT)})
+              / greatest({' + '.join(f'c_{c.lower()}' for c in DOC_DICT)}, 1) END AS confidence FROM kc)
+SELECT qc.query_id, md5({_sql_prompt()}) AS prompt_md5, length({_sql_prompt()}) AS prompt_chars
+FROM qc JOIN pq ON pq.doc_id = qc.query_id""")
+def q_prompt_text(spark, root):
+    ctx = context_rows(spark, root)
+    docs = doc_lines(t(spark, root, "documents").select("doc_id", "text"), 1)
+    f = KW.rule_class(KW.keyword_features(docs, "text", DOC_DICT, DOC_THRESHOLDS), list(DOC_DICT))
+    best = F.greatest(*[F.col(f"{c.lower()}_keyword_ratio") for c in DOC_DICT])
+    pq = f.select(F.col("doc_id").alias("query_id"), F.col("l1").alias("query"),
+                  F.coalesce(F.col("rule_class"), F.lit("Unknown")).alias("style"),
+                  F.when(F.col("rule_class").isNull(), F.lit(0.0)).otherwise(best).alias("confidence"))
+    j = ctx.join(pq, "query_id")
+    p = SV.prompt_text(F.col("query"), F.col("style"), F.col("confidence"), F.col("context"))
+    return j.select("query_id", F.md5(p).alias("prompt_md5"), F.length(p).cast("long").alias("prompt_chars"))
+
+
+# ---------------------------------------------------------------------------
+# Run log and history: events as runs (ts = start, event_type = status) with a
+# conversation turn as the stored response.
+# ---------------------------------------------------------------------------
+def runs_table(spark, root) -> DataFrame:
+    ev = t(spark, root, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    conv = t(spark, root, "conversations").filter(F.col("turn") == 1).select(
+        F.col("conv_id").alias("user_id"), F.col("text").alias("agent_response"))
+    return ev.join(conv, "user_id", "left").select(
+        F.col("event_id").cast("string").alias("run_id"), "user_id",
+        F.concat(F.lit("event "), F.col("event_type"), F.lit(" "), F.col("value").cast("string")).alias("user_input"),
+        "agent_response", F.col("event_type").alias("status"), F.col("ts").alias("started_at"))
+
+
+@register("recent_runs", """
+WITH c AS (SELECT conv_id, text FROM conversations WHERE turn = 1),
+r AS (SELECT CAST(e.event_id AS VARCHAR) AS run_id, 'event ' || e.event_type || ' ' || CAST(e.value AS VARCHAR) AS user_input,
+        c.text AS agent_response, e.event_type AS status, e.ts AS started_at
+      FROM events e LEFT JOIN c ON c.conv_id = e.user_id)
+SELECT run_id, user_input,
+  CASE WHEN length(agent_response) > 100 THEN substr(agent_response, 1, 100) || '...' ELSE agent_response END AS agent_response,
+  status, strftime(started_at, '%Y-%m-%d %H:%M:%S.%f') AS started_at
+FROM r ORDER BY r.started_at DESC, run_id DESC LIMIT 10""")
+def q_recent_runs(spark, root):
+    return SV.history(runs_table(spark, root), 10)
+
+
+@register("conversation_summary", """
+SELECT conv_id, count(*) AS n_messages, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS n_user,
+  sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS n_assistant, max(turn) AS last_turn,
+  arg_max(role, turn) AS last_role, sum(length(text)) AS total_chars
+FROM conversations GROUP BY conv_id""")
+def q_conversation_summary(spark, root):
+    from ..operators.messages import conversation_summary
+    return conversation_summary(t(spark, root, "conversations"))
+
+
+@register("session_suffix", """
+WITH u AS (SELECT conv_id, turn, text || ' [session:s' || CAST(conv_id AS VARCHAR) || ']' AS user_input
+           FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, 's' || CAST(conv_id AS VARCHAR) AS session_id, md5(user_input) AS input_md5 FROM u""")
+def q_session_suffix(spark, root):
+    u = t(spark, root, "conversations").filter(F.col("role") == "user").select(
+        "conv_id", "turn", TX.session_suffix(F.col("text"), F.concat(F.lit("s"), F.col("conv_id").cast("string")))
+        .alias("user_input"))
+    return u.select("conv_id", "turn", TX.parse_session_suffix(F.col("user_input")).alias("session_id"),
+                    F.md5("user_input").alias("input_md5"))
+
+
+# ---------------------------------------------------------------------------
+# Scalars, one projection per operator
+# ---------------------------------------------------------------------------
+@register("combined_text", f"""
+WITH {SQL_WIKI}
+SELECT doc_id, md5(coalesce(understand, '') || ' ' || coalesce("do", '')) AS combined_md5,
+       length(coalesce(understand, '') || ' ' || coalesce("do", '')) AS combined_chars FROM art""")
+def q_combined_text(spark, root):
+    a = doc_articles(spark, root)
+    comb = F.concat(F.coalesce(F.col("understand"), F.lit("")), F.lit(" "), F.coalesce(F.col("do"), F.lit("")))
+    return a.select("doc_id", F.md5(comb).alias("combined_md5"), F.length(comb).cast("long").alias("combined_chars"))
+
+
+HEADS = [5000, 2000, 1500, 1000, 400, 100, 50]
+
+
+@register("head_slices", "SELECT doc_id, " + ", ".join(
+    f"md5(substr(text, 1, {n})) AS head_{n}_md5" for n in HEADS) + " FROM documents")
+def q_head_slices(spark, root):
+    d = t(spark, root, "documents")
+    return d.select("doc_id", *[F.md5(TX.head(F.col("text"), n)).alias(f"head_{n}_md5") for n in HEADS])
+
+
+@register("py_strip", f"""
+SELECT doc_id, md5({Q.strip('text')}) AS stripped_md5, length({Q.strip('text')}) AS stripped_chars,
+       length({Q.strip('text')}) = 0 AS is_blank FROM documents""")
+def q_py_strip(spark, root):
+    d = t(spark, root, "documents")
+    s = TX.py_strip(F.col("text"))
+    return d.select("doc_id", F.md5(s).alias("stripped_md5"), F.length(s).cast("long").alias("stripped_chars"),
+                    TX.is_blank(F.col("text")).alias("is_blank"))
+
+
+@register("ellipsis", """
+SELECT conv_id, turn, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS shown
+FROM conversations""")
+def q_ellipsis(spark, root):
+    c = t(spark, root, "conversations")
+    return c.select("conv_id", "turn", TX.ellipsis(F.col("text"), 100).alias("shown"))
+
+
+@register("first_non_blank", f"""
+WITH {SQL_WIKI}
+SELECT doc_id, md5(substr(CASE WHEN length({Q.strip('understand')}) > 0 THEN understand ELSE full_text END, 1, 2000))
+  AS embed_text_md5 FROM art""")
+def q_first_non_blank(spark, root):
+    a = doc_articles(spark, root)
+    return a.select("doc_id", F.md5(TX.head(TX.first_non_blank("understand", "full_text"), C.EMBED_TEXT_CHARS))
+                    .alias("embed_text_md5"))
+
+
+@register("number_formats", """
+SELECT event_id, printf('%.2f', value) AS f2, printf('%.3f', value / 100) AS f3,
+  printf('%+.3f', value / 100) AS signed3,
+  printf('%.0f', value / 100 * 100) || '%' AS pct, round(value / 7, 4) AS r4, round(value / 7, 3) AS r3
+FROM events""")
+def q_number_formats(spark, root):
+    e = t(spark, root, "events")
+    v = F.col("value")
+    return e.select("event_id", TX.format_fixed(v, 2).alias("f2"), TX.format_fixed(v / 100, 3).alias("f3"),
+                    TX.format_signed(v / 100, 3).alias("signed3"), TX.format_percent(v / 100).alias("pct"),
+                    F.round(v / 7, 4).alias("r4"), F.round(v / 7, 3).alias("r3"))
+
+
+@register("json_codec", """
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+  '{"k":' || CAST(json_extract(props, '$.k') AS BIGINT) || ',"type":"' || event_type || '"}' AS encoded FROM events""")
+def q_json_codec(spark, root):
+    e = t(spark, root, "events")
+    p = F.from_json(F.col("props"), "k bigint")
+    return e.select("event_id", p["k"].alias("k"),
+                    F.to_json(F.struct(p["k"].alias("k"), F.col("event_type").alias("type"))).alias("encoded"))
+
+
+@register("vector_scalars", """
+WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.vec_id, a.v, b.v AS w FROM a LEFT JOIN a b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id,
+  round(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 6) AS cos_next,
+  round(sqrt(list_dot_product(v, v)), 6) AS norm,
+  round(sqrt(list_dot_product(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))),
+                              list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))))), 6) AS unit_norm,
+  len(v) AS dims
+FROM p""")
+def q_vector_scalars(spark, root):
+    e = t(spark, root, "embeddings").select("vec_id", "embedding")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next_vec"))
+    j = e.join(nxt, "vec_id", "left")
+    return j.select("vec_id", F.round(V.cosine_similarity("embedding", "next_vec"), 6).alias("cos_next"),
+                    F.round(V.l2_norm("embedding"), 6).alias("norm"),
+                    F.round(V.l2_norm(V.l2_normalize("embedding", as_float=False)), 6).alias("unit_norm"),
+                    V.dims("embedding").cast("long").alias("dims"))
+
+
+@register("vector_codec", """
+SELECT vec_id, len(embedding) AS dims, max(abs(x)) < 1 AS in_range FROM (
+  SELECT vec_id, embedding, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id, embedding""")
+def q_vector_codec(spark, root):
+    e = t(spark, root, "embeddings").select("vec_id", "embedding")
+    back = V.text_to_vector(V.vector_to_text("embedding"))
+    err = F.array_max(F.zip_with("embedding", back, lambda a, b: F.abs(a.cast("double") - b)))
+    zero = V.zero_vector(64)
+    ok = (err <= 5e-9) & (F.size(zero) == 64) & (V.l2_norm(zero) == 0)
+    return e.select("vec_id", F.size("embedding").cast("long").alias("dims"),
+                    (ok & (F.array_max(F.transform("embedding", lambda x: F.abs(x))) < 1)).alias("in_range"))
+
+
+# ---------------------------------------------------------------------------
+# Feature matrix end to end and its table rules
+# ---------------------------------------------------------------------------
+def feature_matrix(spark, root) -> DataFrame:
+    """entities (labelled documents) ⋈ articles → keyword features of
+    understand+do, price tier of sleep, language one-hot, name and label."""
+    lab = t(spark, root, "labels").select("doc_id", _quality(F.col("quality")).alias("label"))
+    arts = doc_articles(spark, root)
+    ents = lab.join(arts, "doc_id", "inner")
+    comb = F.concat(F.coalesce(F.col("understand"), F.lit("")), F.lit(" "), F.coalesce(F.col("do"), F.lit("")))
+    f = KW.keyword_features(ents.withColumn("_comb", comb), "_comb", DOC_DICT, DOC_THRESHOLDS)
+    f = f.withColumn("price_tier", KW.price_tier_expr(F.col("sleep"), TIER_LOW, TIER_HIGH).cast("long"))
+    f = KW.one_hot(f, "lang", LANGS)
+    out = _keyword_out(f, ["doc_id"]).join(f.select("doc_id", "price_tier", *[f"region_{v}" for v in LANGS],
+                                                    F.col("name").alias("destination_name"), "label"), "doc_id")
+    return out.drop("doc_id")
+
+
+SQL_FEATURES = f"""
+ents AS (SELECT art.*, CASE WHEN l.quality = 1 THEN 'good' ELSE 'poor' END AS label FROM labels l JOIN art ON art.doc_id = l.doc_id),
+fm AS (SELECT {sql_keyword_cols("coalesce(understand, '') || ' ' || coalesce(\"do\", '')")},
+  {sql_tier('sleep')} AS price_tier,
+  {', '.join(f"CAST(CASE WHEN lang = '{v}' THEN 1 ELSE 0 END AS BIGINT) AS region_{v}" for v in LANGS)},
+  name AS destination_name, label FROM ents)"""
+
+
+@register("feature_matrix", f"WITH {SQL_WIKI}, {SQL_FEATURES} SELECT * FROM fm")
+def q_feature_matrix(spark, root):
+    return feature_matrix(spark, root)
+
+
+@register("matrix_report", f"""
+WITH {SQL_WIKI}, {SQL_FEATURES},
+agg AS (SELECT count(*) AS n_rows, list_sort(list_distinct(list(label))) AS lc FROM fm)
+SELECT n_rows, 17 AS n_cols, FALSE AS has_nulls, array_to_string(lc, ',') AS label_classes,
+  array_to_string(list_filter({'[' + ', '.join(Q.q(x) for x in sorted(QUALITY_FIXED)) + ']'}, lambda x: NOT list_contains(lc, x)), ',') AS missing_labels,
+  array_to_string(list_filter(lc, lambda x: NOT list_contains({'[' + ', '.join(Q.q(x) for x in QUALITY_FIXED) + ']'}, x)), ',') AS unexpected_labels,
+  n_rows >= 50 AND len(list_filter({'[' + ', '.join(Q.q(x) for x in QUALITY_FIXED) + ']'}, lambda x: NOT list_contains(lc, x))) = 0 AS ok
+FROM agg""")
+def q_matrix_report(spark, root):
+    r = VA.matrix_report(feature_matrix(spark, root), "label", QUALITY_FIXED)
+    return r.select("n_rows", F.col("n_cols").cast("long"), "has_nulls",
+                    *[F.array_join(c, ",").alias(c) for c in ("label_classes", "missing_labels", "unexpected_labels")],
+                    "ok")
+
+
+@register("feature_alignment", f"""
+SELECT conv_id, turn, {', '.join(f"CAST({Q.hits("lower(coalesce(text, ''))", DOC_DICT[c])} AS DOUBLE) AS {c.lower()}_keyword_count" for c in DOC_DICT)},
+  CAST(2 AS DOUBLE) AS price_tier, {', '.join(f'0.0 AS region_{v}' for v in LANGS)}, 0.0 AS emb_pca_0, 0.0 AS emb_pca_1
+FROM conversations WHERE role = 'user'""")
+def q_feature_alignment(spark, root):
+    from ..operators.align import align_columns
+    u = t(spark, root, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    f = KW.keyword_features(u, "text", DOC_DICT, DOC_THRESHOLDS)
+    f = f.withColumn("price_tier", F.lit(2))
+    for v in LANGS:
+        f = f.withColumn(f"region_{v}", F.lit(0))
+    expected = [f"{c.lower()}_keyword_count" for c in DOC_DICT] + ["price_tier"] + [f"region_{v}" for v in LANGS] \
+        + ["emb_pca_0", "emb_pca_1"]
+    return align_columns(f, expected, keep=["conv_id", "turn"])
+
+
+@register("nonempty_encode", f"""
+WITH {SQL_WIKI}
+SELECT doc_id, length(substr(understand, 1, 2000)) > 0 AS has_text, 384 AS dims FROM art""")
+def q_nonempty_encode(spark, root):
+    from ..operators.encode import HashingEncoder, encode_nonempty
+    a = doc_articles(spark, root).select("doc_id", "understand")
+    enc = encode_nonempty(a, HashingEncoder(384), "understand")
+    n = V.l2_norm("embedding")
+    # zero vector exactly when there is no text; unit length otherwise (checked in tests)
+    return enc.select("doc_id", F.when(F.col("has_text") | (n == 0), F.col("has_text")).alias("has_text"),
+                      F.size("embedding").cast("long").alias("dims"))
