@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from typing import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Python's str.strip() removes every character for which str.isspace() is true.
@@ -80,22 +81,44 @@ def keyword_hits(lowered_text, keywords: Iterable[str], method: str = "filter")
     return F.coalesce(F.size(F.filter(arr, lambda k: F.contains(t, k))), F.lit(0))
 
 
+_FORMATTERS: dict = {}
+
+
+def py_format(c, spec: str) -> Column:
+    """``format(x, spec)`` with Python's exact rounding of the binary value.
+
+    JVM formatting rounds the shortest decimal string instead (``%.3f`` gives
+    0.501 for 0.5005, ``format_number`` gives 0.000 for 0.0005; Python gives
+    0.500 and 0.001), so this small helper runs Python's own formatter on Arrow
+    batches.  Used only for presentation columns."""
+    fn = _FORMATTERS.get(spec)
+    if fn is None:
+        def fmt(s: pd.Series) -> pd.Series:
+            return s.map(lambda v: None if pd.isna(v) else format(float(v), spec))
+
+        fn = _FORMATTERS[spec] = F.pandas_udf(fmt, "string")
+    return fn(as_col(c).cast("double"))
+
+
 def format_fixed(c, decimals: int) -> Column:
-    """``f"{x:.Nf}"``.  ``format_number`` rounds the exact binary value half-even,
-    as Python does (``format_string('%.Nf')`` would round the shortest decimal
-    string half-up: 0.5005 → 0.501 instead of 0.500); grouping commas removed."""
-    return F.replace(F.format_number(as_col(c).cast("double"), decimals), F.lit(","), F.lit(""))
+    """``f"{x:.Nf}"``."""
+    return py_format(c, f".{decimals}f")
 
 
 def format_signed(c, decimals: int) -> Column:
     """``f"{x:+.Nf}"``."""
-    s = format_fixed(c, decimals)
-    return F.when(F.startswith(s, F.lit("-")), s).otherwise(F.concat(F.lit("+"), s))
+    return py_format(c, f"+.{decimals}f")
 
 
 def format_percent(c, decimals: int = 0) -> Column:
-    """``f"{x:.0%}"``: the value times 100, fixed format, then '%'."""
-    return F.concat(format_fixed(as_col(c).cast("double") * 100, decimals), F.lit("%"))
+    """``f"{x:.0%}"``."""
+    return py_format(c, f".{decimals}%")
+
+
+def format_fixed_jvm(c, decimals: int) -> Column:
+    """JVM-only variant of :func:`format_fixed` (stays in codegen): half-even on
+    the exact value except at some shortest-decimal ties."""
+    return F.replace(F.format_number(as_col(c).cast("double"), decimals), F.lit(","), F.lit(""))
 
 
 def session_suffix(message, session_id) -> Column:
