@@ -972,3 +972,195 @@ def q_nonempty_encode(spark, root):
     # zero vector exactly when there is no text; unit length otherwise (checked in tests)
     return enc.select("doc_id", F.when(F.col("has_text") | (n == 0), F.col("has_text")).alias("has_text"),
                       F.size("embedding").cast("long").alias("dims"))
+
+
+# ---------------------------------------------------------------------------
+# Models (rows-only checks): target documents.lang from keyword features.
+# ---------------------------------------------------------------------------
+LANG_DICT = {
+    "en": ["the ", " and ", "ing", " of "],
+    "fr": [" les ", " que ", "eau", " des "],
+    "de": [" und ", "sch", " ein", " die "],
+    "es": [" los ", " del ", " que ", " las "],
+}
+LANG_THRESHOLDS = {c: 2 for c in LANG_DICT}
+LANG_LABELS = sorted(LANG_DICT)
+
+
+def lang_features(spark, root) -> tuple[DataFrame, list]:
+    from ..schemas import keyword_feature_columns
+    docs = t(spark, root, "documents").select("doc_id", "text", "lang")
+    f = KW.keyword_features(docs, "text", LANG_DICT, LANG_THRESHOLDS, keep_input=True).drop("text")
+    return f, keyword_feature_columns(LANG_DICT)
+
+
+@register("train_experiment")
+def q_train_experiment(spark, root):
+    from .experiment import run_experiment
+    f, cols = lang_features(spark, root)
+    res = run_experiment(f, cols, "lang", "doc_id", LANG_LABELS)
+    return res["runs"].select("model_name", "ord", "accuracy_mean", "accuracy_std", "f1_macro_mean",
+                              "f1_macro_std", "phase", "winner")
+
+
+@register("model_test_report")
+def q_model_test_report(spark, root):
+    from .experiment import run_experiment
+    f, cols = lang_features(spark, root)
+    res = run_experiment(f, cols, "lang", "doc_id", LANG_LABELS, models=["LogisticRegression", "RandomForest"])
+    return res["test_report"].withColumn("model_name", F.lit(res["best"]))
+
+
+@register("tune_winner")
+def q_tune_winner(spark, root):
+    import json
+    from ..operators import ml as ML
+    from .experiment import fit_and_report, prepare
+    f, cols = lang_features(spark, root)
+    prepared = prepare(f, "lang", "doc_id", LANG_LABELS)
+    grid = C.PARAM_GRIDS["LogisticRegression"]
+    best, score = ML.tune(prepared.filter(F.col("split") == "train"), "LogisticRegression", cols, LANG_LABELS, grid)
+    _, report = fit_and_report(prepared, "LogisticRegression", cols, LANG_LABELS, "lang", best)
+    return report.withColumn("best_params", F.lit(json.dumps(best))).withColumn("cv_f1", F.lit(score))
+
+
+@register("classify_queries")
+def q_classify_queries(spark, root):
+    from ..operators import ml as ML
+    from .experiment import prepare
+    f, cols = lang_features(spark, root)
+    prepared = prepare(f, "lang", "doc_id", LANG_LABELS)
+    train = prepared.filter(F.col("split") == "train")
+    model = ML.build_pipeline("LogisticRegression", cols, LANG_LABELS, train.count()).fit(train)
+    q = t(spark, root, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    s = ML.score_texts(q, "text", model, LANG_DICT, LANG_THRESHOLDS, regions=[])
+    return s.select("conv_id", "turn", "predicted_style", F.round("style_confidence", 3).alias("style_confidence"))
+
+
+@register("embedding_pca")
+def q_embedding_pca(spark, root):
+    from ..operators import ml as ML
+    e = t(spark, root, "embeddings")
+    sp = SP.stratified_split(e, "label", "vec_id")
+    out, var = ML.add_pca_features(sp, "embedding", F.col("split") == "train", k=C.PCA_COMPONENTS)
+    return out.select("vec_id", "split", *[f"emb_pca_{i}" for i in range(C.PCA_COMPONENTS)]) \
+        .withColumn("explained_variance", F.lit(round(var, 6)))
+
+
+@register("encode_texts")
+def q_encode_texts(spark, root):
+    from ..operators.encode import HashingEncoder, encode_nonempty
+    a = doc_articles(spark, root)
+    x = a.select("doc_id", TX.first_non_blank("understand", "full_text").alias("t"))
+    enc = encode_nonempty(x, HashingEncoder(C.EMBEDDING_DIM), "t")
+    return enc.select("doc_id", "has_text", F.size("embedding").cast("long").alias("dims"),
+                      F.round(V.l2_norm("embedding"), 6).alias("norm"))
+
+
+@register("build_index", f"""
+WITH {SQL_WIKI}, {SQL_CHUNKS}
+SELECT md5('wikivoyage:' || name || ':' || CAST(chunk_index AS VARCHAR)) AS chunk_id,
+  'wikivoyage:' || name AS source_document, CAST(chunk_index AS BIGINT) AS chunk_index,
+  'hashing-tf-384-v1' AS encoder_id, CAST(384 AS BIGINT) AS dims FROM chunks""")
+def q_build_index(spark, root):
+    from ..operators.encode import HashingEncoder
+    from .index import build_index
+    arts = doc_articles(spark, root).select(F.col("name").alias("destination"), "understand", "do", "sleep",
+                                            "full_text", F.col("name").alias("cache_key"))
+    ents = t(spark, root, "documents").select(doc_name().alias("cache_key"))
+    idx = build_index(ents, arts, HashingEncoder(C.EMBEDDING_DIM), key="cache_key")["index"]
+    return idx.select("chunk_id", "source_document", F.col("chunk_index").cast("long"), "encoder_id",
+                      F.size("embedding").cast("long").alias("dims"))
+
+
+@register("answer_requests")
+def q_answer_requests(spark, root):
+    from ..operators import ml as ML
+    from ..operators.encode import HashingEncoder
+    from .answer import answer_requests
+    from .experiment import prepare
+    from .index import build_index
+    enc = HashingEncoder(C.EMBEDDING_DIM)
+    arts = doc_articles(spark, root).select(F.col("name").alias("destination"), "understand", "do", "sleep",
+                                            "full_text", F.col("name").alias("cache_key"))
+    ents = t(spark, root, "documents").select(doc_name().alias("cache_key"))
+    index = build_index(ents, arts, enc, key="cache_key")["index"]
+    f, cols = lang_features(spark, root)
+    prepared = prepare(f, "lang", "doc_id", LANG_LABELS)
+    train = prepared.filter(F.col("split") == "train")
+    model = ML.build_pipeline("LogisticRegression", cols, LANG_LABELS, train.count()).fit(train)
+    req = t(spark, root, "conversations").filter(F.col("role") == "user").select(
+        F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("request_id"),
+        F.col("text").alias("message"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"))
+    resp, _ = answer_requests(req, index, enc, model, dictionary=LANG_DICT, thresholds=LANG_THRESHOLDS, regions=[])
+    return resp.select("request_id", "session_id", "predicted_style", "style_confidence", "chunks_retrieved",
+                       "no_hits", F.length("prompt").cast("long").alias("prompt_chars"), "response")
+
+
+# ---------------------------------------------------------------------------
+# Streaming (rows-only): documents arrive as files in two waves; the stream is
+# restarted between them and must add every document exactly once.
+# ---------------------------------------------------------------------------
+def _scratch(spark, name):
+    import os
+    import uuid
+    from ..session import is_local
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder there")
+        import tempfile
+        root = tempfile.mkdtemp(prefix="quire-stream-")
+    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:8]}")
+
+
+@register("stream_features", f"""
+SELECT doc_id, {sql_keyword_cols('text')} FROM documents""")
+def q_stream_features(spark, root):
+    import os
+    from ..streaming.incremental import process_new
+    base = _scratch(spark, "stream-features")
+    src, out, ck = (os.path.join(base, x) for x in ("in", "out", "ckpt"))
+    docs = t(spark, root, "documents").select("doc_id", "text", "lang")
+    first_wave = docs.filter(F.col("lang") != "en")
+    second_wave = docs  # everything again plus the rest: replays must not duplicate
+    schema = docs.schema
+
+    def feats(df):
+        return _keyword_out(KW.keyword_features(df, "text", DOC_DICT, DOC_THRESHOLDS), ["doc_id"])
+
+    first_wave.write.mode("overwrite").parquet(os.path.join(src, "wave=1"))
+    process_new(spark, os.path.join(src, "*"), schema, out, ck, "doc_id", feats, order_col="doc_id")
+    second_wave.write.mode("overwrite").parquet(os.path.join(src, "wave=2"))
+    process_new(spark, os.path.join(src, "*"), schema, out, ck, "doc_id", feats, order_col="doc_id")
+    return spark.read.parquet(out)
+
+
+@register("stream_answers")
+def q_stream_answers(spark, root):
+    import os
+    from ..operators import ml as ML
+    from ..operators.encode import HashingEncoder
+    from ..streaming.incremental import answer_stream
+    from .experiment import prepare
+    from .index import build_index
+    base = _scratch(spark, "stream-answers")
+    enc = HashingEncoder(C.EMBEDDING_DIM)
+    arts = doc_articles(spark, root).select(F.col("name").alias("destination"), "understand", "do", "sleep",
+                                            "full_text", F.col("name").alias("cache_key"))
+    ents = t(spark, root, "documents").select(doc_name().alias("cache_key"))
+    index = build_index(ents, arts, enc, key="cache_key")["index"]
+    f, cols = lang_features(spark, root)
+    prepared = prepare(f, "lang", "doc_id", LANG_LABELS)
+    train = prepared.filter(F.col("split") == "train")
+    model = ML.build_pipeline("LogisticRegression", cols, LANG_LABELS, train.count()).fit(train)
+    req = t(spark, root, "conversations").filter(F.col("role") == "user").select(
+        F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("request_id"),
+        F.col("text").alias("message"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"))
+    src = os.path.join(base, "requests")
+    req.write.mode("overwrite").parquet(src)
+    answer_stream(spark, src, req.schema, index, enc, model, os.path.join(base, "responses"),
+                  os.path.join(base, "runs"), os.path.join(base, "ckpt"),
+                  dictionary=LANG_DICT, thresholds=LANG_THRESHOLDS, regions=[])
+    return spark.read.parquet(os.path.join(base, "responses")).select(
+        "request_id", "session_id", "predicted_style", "style_confidence", "chunks_retrieved", "no_hits")

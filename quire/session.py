@@ -60,8 +60,18 @@ def checkpoint_subdir(spark: SparkSession, name: str, fallback: str | None = Non
     return os.path.join(checkpoint_dir(spark, fallback), name)
 
 
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
 def cut_lineage(df, spark: SparkSession | None = None):
-    """Reliable checkpoint into the shared folder (never ``localCheckpoint``)."""
+    """Reliable checkpoint into the shared folder named by ``spark.checkpoint.dir``
+    (never ``localCheckpoint``).  Only a local-mode session without that setting
+    gets a scratch folder of its own."""
     spark = spark or df.sparkSession
-    checkpoint_dir(spark)
+    fallback = None
+    if is_local(spark) and not spark.conf.get("spark.checkpoint.dir", None):
+        import tempfile
+        fallback = tempfile.mkdtemp(prefix="quire-ckpt-")
+    checkpoint_dir(spark, fallback)
     return df.checkpoint(eager=True)
