@@ -16,9 +16,26 @@ DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "
                  "conversations"]
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A Parquet table ``<root>/<name>.parquet`` (column pruning and filters push down)."""
-    return spark.read.parquet(os.path.join(root, f"{name}.parquet"))
+def _path_bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(jpath).getLength())
+
+
+def read_table(spark: SparkSession, root: str, name: str, spread_bytes: int | None = None) -> DataFrame:
+    """A Parquet table ``<root>/<name>.parquet`` (column pruning and filters push down).
+
+    With ``spread_bytes``, a table of at least that size whose files give fewer scan splits than
+    the session has cores (one large row group, say) is redistributed once, so
+    per-row text work uses every core.  On a cluster a large table already scans
+    into far more splits than cores and is left as it is."""
+    path = os.path.join(root, f"{name}.parquet")
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread_bytes is not None and df.rdd.getNumPartitions() < cores and _path_bytes(spark, path) >= spread_bytes:
+        df = df.repartition(2 * cores)
+    return df
 
 
 def read_entities(spark: SparkSession, path: str, schema=S.ENTITY_SCHEMA) -> DataFrame:
