@@ -13,33 +13,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as C
+from .util import MAX_CLASSES, broadcast_if_small
 
 
 def hash_order(key: str, seed: int = C.RANDOM_SEED):
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
 
 
-def stratified_rank(df: DataFrame, label: str, key: str, seed: int = C.RANDOM_SEED,
-                    bucket_chars: int = 3, out_col: str = "class_rank") -> DataFrame:
-    """Adds the 1-based rank of each row inside its class (hash order).
-
-    Returns the ranked rows; ``class_counts(df, label)`` gives the class sizes."""
+def _ranked(df: DataFrame, label: str, key: str, seed: int, bucket_chars: int, out_col: str):
     h = hash_order(key, seed)
     tagged = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, bucket_chars))
-    hist = tagged.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    # (class, bucket) histogram: at most classes × 16**bucket_chars rows, pre-aggregated map-side
+    hist = tagged.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n")).persist()
     w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = hist.select(label, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
     inner = Window.partitionBy(label, "_b").orderBy("_h", key)
-    return (tagged.join(before, [label, "_b"], "inner")
-            .withColumn(out_col, (F.col("_before") + F.row_number().over(inner)).cast("long"))
-            .drop("_h", "_b", "_before"))
+    ranked = (tagged.join(before, [label, "_b"], "inner")
+              .withColumn(out_col, (F.col("_before") + F.row_number().over(inner)).cast("long"))
+              .drop("_h", "_b", "_before"))
+    counts = hist.groupBy(label).agg(F.sum("_n").alias("n_c"))
+    return ranked, counts
 
 
-def class_quotas(df: DataFrame, label: str, test_size: float = C.TEST_SIZE) -> DataFrame:
+def stratified_rank(df: DataFrame, label: str, key: str, seed: int = C.RANDOM_SEED,
+                    bucket_chars: int = 3, out_col: str = "class_rank") -> DataFrame:
+    """Adds the 1-based rank of each row inside its class (hash order)."""
+    return _ranked(df, label, key, seed, bucket_chars, out_col)[0]
+
+
+def class_quotas(df: DataFrame, label: str, test_size: float = C.TEST_SIZE,
+                 counts: DataFrame | None = None) -> DataFrame:
     """Per class: size ``n_c`` and test quota.  Total test = ceil(test_size·N);
     each class gets floor(total·n_c/N), the rest go one each to the largest
-    remainders (ties by label)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
+    remainders (ties by label).  ``counts`` (label, n_c) may be given."""
+    if counts is None:
+        counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
     allw = Window.partitionBy()  # over the class table only: one row per class
     n = F.sum("n_c").over(allw)
     n_test = F.ceil(F.lit(test_size) * n)
@@ -58,9 +66,10 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = C.T
                      seed: int = C.RANDOM_SEED, bucket_chars: int = 3) -> DataFrame:
     """Adds ``split`` ('train' / 'test') and ``class_rank``.  The test rows of a
     class are the first ``n_test`` in hash order."""
-    ranked = stratified_rank(df, label, key, seed, bucket_chars)
-    # one row per class; AQE turns this join into a broadcast once the size is measured
-    quotas = class_quotas(df, label, test_size).select(label, "n_test")
+    ranked, counts = _ranked(df, label, key, seed, bucket_chars, "class_rank")
+    # one row per class: broadcast after its size is checked, so rows are never
+    # shuffled by class (a hot class would otherwise land in one task)
+    quotas = broadcast_if_small(class_quotas(df, label, test_size, counts).select(label, "n_test"), MAX_CLASSES)
     return (ranked.join(quotas, label, "inner")
             .withColumn("split", F.when(F.col("class_rank") <= F.col("n_test"), "test").otherwise("train"))
             .drop("n_test"))
@@ -71,16 +80,37 @@ def stratified_folds(train: DataFrame, label: str, key: str, k: int = C.N_FOLDS,
     """Adds ``fold`` in [0, k): position in the class's hash order plus the rows
     of earlier classes (by label), modulo k — folds stay within one row in size
     and every class is spread evenly."""
-    ranked = stratified_rank(train.drop("class_rank") if "class_rank" in train.columns else train,
-                             label, key, seed, bucket_chars, out_col="_r")
-    counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    ranked, counts = _ranked(train.drop("class_rank") if "class_rank" in train.columns else train,
+                             label, key, seed, bucket_chars, "_r")
     w = Window.partitionBy().orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(label, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    offsets = counts.select(label, F.coalesce(F.sum("n_c").over(w), F.lit(0)).alias("_off"))
+    offsets = broadcast_if_small(offsets, MAX_CLASSES)
     return (ranked.join(offsets, label, "inner")
             .withColumn("fold", F.pmod(F.col("_r") - 1 + F.col("_off"), F.lit(k)).cast("int"))
             .drop("_r", "_off"))
 
 
+def split_and_folds(df: DataFrame, label: str, key: str, test_size: float = C.TEST_SIZE,
+                    k: int = C.N_FOLDS, seed: int = C.RANDOM_SEED, bucket_chars: int = 3) -> DataFrame:
+    """Split and train folds from one ranking pass.  Test rows are the first
+    ``n_test`` of their class in hash order, so a train row's rank among the
+    train rows is ``class_rank - n_test``; fold offsets come from the per-class
+    table.  Same result as :func:`stratified_split` then :func:`stratified_folds`
+    on the train rows.  Adds ``class_rank``, ``split`` and ``fold`` (-1 on test)."""
+    ranked, counts = _ranked(df, label, key, seed, bucket_chars, "class_rank")
+    q = class_quotas(df, label, test_size, counts)
+    w = Window.partitionBy().orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
+    per_class = q.select(label, "n_test",
+                         F.coalesce(F.sum(F.col("n_c") - F.col("n_test")).over(w), F.lit(0)).alias("_off"))
+    per_class = broadcast_if_small(per_class, MAX_CLASSES)
+    is_test = F.col("class_rank") <= F.col("n_test")
+    fold = F.pmod(F.col("class_rank") - F.col("n_test") - 1 + F.col("_off"), F.lit(k)).cast("int")
+    return (ranked.join(per_class, label, "inner")
+            .withColumn("split", F.when(is_test, "test").otherwise("train"))
+            .withColumn("fold", F.when(is_test, F.lit(-1)).otherwise(fold))
+            .drop("n_test", "_off"))
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced class weights ``n / (k · n_c)`` (one row per class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
@@ -91,5 +121,5 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def with_class_weights(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
     """Per-row sample weight from the class-weight table (one row per class)."""
-    w = class_weights(df, label).select(label, F.col("weight").alias(weight_col))
+    w = broadcast_if_small(class_weights(df, label).select(label, F.col("weight").alias(weight_col)), MAX_CLASSES)
     return df.join(w, label, "left")

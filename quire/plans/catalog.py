@@ -431,7 +431,7 @@ def split_rows(spark, root) -> DataFrame:
 
 
 def fold_rows(spark, root) -> DataFrame:
-    return SP.stratified_folds(split_rows(spark, root).filter(F.col("split") == "train"), "truth", "doc_id")
+    return SP.split_and_folds(scored(spark, root), "truth", "doc_id").filter(F.col("split") == "train")
 
 
 @register("label_distribution", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
@@ -555,9 +555,7 @@ SELECT round(avg(accuracy), 9) AS accuracy_mean, round(stddev_pop(accuracy), 9)
        round(avg(f1_macro), 9) AS f1_macro_mean, round(stddev_pop(f1_macro), 9) AS f1_macro_std FROM per""")
 def q_fold_metrics(spark, root):
     folds = fold_rows(spark, root)
-    acc = M.accuracy(folds, "truth", "pred_rule", ["fold"]).select("fold", "accuracy")
-    f1 = M.macro_f1(folds, "truth", "pred_rule", QUALITY_FIXED, ["fold"])
-    s = M.fold_summary(acc.join(f1, "fold"), ["accuracy", "f1_macro"])
+    s = M.fold_summary(M.scores(folds, "truth", "pred_rule", QUALITY_FIXED, ["fold"]), ["accuracy", "f1_macro"])
     return s.select(*[F.round(c, 9).alias(c) for c in s.columns])
 
 
@@ -912,9 +910,8 @@ def feature_matrix(spark, root) -> DataFrame:
     f = KW.keyword_features(ents.withColumn("_comb", comb), "_comb", DOC_DICT, DOC_THRESHOLDS)
     f = f.withColumn("price_tier", KW.price_tier_expr(F.col("sleep"), TIER_LOW, TIER_HIGH).cast("long"))
     f = KW.one_hot(f, "lang", LANGS)
-    out = _keyword_out(f, ["doc_id"]).join(f.select("doc_id", "price_tier", *[f"region_{v}" for v in LANGS],
-                                                    F.col("name").alias("destination_name"), "label"), "doc_id")
-    return out.drop("doc_id")
+    return _keyword_out(f, ["price_tier", *[F.col(f"region_{v}").cast("long").alias(f"region_{v}") for v in LANGS],
+                            F.col("name").alias("destination_name"), "label"])
 
 
 SQL_FEATURES = f"""

@@ -143,3 +143,13 @@ def test_compare_reports(spark):
     b = spark.createDataFrame([("A", 0.5), ("C", 0.4)], "label string, f1 double")
     r = {x.label: x for x in M.compare_reports(a, b).collect()}
     assert r["A"].sign == "" and r["B"].sign == "-" and r["C"].sign == "+" and abs(r["C"].delta - 0.4) < 1e-12
+
+
+def test_split_and_folds_equals_two_step(spark):
+    rows = [(i, "hot" if i % 4 else f"c{i % 5}") for i in range(997)]
+    df = spark.createDataFrame(rows, "id long, label string")
+    one = {r.id: (r.split, r.fold, r.class_rank) for r in SP.split_and_folds(df, "label", "id").collect()}
+    sp = SP.stratified_split(df, "label", "id")
+    folds = {r.id: r.fold for r in SP.stratified_folds(sp.filter("split = 'train'"), "label", "id").collect()}
+    two = {r.id: (r.split, folds.get(r.id, -1), r.class_rank) for r in sp.collect()}
+    assert one == two
