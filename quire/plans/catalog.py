@@ -79,8 +79,9 @@ def doc_wikitext(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "lang", "source", doc_name().alias("name"), w.alias("wikitext"))
 
 
-def doc_articles(spark, root) -> DataFrame:
-    return TB.wikitext_to_article(doc_wikitext(t(spark, root, "documents")), "wikitext")
+def doc_articles(spark, root, docs: DataFrame | None = None) -> DataFrame:
+    docs = docs if docs is not None else t(spark, root, "documents")
+    return TB.wikitext_to_article(doc_wikitext(docs), "wikitext")
 
 
 SQL_WIKI = f"""
@@ -392,12 +393,13 @@ def _quality(c):
 
 
 def scored(spark, root) -> DataFrame:
-    """labels ⋈ documents with truth, rule prediction and toxic prediction."""
-    docs = t(spark, root, "documents").select("doc_id", "text")
+    """labels ⋈ documents with truth, rule prediction and toxic prediction.
+    The join comes first, so keyword counting runs on labelled documents only."""
+    lab = t(spark, root, "labels")
+    docs = lab.join(t(spark, root, "documents").select("doc_id", "text"), "doc_id", "inner")
     f = KW.keyword_features(docs, "text", DOC_DICT, DOC_THRESHOLDS)
     total = F.col("alpha_keyword_count") + F.col("beta_keyword_count") + F.col("gamma_keyword_count")
-    lab = t(spark, root, "labels")
-    return lab.join(f.select("doc_id", total.alias("hits")), "doc_id", "inner").select(
+    return f.withColumn("hits", total).select(
         "doc_id", _quality(F.col("quality")).alias("truth"),
         F.when(F.col("hits") >= 40, "good").otherwise("poor").alias("pred_rule"),
         F.when(F.col("toxic") == 0, "good").otherwise("poor").alias("pred_toxic"))
@@ -904,8 +906,9 @@ def feature_matrix(spark, root) -> DataFrame:
     """entities (labelled documents) ⋈ articles → keyword features of
     understand+do, price tier of sleep, language one-hot, name and label."""
     lab = t(spark, root, "labels").select("doc_id", _quality(F.col("quality")).alias("label"))
-    arts = doc_articles(spark, root)
-    ents = lab.join(arts, "doc_id", "inner")
+    # entities first, then section extraction on the matched documents only
+    ents = doc_articles(spark, root, lab.join(t(spark, root, "documents"), "doc_id", "inner")) \
+        .join(lab, "doc_id", "inner")
     comb = F.concat(F.coalesce(F.col("understand"), F.lit("")), F.lit(" "), F.coalesce(F.col("do"), F.lit("")))
     f = KW.keyword_features(ents.withColumn("_comb", comb), "_comb", DOC_DICT, DOC_THRESHOLDS)
     f = f.withColumn("price_tier", KW.price_tier_expr(F.col("sleep"), TIER_LOW, TIER_HIGH).cast("long"))
