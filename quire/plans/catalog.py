@@ -1164,3 +1164,61 @@ def q_stream_answers(spark, root):
                   dictionary=LANG_DICT, thresholds=LANG_THRESHOLDS, regions=[])
     return spark.read.parquet(os.path.join(base, "responses")).select(
         "request_id", "session_id", "predicted_style", "style_confidence", "chunks_retrieved", "no_hits")
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks on driver data: files written by Spark from the tables are
+# read back through the readers (scratch folder under spark.checkpoint.dir).
+# ---------------------------------------------------------------------------
+@register("feature_csv_round_trip", f"WITH {SQL_WIKI}, {SQL_FEATURES} SELECT * FROM fm")
+def q_feature_csv_round_trip(spark, root):
+    import os
+    from ..sources.sinks import write_csv
+    path = os.path.join(_scratch(spark, "features-csv"), "features.csv")
+    fm = feature_matrix(spark, root)
+    write_csv(fm, path)
+    # read back with the schema generated from the dictionary and domain (never inferred)
+    return spark.read.schema(fm.schema).option("header", True).option("escape", '"').csv(path)
+
+
+@register("article_json_round_trip", f"""
+WITH {SQL_WIKI}
+SELECT 'v1_' || md5(lower(name)) || '.json' AS cache_key, name AS title, understand, "do", sleep, full_text FROM art""")
+def q_article_json_round_trip(spark, root):
+    import os
+    path = os.path.join(_scratch(spark, "articles-json"), "cache")
+    arts = doc_articles(spark, root).select(TB.cache_key("name").alias("k"), F.col("name").alias("title"),
+                                            "understand", "do", "sleep", "full_text")
+    # one JSON document per article, named by its content-addressed key
+    arts.write.partitionBy("k").json(path)
+    back = spark.read.schema("title string, understand string, do string, sleep string, full_text string") \
+        .json(path).withColumn("cache_key", F.regexp_extract(F.input_file_name(), r"k=([^/]+)/", 1))
+    return back.select("cache_key", "title", *[F.coalesce(F.col(c), F.lit("")).alias(c)
+                                               for c in ("understand", "do", "sleep", "full_text")])
+
+
+@register("index_write_verify", f"""
+WITH {SQL_WIKI}, {SQL_CHUNKS}
+SELECT 'wikivoyage:' || name AS source_document, count(*) AS n_chunks FROM chunks GROUP BY name""")
+def q_index_write_verify(spark, root):
+    import os
+    from ..operators.encode import HashingEncoder
+    from ..sources import sinks
+    from .index import build_index
+    path = os.path.join(_scratch(spark, "index"), "rag_chunks")
+    arts = doc_articles(spark, root).select(F.col("name").alias("destination"), "understand", "do", "sleep",
+                                            "full_text", F.col("name").alias("cache_key"))
+    ents = t(spark, root, "documents").select(doc_name().alias("cache_key"))
+    res = build_index(ents, arts, HashingEncoder(C.EMBEDDING_DIM), key="cache_key", path=path,
+                      on_conflict="append")
+    # re-sending every source with replace_source must not duplicate any chunk
+    sinks.write_chunks(spark.read.parquet(path), path, "replace_source")
+    stored = spark.read.parquet(path)
+    return stored.groupBy("source_document").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+@register("table_health", " UNION ALL ".join(
+    f"SELECT '{n}' AS \"table\", 'ok' AS status, count(*) AS n FROM {n}" for n in TB.DRIVER_TABLES))
+def q_table_health(spark, root):
+    import os
+    return SV.check_tables(spark, {n: os.path.join(root, f"{n}.parquet") for n in TB.DRIVER_TABLES})
