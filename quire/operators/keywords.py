@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import constants as C
 from ..functions.text import as_col, keyword_hits
@@ -20,19 +22,79 @@ def _class_key(name: str) -> str:
     return name.lower()
 
 
+_AUTOMATA: dict = {}
+
+
+def automaton_counts(text, dictionary: Mapping[str, Sequence[str]]):
+    """Struct of per-class hit counts from one Aho-Corasick pass over each text.
+
+    Same semantics as :func:`quire.functions.text.keyword_hits` (distinct list
+    entries found as substrings of the lower-cased text; a duplicated entry
+    counts twice) but the cost per text no longer grows with the dictionary:
+    the JVM forms scan each text once per keyword.  Runs on Arrow batches; the
+    automaton is built once per Python worker.
+    """
+    classes = list(dictionary)
+    entries = tuple((ci, k.lower()) for ci, c in enumerate(classes) for k in dictionary[c])
+    key = hash(entries)
+    names = [f"_n{i}" for i in range(len(classes))]
+    schema = T.StructType([T.StructField(n, T.IntegerType()) for n in names])
+
+    def counts(s: pd.Series) -> pd.DataFrame:
+        from quire.operators import keywords as mod
+        got = mod._AUTOMATA.get(key)
+        if got is None:
+            import ahocorasick
+            auto = ahocorasick.Automaton()
+            words: dict = {}
+            for ci, k in entries:
+                words.setdefault(k, []).append(ci)
+            for k, cis in words.items():
+                if k:
+                    auto.add_word(k, np.bincount(cis, minlength=len(classes)))
+            auto.make_automaton()
+            empty = np.bincount([ci for ci, k in entries if not k], minlength=len(classes))
+            got = mod._AUTOMATA[key] = (auto, empty)
+        auto, empty = got
+        out = np.zeros((len(s), len(classes)), dtype=np.int32)
+        for r, t in enumerate(s):
+            if t is None or (isinstance(t, float) and np.isnan(t)):
+                t = ""
+            found = {}
+            for _, vec in auto.iter(t.lower()):
+                found[id(vec)] = vec
+            row = empty.copy()
+            for vec in found.values():
+                row += vec
+            out[r] = row
+        return pd.DataFrame(out, columns=names)
+
+    udf = F.pandas_udf(counts, schema)
+    return udf(F.col(text) if isinstance(text, str) else text)
+
+
 def keyword_features(df: DataFrame, text_col: str,
                      dictionary: Mapping[str, Sequence[str]] = C.CLASS_KEYWORDS,
                      thresholds: Mapping[str, int] = C.CLASS_THRESHOLDS,
                      method: str = "filter", keep_input: bool = True) -> DataFrame:
     """Adds ``{c}_keyword_count``, ``{c}_keyword_binary`` (count >= threshold) for
-    each class and ``{c}_keyword_ratio`` = count / max(total, 1)."""
+    each class and ``{c}_keyword_ratio`` = count / max(total, 1).
+
+    ``method``: "filter" / "sum" (JVM, one scan of the text per keyword; the
+    default, fine for dictionaries of a few hundred entries) or "automaton" (one
+    Aho-Corasick pass per text whatever the dictionary size)."""
     classes = list(dictionary)
     base = df.columns if keep_input else []
-    low = F.lower(F.coalesce(as_col(text_col), F.lit("")))
-    # Counts are computed once in their own projection; binaries and ratios read them.
-    counted = df.withColumn("_low", low).select(
-        *base, *[keyword_hits(F.col("_low"), dictionary[c], method).alias(f"{_class_key(c)}_keyword_count")
-                 for c in classes])
+    if method == "automaton":
+        packed = df.withColumn("_kc", automaton_counts(F.col(text_col), dictionary))
+        counted = packed.select(*base, *[F.col(f"_kc._n{i}").alias(f"{_class_key(c)}_keyword_count")
+                                         for i, c in enumerate(classes)])
+    else:
+        low = F.lower(F.coalesce(as_col(text_col), F.lit("")))
+        # Counts are computed once in their own projection; binaries and ratios read them.
+        counted = df.withColumn("_low", low).select(
+            *base, *[keyword_hits(F.col("_low"), dictionary[c], method).alias(f"{_class_key(c)}_keyword_count")
+                     for c in classes])
     total = None
     for c in classes:
         term = F.col(f"{_class_key(c)}_keyword_count")

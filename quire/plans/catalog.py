@@ -137,6 +137,15 @@ def q_keyword_features(spark, root):
     return _keyword_out(f, ["doc_id"])
 
 
+# --- SCL-1 with one Aho-Corasick pass per text (large-dictionary form) ---
+@register("keyword_features_automaton", f"""
+SELECT doc_id, {sql_keyword_cols('text')} FROM documents""")
+def q_keyword_features_automaton(spark, root):
+    docs = t(spark, root, "documents").select("doc_id", "text")
+    f = KW.keyword_features(docs, "text", DOC_DICT, DOC_THRESHOLDS, method="automaton")
+    return _keyword_out(f, ["doc_id"])
+
+
 # --- SCL-4: two-dictionary price tier over the last line ---
 @register("price_tier", f"""
 WITH d AS (SELECT doc_id, coalesce(string_split(coalesce(text, ''), chr(10))[-1], '') AS last_line FROM documents)

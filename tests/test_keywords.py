@@ -126,3 +126,16 @@ def test_rule_class(spark):
     df = spark.createDataFrame([(1, "hiking diving museum"), (2, "nothing"), (3, "spa museum")], "id int, text string")
     r = {x["id"]: x["rule_class"] for x in rule_class(keyword_features(df, "text")).collect()}
     assert r == {1: "Adventure", 2: None, 3: "Relaxation"}  # tie → first class in order
+
+
+def test_automaton_equals_jvm_forms(spark):
+    rows = [(1, "Hiking and TREKKING near the temple; spa & yoga; kids zoo"), (2, ""), (3, None),
+            (4, "ÉCOLE — Straße; five-star luxury hostel budget cheap eats"), (5, "trek trek trek")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    a = {r.id: r.asDict() for r in keyword_features(df, "text", method="automaton").collect()}
+    b = {r.id: r.asDict() for r in keyword_features(df, "text", method="filter").collect()}
+    assert a == b
+    dup = {"X": ["ab", "ab", "b"], "Y": ["b"]}
+    r = keyword_features(spark.createDataFrame([(1, "AB")], "id int, text string"), "text", dup,
+                         {"X": 1, "Y": 1}, method="automaton").first()
+    assert r["x_keyword_count"] == 3 and r["y_keyword_count"] == 1
