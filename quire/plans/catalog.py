@@ -1231,3 +1231,26 @@ def q_index_write_verify(spark, root):
 def q_table_health(spark, root):
     import os
     return SV.check_tables(spark, {n: os.path.join(root, f"{n}.parquet") for n in TB.DRIVER_TABLES})
+
+
+@register("phase_comparison")
+def q_phase_comparison(spark, root):
+    """Keyword features alone (phase a) against keyword features plus 50 PCA
+    components of text vectors fitted on train rows (phase b); per-class test F1
+    of each phase's winner, missing → 0, delta and sign."""
+    from ..operators import ml as ML
+    from ..operators.encode import HashingEncoder, encode_nonempty
+    from .experiment import compare_phases, prepare, run_experiment
+    f, cols = lang_features(spark, root)
+    models = ["LogisticRegression", "RandomForest"]
+    a = run_experiment(f, cols, "lang", "doc_id", LANG_LABELS, models=models, phase="a")
+    docs = t(spark, root, "documents").select("doc_id", "text")
+    vec = encode_nonempty(docs, HashingEncoder(C.EMBEDDING_DIM), "text").select("doc_id", "embedding")
+    split = a["prepared"].select("doc_id", "split")
+    emb, _var = ML.add_pca_features(vec.join(split, "doc_id"), "embedding", F.col("split") == "train",
+                                    k=C.PCA_COMPONENTS)
+    pcs = [f"emb_pca_{i}" for i in range(C.PCA_COMPONENTS)]
+    fb = f.join(emb.select("doc_id", *pcs), "doc_id")
+    b = run_experiment(fb, cols + pcs, "lang", "doc_id", LANG_LABELS, models=models, phase="b")
+    return compare_phases(a["test_report"], b["test_report"]) \
+        .withColumn("winner_a", F.lit(a["best"])).withColumn("winner_b", F.lit(b["best"]))

@@ -60,3 +60,16 @@ def test_incremental_indexing_replaces_source(spark, tmp_dir):
     index_new_articles(spark, os.path.join(src, "*"), sch, idx, ck, enc)
     got = sorted((r.source_document, r.chunk_index) for r in spark.read.parquet(idx).collect())
     assert got == [("wikivoyage:A", 0), ("wikivoyage:B", 0)]
+
+
+def test_tune_single_cross_validator(spark):
+    from quire.operators import split as SP
+    rng = np.random.default_rng(3)
+    rows = [(i, "a" if i % 2 else "b", float(i % 2) + rng.normal() * 0.3) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, label string, x double")
+    df = SP.stratified_folds(df, "label", "id", k=3)
+    df = ML.index_labels(df, "label", ["a", "b"]).withColumn("weight", F.lit(1.0))
+    best, score = ML.tune(df, "RandomForest", ["x"], ["a", "b"], {"n_estimators": [5, 10], "max_depth": [None, 2]})
+    assert set(best) == {"n_estimators", "max_depth"} and 0.5 < score <= 1.0
+    best, score = ML.tune(df, "LogisticRegression", ["x"], ["a", "b"], {"C": [0.01, 1.0]})
+    assert best["C"] in (0.01, 1.0) and score > 0.6
