@@ -780,9 +780,9 @@ def q_recent_runs(spark, root):
 
 
 @register("conversation_summary", """
-SELECT conv_id, count(*) AS n_messages, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS n_user,
-  sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS n_assistant, max(turn) AS last_turn,
-  arg_max(role, turn) AS last_role, sum(length(text)) AS total_chars
+SELECT conv_id, count(*) AS n_messages, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS n_user,
+  CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS n_assistant, max(turn) AS last_turn,
+  arg_max(role, turn) AS last_role, CAST(sum(length(text)) AS BIGINT) AS total_chars
 FROM conversations GROUP BY conv_id""")
 def q_conversation_summary(spark, root):
     from ..operators.messages import conversation_summary
@@ -942,7 +942,7 @@ def q_feature_matrix(spark, root):
 @register("matrix_report", f"""
 WITH {SQL_WIKI}, {SQL_FEATURES},
 agg AS (SELECT count(*) AS n_rows, list_sort(list_distinct(list(label))) AS lc FROM fm)
-SELECT n_rows, 17 AS n_cols, FALSE AS has_nulls, array_to_string(lc, ',') AS label_classes,
+SELECT n_rows, CAST(17 AS BIGINT) AS n_cols, FALSE AS has_nulls, array_to_string(lc, ',') AS label_classes,
   array_to_string(list_filter({'[' + ', '.join(Q.q(x) for x in sorted(QUALITY_FIXED)) + ']'}, lambda x: NOT list_contains(lc, x)), ',') AS missing_labels,
   array_to_string(list_filter(lc, lambda x: NOT list_contains({'[' + ', '.join(Q.q(x) for x in QUALITY_FIXED) + ']'}, x)), ',') AS unexpected_labels,
   n_rows >= 50 AND len(list_filter({'[' + ', '.join(Q.q(x) for x in QUALITY_FIXED) + ']'}, lambda x: NOT list_contains(lc, x))) = 0 AS ok
@@ -956,7 +956,8 @@ def q_matrix_report(spark, root):
 
 @register("feature_alignment", f"""
 SELECT conv_id, turn, {', '.join(f"CAST({Q.hits("lower(coalesce(text, ''))", DOC_DICT[c])} AS DOUBLE) AS {c.lower()}_keyword_count" for c in DOC_DICT)},
-  CAST(2 AS DOUBLE) AS price_tier, {', '.join(f'0.0 AS region_{v}' for v in LANGS)}, 0.0 AS emb_pca_0, 0.0 AS emb_pca_1
+  CAST(2 AS DOUBLE) AS price_tier, {', '.join(f'CAST(0 AS DOUBLE) AS region_{v}' for v in LANGS)},
+  CAST(0 AS DOUBLE) AS emb_pca_0, CAST(0 AS DOUBLE) AS emb_pca_1
 FROM conversations WHERE role = 'user'""")
 def q_feature_alignment(spark, root):
     from ..operators.align import align_columns
@@ -972,7 +973,7 @@ def q_feature_alignment(spark, root):
 
 @register("nonempty_encode", f"""
 WITH {SQL_WIKI}
-SELECT doc_id, length(substr(understand, 1, 2000)) > 0 AS has_text, 384 AS dims FROM art""")
+SELECT doc_id, length(substr(understand, 1, 2000)) > 0 AS has_text, CAST(384 AS BIGINT) AS dims FROM art""")
 def q_nonempty_encode(spark, root):
     from ..operators.encode import HashingEncoder, encode_nonempty
     a = doc_articles(spark, root).select("doc_id", "understand")

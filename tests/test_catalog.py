@@ -38,6 +38,11 @@ def test_query_matches_duckdb(spark, con, name):
     res = con.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in res.description]
     assert sorted(sdf.columns) == sorted(dcols)
+    types = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    rel = con.sql(E.oracle_sql()[name])
+    dtypes = {n: str(t) for n, t in zip(rel.columns, rel.types)}
+    for f in sdf.schema.fields:
+        assert types.get(f.dataType.simpleString(), f.dataType.simpleString()) == dtypes[f.name], f.name
     assert canon(sdf.columns, [tuple(r) for r in sdf.collect()]) == canon(dcols, res.fetchall())
 
 
