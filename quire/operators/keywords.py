@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import constants as C
+from .. import worker_state
 from ..functions.text import as_col, keyword_hits
 from ..schemas import region_column
 
@@ -22,9 +23,6 @@ def _class_key(name: str) -> str:
     return name.lower()
 
 
-_AUTOMATA: dict = {}
-
-
 def automaton_counts(text, dictionary: Mapping[str, Sequence[str]]):
     """Struct of per-class hit counts from one Aho-Corasick pass over each text.
 
@@ -41,8 +39,8 @@ def automaton_counts(text, dictionary: Mapping[str, Sequence[str]]):
     schema = T.StructType([T.StructField(n, T.IntegerType()) for n in names])
 
     def counts(s: pd.Series) -> pd.DataFrame:
-        from quire.operators import keywords as mod
-        got = mod._AUTOMATA.get(key)
+        cache = worker_state()
+        got = cache.get(("automaton", key))
         if got is None:
             import ahocorasick
             auto = ahocorasick.Automaton()
@@ -54,7 +52,7 @@ def automaton_counts(text, dictionary: Mapping[str, Sequence[str]]):
                     auto.add_word(k, np.bincount(cis, minlength=len(classes)))
             auto.make_automaton()
             empty = np.bincount([ci for ci, k in entries if not k], minlength=len(classes))
-            got = mod._AUTOMATA[key] = (auto, empty)
+            got = cache[("automaton", key)] = (auto, empty)
         auto, empty = got
         out = np.zeros((len(s), len(classes)), dtype=np.int32)
         for r, t in enumerate(s):
