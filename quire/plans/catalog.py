@@ -1255,3 +1255,16 @@ def q_phase_comparison(spark, root):
     b = run_experiment(fb, cols + pcs, "lang", "doc_id", LANG_LABELS, models=models, phase="b")
     return compare_phases(a["test_report"], b["test_report"]) \
         .withColumn("winner_a", F.lit(a["best"])).withColumn("winner_b", F.lit(b["best"]))
+
+
+@register("experiment_log")
+def q_experiment_log(spark, root):
+    """Compare, refit, report, save the winner and append the log; the log table
+    is read back."""
+    import os
+    from .experiment import run_experiment
+    base = _scratch(spark, "experiments")
+    f, cols = lang_features(spark, root)
+    run_experiment(f, cols, "lang", "doc_id", LANG_LABELS, models=["LogisticRegression", "RandomForest"],
+                   results_path=os.path.join(base, "results"), models_dir=os.path.join(base, "models"))
+    return spark.read.parquet(os.path.join(base, "results"))

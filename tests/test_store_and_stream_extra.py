@@ -73,3 +73,16 @@ def test_tune_single_cross_validator(spark):
     assert set(best) == {"n_estimators", "max_depth"} and 0.5 < score <= 1.0
     best, score = ML.tune(df, "LogisticRegression", ["x"], ["a", "b"], {"C": [0.01, 1.0]})
     assert best["C"] in (0.01, 1.0) and score > 0.6
+
+
+def test_language_model_beats_majority_class(spark):
+    from conftest import SF_SMALL
+    from quire.plans import catalog as CA
+    from quire.plans.experiment import run_experiment
+    f, cols = CA.lang_features(spark, SF_SMALL)
+    res = run_experiment(f, cols, "lang", "doc_id", CA.LANG_LABELS, models=["LogisticRegression"])
+    run = res["runs"].first()
+    counts = [r["count"] for r in f.groupBy("lang").count().collect()]
+    assert run.accuracy_mean > max(counts) / sum(counts) + 0.1
+    assert {r.model_name for r in res["log"].collect()} == {"LogisticRegression_phasea",
+                                                           "LogisticRegression_phasea_WINNER"}
