@@ -72,10 +72,14 @@ def doc_lines(df: DataFrame, n: int = 4) -> DataFrame:
 
 
 def doc_wikitext(docs: DataFrame) -> DataFrame:
-    """Wiki markup composed from the first four lines of each document."""
+    """Wiki markup composed from the whole document: line 1 under Understand,
+    line 2 under Do, line 3 under a sub-heading, and every remaining line under
+    Sleep."""
     d = doc_lines(docs)
+    arr = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
+    rest = F.array_join(F.slice(arr, 4, F.greatest(F.size(arr), F.lit(1))), "\n")
     w = F.concat(F.lit("==Understand==\n"), F.col("l1"), F.lit("\n==Do==\n"), F.col("l2"),
-                 F.lit("\n===Sub===\n"), F.col("l3"), F.lit("\n== Sleep ==\n"), F.col("l4"))
+                 F.lit("\n===Sub===\n"), F.col("l3"), F.lit("\n== Sleep ==\n"), rest)
     return d.select("doc_id", "lang", "source", doc_name().alias("name"), w.alias("wikitext"))
 
 
@@ -89,7 +93,7 @@ d0 AS (SELECT doc_id, lang, source, string_split(coalesce(text, ''), chr(10)) AS
 w AS (SELECT doc_id, lang, source, 'doc' || CAST(doc_id AS VARCHAR) AS name,
   '==Understand==' || chr(10) || coalesce(l[1], '') || chr(10) || '==Do==' || chr(10) || coalesce(l[2], '')
   || chr(10) || '===Sub===' || chr(10) || coalesce(l[3], '') || chr(10) || '== Sleep ==' || chr(10)
-  || coalesce(l[4], '') AS wikitext FROM d0),
+  || array_to_string(l[4:], chr(10)) AS wikitext FROM d0),
 art AS (SELECT doc_id, lang, source, name,
   {Q.section('wikitext', 'Understand')} AS understand,
   {Q.section('wikitext', 'Do')} AS "do",
