@@ -18,14 +18,38 @@ DEFAULT_CONF = {
 }
 
 
+# Starting point for a large cluster (~100 TB inputs, ~1000 executors).  Shuffle
+# partitions start high and AQE coalesces them to the advisory size, so a
+# 100 TB shuffle lands near 256 MB per task instead of spilling; skewed
+# partitions above 5x the median (and 512 MB) are split.  Arrow batches of 8,192
+# rows keep the search's per-batch similarity block (queries × rows × 8 bytes)
+# small.  Broadcasts Spark picks on its own stay under 64 MB; the operators'
+# own broadcasts are separately size-checked.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(64 << 20),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "8192",
+    "spark.python.worker.reuse": "true",
+    "spark.sql.sources.partitionOverwriteMode": "static",
+}
+
+
 def get_spark(master: str | None = None, app: str = "quire",
               shuffle_partitions: int | None = None,
-              conf: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with AQE, UTC time and Arrow transfer on."""
+              conf: dict | None = None, cluster: bool = False) -> SparkSession:
+    """Build (or reuse) a session with AQE, UTC time and Arrow transfer on;
+    ``cluster=True`` adds :data:`CLUSTER_CONF`."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     settings = dict(DEFAULT_CONF)
+    if cluster:
+        settings.update(CLUSTER_CONF)
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf or {})
