@@ -80,7 +80,7 @@ def doc_wikitext(docs: DataFrame) -> DataFrame:
     rest = F.array_join(F.slice(arr, 4, F.greatest(F.size(arr), F.lit(1))), "\n")
     w = F.concat(F.lit("==Understand==\n"), F.col("l1"), F.lit("\n==Do==\n"), F.col("l2"),
                  F.lit("\n===Sub===\n"), F.col("l3"), F.lit("\n== Sleep ==\n"), rest)
-    return d.select("doc_id", "lang", "source", doc_name().alias("name"), w.alias("wikitext"))
+    return d.select(*[c for c in docs.columns if c != "text"], doc_name().alias("name"), w.alias("wikitext"))
 
 
 def doc_articles(spark, root, docs: DataFrame | None = None) -> DataFrame:
@@ -920,8 +920,8 @@ def feature_matrix(spark, root) -> DataFrame:
     understand+do, price tier of sleep, language one-hot, name and label."""
     lab = t(spark, root, "labels").select("doc_id", _quality(F.col("quality")).alias("label"))
     # entities first, then section extraction on the matched documents only
-    ents = doc_articles(spark, root, lab.join(t(spark, root, "documents"), "doc_id", "inner")) \
-        .join(lab, "doc_id", "inner")
+    ents = doc_articles(spark, root, lab.join(t(spark, root, "documents").select("doc_id", "text", "lang"),
+                                              "doc_id", "inner"))
     comb = F.concat(F.coalesce(F.col("understand"), F.lit("")), F.lit(" "), F.coalesce(F.col("do"), F.lit("")))
     f = KW.keyword_features(ents.withColumn("_comb", comb), "_comb", DOC_DICT, DOC_THRESHOLDS)
     f = f.withColumn("price_tier", KW.price_tier_expr(F.col("sleep"), TIER_LOW, TIER_HIGH).cast("long"))
