@@ -86,3 +86,13 @@ def test_language_model_beats_majority_class(spark):
     assert run.accuracy_mean > max(counts) / sum(counts) + 0.1
     assert {r.model_name for r in res["log"].collect()} == {"LogisticRegression_phasea",
                                                            "LogisticRegression_phasea_WINNER"}
+
+
+def test_stream_answers_equal_batch_answers(spark):
+    from conftest import SF_SMALL
+    from quire.plans import catalog as CA
+    batch = {(r.request_id, r.predicted_style, r.chunks_retrieved, r.no_hits)
+             for r in CA.QUERIES["answer_requests"](spark, SF_SMALL).collect()}
+    stream = {(r.request_id, r.predicted_style, r.chunks_retrieved, r.no_hits)
+              for r in CA.QUERIES["stream_answers"](spark, SF_SMALL).collect()}
+    assert batch == stream and len(batch) > 0

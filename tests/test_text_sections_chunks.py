@@ -108,3 +108,15 @@ def test_chunk_text_cut(spark):
                                "destination string, understand string, do string, sleep string, full_text string")
     r = chunk_articles(df).first()
     assert r.chunk_text == "Z - Understand: " + "w" * C.CHUNK_TEXT_CHARS
+
+
+def test_sections_with_subsections(spark):
+    cases = {
+        "==Understand==\nHello\n==Do==\n* hiking\n===Sub===\nmore\n==Sleep==\nhostel": "* hiking\n===Sub===\nmore",
+        "===Do===\nx\n====Deep====\ny\n===Other===\nz": "x\n====Deep====\ny",
+        "==Do==\nonly": "only",
+        "no head": "",
+        "==Redo==\nq\n==Do==\nr\n===a===\ns": "r\n===a===\ns",
+    }
+    got = col1(spark, list(cases), lambda c: extract_section(c, "Do", include_subsections=True))
+    assert got == list(cases.values())
