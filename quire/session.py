@@ -50,6 +50,9 @@ def get_spark(master: str | None = None, app: str = "quire",
     settings = dict(DEFAULT_CONF)
     if cluster:
         settings.update(CLUSTER_CONF)
+    if (master or "").startswith("local"):
+        # local mode: the driver JVM is also the only executor
+        settings.setdefault("spark.driver.memory", "8g")
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf or {})
