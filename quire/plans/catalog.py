@@ -1061,7 +1061,13 @@ def q_embedding_pca(spark, root):
         .withColumn("explained_variance", F.lit(round(var, 6)))
 
 
-@register("encode_texts")
+@register("encode_texts", f"""
+WITH {SQL_WIKI},
+x AS (SELECT doc_id, substr(CASE WHEN length({Q.strip('understand')}) > 0 THEN understand ELSE full_text END, 1, 2000) AS t
+      FROM art)
+SELECT doc_id, length(t) > 0 AS has_text, CAST(384 AS BIGINT) AS dims,
+  CAST(CASE WHEN regexp_matches(t, '[\\pL\\pN\\p{{Mn}}\\p{{Mc}}\\p{{Me}}\\p{{Pc}}]') THEN 1 ELSE 0 END AS DOUBLE) AS norm
+FROM x""")
 def q_encode_texts(spark, root):
     from ..operators.encode import HashingEncoder, encode_nonempty
     a = doc_articles(spark, root)
