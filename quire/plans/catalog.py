@@ -1121,16 +1121,8 @@ def q_answer_requests(spark, root):
 # restarted between them and must add every document exactly once.
 # ---------------------------------------------------------------------------
 def _scratch(spark, name):
-    import os
-    import uuid
-    from ..session import is_local
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not is_local(spark):
-            raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder there")
-        import tempfile
-        root = tempfile.mkdtemp(prefix="quire-stream-")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:8]}")
+    from ..session import scratch_path
+    return scratch_path(spark, name)
 
 
 @register("stream_features", f"""

@@ -102,3 +102,17 @@ def cut_lineage(df, spark: SparkSession | None = None):
         fallback = tempfile.mkdtemp(prefix="quire-ckpt-")
     checkpoint_dir(spark, fallback)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate tables, under the shared checkpoint root
+    (``spark.checkpoint.dir``); only a local-mode session without that setting
+    falls back to a temporary folder of its own."""
+    import uuid
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder there")
+        import tempfile
+        root = tempfile.mkdtemp(prefix="quire-scratch-")
+    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
