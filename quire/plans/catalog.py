@@ -776,7 +776,8 @@ r AS (SELECT CAST(e.event_id AS VARCHAR) AS run_id, 'event ' || e.event_type ||
       FROM events e LEFT JOIN c ON c.conv_id = e.user_id)
 SELECT run_id, user_input,
   CASE WHEN length(agent_response) > 100 THEN substr(agent_response, 1, 100) || '...' ELSE agent_response END AS agent_response,
-  status, strftime(started_at, '%Y-%m-%d %H:%M:%S.%f') AS started_at
+  status, CASE WHEN epoch_us(started_at) % 1000000 = 0 THEN strftime(started_at, '%Y-%m-%d %H:%M:%S')
+               ELSE strftime(started_at, '%Y-%m-%d %H:%M:%S.%f') END AS started_at
 FROM r ORDER BY r.started_at DESC, run_id DESC LIMIT 10""")
 def q_recent_runs(spark, root):
     return SV.history(runs_table(spark, root), 10)

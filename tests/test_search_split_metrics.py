@@ -153,3 +153,11 @@ def test_split_and_folds_equals_two_step(spark):
     folds = {r.id: r.fold for r in SP.stratified_folds(sp.filter("split = 'train'"), "label", "id").collect()}
     two = {r.id: (r.split, folds.get(r.id, -1), r.class_rank) for r in sp.collect()}
     assert one == two
+
+
+def test_timestamp_text_like_python_str(spark):
+    import datetime as dt
+    from quire.operators.serving import timestamp_text
+    vals = [dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2, 3, 4, 5, 120)]
+    df = spark.createDataFrame([(v,) for v in vals], "ts timestamp")
+    assert [r[0] for r in df.select(timestamp_text(F.col("ts"))).collect()] == [str(v) for v in vals]
