@@ -508,9 +508,10 @@ def q_stratified_folds(spark, root):
 
 
 @register("accuracy", f"""
-WITH {SQL_SCORED} SELECT avg(CASE WHEN truth = pred_rule THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n FROM sc""")
+WITH {SQL_SCORED} SELECT round(avg(CASE WHEN truth = pred_rule THEN 1.0 ELSE 0.0 END), 9) AS accuracy, count(*) AS n FROM sc""")
 def q_accuracy(spark, root):
-    return M.accuracy(scored(spark, root), "truth", "pred_rule")
+    a = M.accuracy(scored(spark, root), "truth", "pred_rule")
+    return a.select(F.round("accuracy", 9).alias("accuracy"), "n")
 
 
 def _sql_per_class(src: str, pred: str, labels=None) -> str:
