@@ -917,18 +917,22 @@ def q_vector_codec(spark, root):
 # Feature matrix end to end and its table rules
 # ---------------------------------------------------------------------------
 def feature_matrix(spark, root) -> DataFrame:
-    """entities (labelled documents) ⋈ articles → keyword features of
-    understand+do, price tier of sleep, language one-hot, name and label."""
+    """PIP-1 on the driver tables: labelled documents are the entities (name,
+    language as region, quality as label), their composed articles are matched
+    by cache key; section and keyword work runs on labelled documents only."""
+    from .features import build_features
     lab = t(spark, root, "labels").select("doc_id", _quality(F.col("quality")).alias("label"))
-    # entities first, then section extraction on the matched documents only
-    ents = doc_articles(spark, root, lab.join(t(spark, root, "documents").select("doc_id", "text", "lang"),
-                                              "doc_id", "inner"))
-    comb = F.concat(F.coalesce(F.col("understand"), F.lit("")), F.lit(" "), F.coalesce(F.col("do"), F.lit("")))
-    f = KW.keyword_features(ents.withColumn("_comb", comb), "_comb", DOC_DICT, DOC_THRESHOLDS)
-    f = f.withColumn("price_tier", KW.price_tier_expr(F.col("sleep"), TIER_LOW, TIER_HIGH).cast("long"))
-    f = KW.one_hot(f, "lang", LANGS)
-    return _keyword_out(f, ["price_tier", *[F.col(f"region_{v}").cast("long").alias(f"region_{v}") for v in LANGS],
-                            F.col("name").alias("destination_name"), "label"])
+    docs = t(spark, root, "documents").select("doc_id", "text", "lang")
+    labelled = docs.join(lab.select("doc_id"), "doc_id", "left_semi")
+    ents = lab.join(labelled.select("doc_id", "lang"), "doc_id", "inner").select(
+        doc_name().alias("destination_name"), F.col("lang").alias("region"),
+        F.col("label").alias("travel_style_label"), F.col("doc_id").alias("ord"))
+    arts = doc_articles(spark, root, labelled).select(TB.cache_key("name").alias("cache_key"),
+                                                      "understand", "do", "sleep")
+    feats, _rejects = build_features(ents, arts, DOC_DICT, DOC_THRESHOLDS, LANGS, TIER_LOW, TIER_HIGH)
+    return _keyword_out(feats, [F.col("price_tier").cast("long"),
+                                *[F.col(f"region_{v}").cast("long").alias(f"region_{v}") for v in LANGS],
+                                "destination_name", "label"])
 
 
 SQL_FEATURES = f"""

@@ -182,3 +182,31 @@ def test_index_answer_and_stream(spark, tmp_dir):
     process_new(spark, os.path.join(src, "*"), schema, out, ck, "k", lambda d: d, order_col="k")
     o = spark.read.parquet(out)
     assert o.count() == 120 and o.select("k").distinct().count() == 120
+
+
+def test_build_features_end_to_end(spark, tmp_dir):
+    import hashlib
+    from quire.plans.features import build_features
+    from quire.schemas import feature_columns
+    p = os.path.join(tmp_dir, "e.csv")
+    with open(p, "w") as f:
+        f.write("destination_name,country,region,travel_style_label,wikivoyage_url\n"
+                "Sa Pa,Vietnam,Southeast Asia,Culture,u\n"
+                "Sa Pa,Vietnam,East Asia,Adventure,u\n"
+                "Nowhere,X,Atlantis,Budget,u\n"
+                "Ghost,Y,Oceania,Luxury,u\n")
+    ents = read_entities(spark, p)
+    d = os.path.join(tmp_dir, "cache")
+    os.makedirs(d)
+    key = f"v1_{hashlib.md5('sa pa'.lower().encode()).hexdigest()}.json"
+    with open(os.path.join(d, key), "w") as f:
+        json.dump({"title": "Sa Pa", "understand": "trekking to hill tribe homestay villages",
+                   "do": "museum, temple, market", "sleep": "cheap hostel dorm", "full_text": "x"}, f)
+    feats, rej = build_features(ents, read_articles(spark, d))
+    rows = {r.destination_name: r for r in feats.collect()}
+    assert set(rows) == {"Sa Pa", "Ghost"} and [r.destination_name for r in rej.collect()] == ["Nowhere"]
+    sapa = rows["Sa Pa"]
+    assert sapa.label == "Culture" and sapa.region_southeast_asia == 1 and sapa.region_east_asia == 0
+    assert sapa.culture_keyword_count >= 5 and sapa.culture_keyword_binary == 1 and sapa.price_tier == 1
+    assert rows["Ghost"].is_empty_article and rows["Ghost"].price_tier == 2
+    assert feats.columns[:37] == feature_columns()
