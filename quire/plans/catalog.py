@@ -1135,7 +1135,7 @@ def _scratch(spark, name):
 SELECT doc_id, {sql_keyword_cols('text')} FROM documents""")
 def q_stream_features(spark, root):
     import os
-    from ..streaming.incremental import process_new
+    from ..streaming.incremental import process_new, read_output
     base = _scratch(spark, "stream-features")
     src, out, ck = (os.path.join(base, x) for x in ("in", "out", "ckpt"))
     docs = t(spark, root, "documents").select("doc_id", "text", "lang")
@@ -1150,7 +1150,7 @@ def q_stream_features(spark, root):
     process_new(spark, os.path.join(src, "*"), schema, out, ck, "doc_id", feats, order_col="doc_id")
     second_wave.write.mode("overwrite").parquet(os.path.join(src, "wave=2"))
     process_new(spark, os.path.join(src, "*"), schema, out, ck, "doc_id", feats, order_col="doc_id")
-    return spark.read.parquet(out)
+    return read_output(spark, out)
 
 
 @register("stream_answers")
@@ -1179,7 +1179,8 @@ def q_stream_answers(spark, root):
     answer_stream(spark, src, req.schema, index, enc, model, os.path.join(base, "responses"),
                   os.path.join(base, "runs"), os.path.join(base, "ckpt"),
                   dictionary=LANG_DICT, thresholds=LANG_THRESHOLDS, regions=[])
-    return spark.read.parquet(os.path.join(base, "responses")).select(
+    from ..streaming.incremental import read_output
+    return read_output(spark, os.path.join(base, "responses")).select(
         "request_id", "session_id", "predicted_style", "style_confidence", "chunks_retrieved", "no_hits")
 
 

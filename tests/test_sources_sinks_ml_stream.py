@@ -15,7 +15,7 @@ from quire.plans.answer import answer_requests, run_records
 from quire.plans.index import build_index, check_encoder
 from quire.sources import sinks
 from quire.sources.tables import read_articles, read_entities, read_feature_matrix, unpack_envelope
-from quire.streaming.incremental import process_new
+from quire.streaming.incremental import process_new, read_output
 
 
 def test_read_entities_csv_with_schema(spark, tmp_dir):
@@ -177,10 +177,10 @@ def test_index_answer_and_stream(spark, tmp_dir):
     data.filter("k < 100").write.parquet(os.path.join(src, "w1"))
     schema = data.schema
     process_new(spark, os.path.join(src, "*"), schema, out, ck, "k", lambda d: d, order_col="k")
-    assert spark.read.parquet(out).count() == 100
+    assert read_output(spark, out).count() == 100
     data.write.parquet(os.path.join(src, "w2"))
     process_new(spark, os.path.join(src, "*"), schema, out, ck, "k", lambda d: d, order_col="k")
-    o = spark.read.parquet(out)
+    o = read_output(spark, out)
     assert o.count() == 120 and o.select("k").distinct().count() == 120
 
 
