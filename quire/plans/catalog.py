@@ -169,20 +169,20 @@ def q_category_onehot(spark, root):
 
 # --- ML-11 / WIN-5: rule class = argmax of ratios (first class wins ties) ---
 def _sql_rule_class(text_expr="text"):
+    """CASE expression: the class with the most hits, the earlier class on ties, NULL without hits."""
     low = f"lower(coalesce({text_expr}, ''))"
     counts = [(c, Q.hits(low, kws)) for c, kws in DOC_DICT.items()]
-    best = " , ".join(f"{e}" for _, e in counts)
     cases = []
     for i, (c, e) in enumerate(counts):
         others_before = [o for _, o in counts[:i]]
         others_after = [o for _, o in counts[i + 1:]]
         cond = [f"{e} > 0"] + [f"{e} > {o}" for o in others_before] + [f"{e} >= {o}" for o in others_after]
         cases.append(f"WHEN {' AND '.join(cond)} THEN '{c}'")
-    return "CASE " + " ".join(cases) + " ELSE NULL END", best
+    return "CASE " + " ".join(cases) + " ELSE NULL END"
 
 
 @register("rule_class", f"""
-SELECT doc_id, {_sql_rule_class()[0]} AS rule_class FROM documents""")
+SELECT doc_id, {_sql_rule_class()} AS rule_class FROM documents""")
 def q_rule_class(spark, root):
     docs = t(spark, root, "documents").select("doc_id", "text")
     f = KW.keyword_features(docs, "text", DOC_DICT, DOC_THRESHOLDS, keep_input=True)
@@ -702,7 +702,7 @@ def q_prompt_context(spark, root):
 @register("no_hits_fallback", f"""
 WITH {_sql_search(5, 0.5)}, nh AS (SELECT query_id, count(*) AS n FROM hits GROUP BY query_id),
 {SQL_WIKI},
-rc AS (SELECT doc_id, {_sql_rule_class()[0]} AS style FROM documents)
+rc AS (SELECT doc_id, {_sql_rule_class()} AS style FROM documents)
 SELECT e.vec_id AS query_id, CAST(coalesce(nh.n, 0) AS BIGINT) AS n_hits, coalesce(nh.n, 0) = 0 AS no_hits,
   'I found some ' || coalesce(rc.style, 'Unknown') || ' destinations that might interest you, but I''m having trouble generating a detailed response right now. Please try again.' AS fallback
 FROM embeddings e LEFT JOIN nh ON nh.query_id = e.vec_id LEFT JOIN rc ON rc.doc_id = e.vec_id""")
@@ -735,7 +735,7 @@ def _sql_prompt() -> str:
 
 @register("prompt_text", f"""
 WITH {_sql_search(5, 0.2)}, {SQL_CONTEXT},
-kc AS (SELECT doc_id, {_sql_rule_class()[0]} AS style,
+kc AS (SELECT doc_id, {_sql_rule_class()} AS style,
          {' , '.join(f"{Q.hits("lower(coalesce(text, ''))", kws)} AS c_{c.lower()}" for c, kws in DOC_DICT.items())},
          coalesce(string_split(coalesce(text, ''), chr(10))[1], '') AS query FROM documents),
 pq AS (SELECT doc_id, query, coalesce(style, 'Unknown') AS style,
