@@ -161,3 +161,15 @@ def test_timestamp_text_like_python_str(spark):
     vals = [dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2, 3, 4, 5, 120)]
     df = spark.createDataFrame([(v,) for v in vals], "ts timestamp")
     assert [r[0] for r in df.select(timestamp_text(F.col("ts"))).collect()] == [str(v) for v in vals]
+
+
+def test_search_string_ids_multi_block(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 8))
+    q = rng.normal(size=(25, 8))
+    idx = spark.createDataFrame([(f"c{i}", x[i].tolist()) for i in range(len(x))], "cid string, embedding array<double>")
+    qs = spark.createDataFrame([(f"q{i}", q[i].tolist()) for i in range(len(q))], "query_id string, embedding array<double>")
+    one = {(r.query_id, r.rank, r.cid, r.similarity) for r in search(qs, idx, k=4, min_similarity=None, carry=["cid"]).collect()}
+    many = {(r.query_id, r.rank, r.cid, r.similarity) for r in
+            search(qs, idx, k=4, min_similarity=None, carry=["cid"], max_query_bytes=200).collect()}
+    assert one == many and len(one) == 25 * 4
