@@ -1271,7 +1271,7 @@ def q_phase_comparison(spark, root):
     of each phase's winner, missing → 0, delta and sign."""
     from ..operators import ml as ML
     from ..operators.encode import HashingEncoder, encode_nonempty
-    from .experiment import compare_phases, prepare, run_experiment
+    from .experiment import compare_phases, run_experiment
     f, cols = lang_features(spark, root)
     models = ["LogisticRegression", "RandomForest"]
     a = run_experiment(f, cols, "lang", "doc_id", LANG_LABELS, models=models, phase="a")
@@ -1281,8 +1281,10 @@ def q_phase_comparison(spark, root):
     emb, _var = ML.add_pca_features(vec.join(split, "doc_id"), "embedding", F.col("split") == "train",
                                     k=C.PCA_COMPONENTS)
     pcs = [f"emb_pca_{i}" for i in range(C.PCA_COMPONENTS)]
-    fb = f.join(emb.select("doc_id", *pcs), "doc_id")
-    b = run_experiment(fb, cols + pcs, "lang", "doc_id", LANG_LABELS, models=models, phase="b")
+    # phase b reuses phase a's split, folds and weights; only the PCA columns are added
+    from ..session import cut_lineage
+    pb = cut_lineage(a["prepared"].join(emb.select("doc_id", *pcs), "doc_id")).persist()
+    b = run_experiment(None, cols + pcs, "lang", "doc_id", LANG_LABELS, models=models, phase="b", prepared=pb)
     return compare_phases(a["test_report"], b["test_report"]) \
         .withColumn("winner_a", F.lit(a["best"])).withColumn("winner_b", F.lit(b["best"]))
 
