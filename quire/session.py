@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -91,28 +92,21 @@ def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset (tests, local
+    runs), a folder beside the session's own warehouse tables."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
+    return checkpoint_dir(spark, path)
+
+
 def cut_lineage(df, spark: SparkSession | None = None):
-    """Reliable checkpoint into the shared folder named by ``spark.checkpoint.dir``
-    (never ``localCheckpoint``).  Only a local-mode session without that setting
-    gets a scratch folder of its own."""
-    spark = spark or df.sparkSession
-    fallback = None
-    if is_local(spark) and not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-        fallback = tempfile.mkdtemp(prefix="quire-ckpt-")
-    checkpoint_dir(spark, fallback)
+    """Reliable checkpoint into :func:`shared_root` (never ``localCheckpoint``)."""
+    shared_root(spark or df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder for intermediate tables, under the shared checkpoint root
-    (``spark.checkpoint.dir``); only a local-mode session without that setting
-    falls back to a temporary folder of its own."""
-    import uuid
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not is_local(spark):
-            raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder there")
-        import tempfile
-        root = tempfile.mkdtemp(prefix="quire-scratch-")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh folder for an intermediate table under :func:`shared_root`."""
+    return os.path.join(shared_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
