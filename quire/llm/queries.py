@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_automaton, chat_format, exact_dedup, langid, packing, sharding
+from . import bpe_automaton, chat_format, exact_dedup, langid, packing, pseudonyms, sharding, toxicity
 from .common import table
 
 
@@ -17,6 +17,16 @@ def op2_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudonymised whole texts, with the kinds of the replaced values."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, report="kinds").withColumn("n_values", F.size("kinds"))
+
+
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -47,6 +57,8 @@ def op10_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_virtual_slots": op1_virtual_slots,
     "op2_digest_index": op2_digest_index,
+    "op4_subsequence_svm": op4_subsequence_svm,
+    "op5_feistel": op5_feistel,
     "op7_cost_balanced": op7_cost_balanced,
     "op8_budgeted_windows": op8_budgeted_windows,
     "op9_naive_bayes": op9_naive_bayes,

@@ -24,7 +24,7 @@ from .common import cut
 
 SLOTS = 4096
 PARTS = 16
-SPLIT = 16          # a slot above 1/SPLIT of a shard's mean load may be split into parts
+SPLIT = 4           # a slot above 1/SPLIT of a shard's mean load may be split into parts
 ROWS_PER_BUCKET = 2048
 
 MAP_SCHEMA = T.StructType([
