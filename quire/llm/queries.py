@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_automaton, chat_format, exact_dedup, langid, packing, pseudonyms, sharding, toxicity
+from . import bpe_automaton, chat_format, exact_dedup, fingerprints, langid, packing, pseudonyms, sharding, toxicity
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +61,7 @@ def op10_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_virtual_slots": op1_virtual_slots,
     "op2_digest_index": op2_digest_index,
+    "op3_scaled_sketch": op3_scaled_sketch,
     "op4_subsequence_svm": op4_subsequence_svm,
     "op5_feistel": op5_feistel,
     "op7_cost_balanced": op7_cost_balanced,
