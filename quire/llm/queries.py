@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_automaton, chat_format, exact_dedup, fingerprints, langid, packing, pseudonyms, sharding, toxicity
+from . import bpe_automaton, chat_format, chosen_path, exact_dedup, fingerprints, langid, packing, pseudonyms, sharding, toxicity
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op5_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs, report="kinds").withColumn("n_values", F.size("kinds"))
 
 
+def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links")
+
+
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op3_scaled_sketch": op3_scaled_sketch,
     "op4_subsequence_svm": op4_subsequence_svm,
     "op5_feistel": op5_feistel,
+    "op6_chosen_path": op6_chosen_path,
     "op7_cost_balanced": op7_cost_balanced,
     "op8_budgeted_windows": op8_budgeted_windows,
     "op9_naive_bayes": op9_naive_bayes,
@@ -107,4 +113,20 @@ ORACLES = {
                sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY pos)) AS loss_sha256,
                CAST(sum(chars * times) AS BIGINT) AS formatted_chars
         FROM f GROUP BY conv_id""",
+    "op6_chosen_path": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                   regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) = 0 THEN '|' || text
+                     ELSE array_to_string(ws[i:i + 4], ' ') END AS shingle
+              FROM (SELECT doc_id, text, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+              FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+                  WHERE shared >= 0.8 * (x.n + y.n - shared) - 1e-9),
+        reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+        SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(b) FROM reach WHERE a = d.doc_id), d.doc_id)) AS class_id,
+               (SELECT count(*) FROM links WHERE a = d.doc_id) AS n_links
+        FROM documents d""",
 }
