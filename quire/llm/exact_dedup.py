@@ -18,7 +18,7 @@ from __future__ import annotations
 import string
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import cut
 
@@ -80,22 +80,19 @@ def resolve(hashed: DataFrame, index: DigestIndex) -> DataFrame:
 
 def survivors(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` (all columns) that stay when it is deduplicated as one
-    batch; the reading copy is the one with the largest id."""
+    batch against a new index.  Rows meet their decision on id and digest
+    together, so a group of copies is spread over the tasks."""
     index = index or DigestIndex(docs.sparkSession)
-    hashed = cut(digests(docs))
-    index.append_new(hashed)
+    index.append_new(cut(digests(docs)))
     names = {c.lower() for c in docs.columns}
-    digest = next(n for n in ("digest", "digest_", "digest__") if n not in names)
-    keep = next(n for n in ("keep_id", "keep_id_", "keep_id__") if n not in names)
-    turn = next(n for n in ("copy_no", "copy_no_", "copy_no__") if n not in names)
-    kept = index.read().select(F.col("digest").alias(digest), F.col("keep_id").alias(keep))
+    digest, key, nth = (next(f"{c}{'_' * k}" for k in range(len(names) + 1) if f"{c}{'_' * k}" not in names)
+                        for c in ("digest", "row_key", "nth_row"))
+    kept = index.read().select(F.col("digest").alias(digest), F.xxhash64("keep_id", "digest").alias(key))
     rows = docs.withColumn(digest, F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    # each digest has one row here and one keep_id there: at most its exact repeats meet
-    rows = rows.join(kept.hint("merge"), (rows[digest] == kept[digest])
-                     & rows["doc_id"].eqNullSafe(kept[keep]), "left_semi")
-    from pyspark.sql import Window
-    one = Window.partitionBy(digest).orderBy("doc_id")
-    return rows.withColumn(turn, F.row_number().over(one)).filter(F.col(turn) == 1).drop(digest, turn)
+    rows = rows.withColumn(key, F.xxhash64("doc_id", digest)).join(cut(kept), [key, digest], "left_semi")
+    same = Window.partitionBy(key, digest).orderBy(key)          # exact repeats of a row
+    rows = rows.withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:

@@ -159,3 +159,25 @@ def identify(docs: DataFrame, hold_out: int = 2, folds: int = 4) -> DataFrame:
     model = fit(docs.filter(rest).select("doc_id", "text", "lang"))
     held = F.coalesce(id_remainder(F.col("doc_id"), folds) == hold_out, F.lit(False))
     return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose language is recognised: not ``und``,
+    and with a posterior of ``min_score`` at least.  Learns from all labelled rows
+    of ``docs``; without any, texts with a letter stay."""
+    languages, matrix = fit(docs.select("doc_id", "text", "lang"))
+    shared = docs.sparkSession.sparkContext.broadcast((languages, matrix))
+    at = docs.columns.index("text")
+
+    def task(batches):
+        langs, m = shared.value
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            if langs:
+                pred, score = score_texts(texts, langs, m)
+                keep = [p != UNDETERMINED and s >= min_score for p, s in zip(pred, score)]
+            else:
+                keep = [t is not None and any(map(str.isalpha, t)) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)
