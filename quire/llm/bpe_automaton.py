@@ -48,19 +48,20 @@ def byte_characters() -> dict[str, int]:
 
 class Automaton:
     """``allowed[state]``: packed bits over the inner tokens' columns;
-    ``target[id]``: the state after a token; ``column[id]``: its column or -1."""
+    ``target[id]``: the state after a token, -1 if no merges make it; ``column[id]``:
+    its column or -1."""
 
     def __init__(self, labels: dict[int, bytes], allowed: np.ndarray, target: np.ndarray, column: np.ndarray):
         self.labels, self.target, self.column = labels, target.tolist(), column.tolist()
         self.rows = [row.tobytes() for row in allowed]
-        self.id_of = {label: i for i, label in labels.items()}
+        self.id_of = {label: i for i, label in labels.items() if self.target[i] >= 0}
         self.longest = max(map(len, self.id_of), default=0)
 
     def encode_word(self, word: bytes) -> list[int]:
         """Ids of one pre-split word."""
         whole = self.id_of.get(word)
         if whole is not None:
-            return [whole]      # the start state has an arc for every token
+            return [whole]      # the start state has an arc for every token that merges make
         id_of, rows, target, column, longest = self.id_of, self.rows, self.target, self.column, self.longest
         n = len(word)
         last, back = [0] * (n + 1), [0] * (n + 1)
@@ -115,7 +116,8 @@ def compile_tables(vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
     bits = np.zeros((len(inner), width // 8), np.uint8)
     single = [b for b in inner if len(b) == 1]
     bits[[column[vocab[b]] for b in single], 0] = 128       # state 0: every byte loops
-    target = np.zeros(size, np.int32)
+    target = np.full(size, -1, np.int32)                     # -1: no arc yet
+    target[[i for t, i in vocab.items() if len(t) == 1]] = 0
     labels_at = {0: 256}                                     # labels that lead to a state
     n_states = 1
     for u, v in merges:
@@ -123,7 +125,7 @@ def compile_tables(vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         iu, iv, iw = vocab[u], vocab[v], vocab[w]
         state = int(target[iu])
         cv = column[iv]
-        if cv < 0 or not bits[cv, state >> 3] & (128 >> (state & 7)):
+        if state < 0 or cv < 0 or not bits[cv, state >> 3] & (128 >> (state & 7)):
             continue                                         # u v never stands unmerged
         after_v = int(target[iv])
         if labels_at[state] > 1 or iu == iv:
@@ -145,7 +147,8 @@ def compile_tables(vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
             bits[cw] = bits[column[iu]] if column[iu] >= 0 else 0
     by_state = np.packbits(np.unpackbits(bits, axis=1)[:, :n_states].T, axis=1)
     allowed, same = np.unique(by_state, axis=0, return_inverse=True)    # equal states are one
-    return {i: t for t, i in vocab.items()}, allowed, same.reshape(-1)[target].astype(np.int32), column
+    target = np.where(target < 0, -1, same.reshape(-1)[target]).astype(np.int32)
+    return {i: t for t, i in vocab.items()}, allowed, target, column
 
 
 _COMPILED: dict = {}

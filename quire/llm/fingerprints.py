@@ -32,7 +32,7 @@ def word_hashes(text: Column) -> Column:
 
 
 def limit(fraction: float = FRACTION) -> int:
-    return int(fraction * (1 << 63))
+    return min(int(fraction * (1 << 63)), _POSITIVE)
 
 
 def _sketch(hashes: Column, smallest: Column, fraction: float) -> Column:
