@@ -14,7 +14,8 @@ SF_CHECK = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_spark("local[4]", app="quire-tests", shuffle_partitions=8)
+    s = get_spark("local[4]", app="quire-tests", shuffle_partitions=8,
+                  conf={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="quire-test-warehouse-")})
     checkpoint_dir(s, fallback=tempfile.mkdtemp(prefix="quire-test-ckpt-"))
     yield s
 
