@@ -40,7 +40,7 @@ from quire import worker_state
 
 from .common import id_remainder
 
-MAX_TOXIC, MAX_OTHER = 3_000, 6_000
+MAX_TOXIC, MAX_OTHER = 2_500, 4_000
 ALPHABET = 40               # boundary, a-z, other letters folded into 13 classes
 SPAN = 6
 DECAY = 0.6
@@ -120,7 +120,7 @@ def subsequences(words: list[str]):
     return cells, weights, of, np.array(owner, np.int64)
 
 
-def kernel_with(table: np.ndarray, words: list[str], batch: int = 2000) -> np.ndarray:
+def kernel_with(table: np.ndarray, words: list[str], batch: int = 250) -> np.ndarray:
     """Sums of ``table`` (a row per cell) over each word's subsequences; of a word
     read in windows, the window of the largest first column counts."""
     out = np.full((len(words), table.shape[1]), -np.inf)
@@ -226,9 +226,11 @@ def fit_machine(positive: list[str], weight: np.ndarray, negative: list[str], se
 SENTENCE = re.compile(r"[.!?\n]+\s")
 
 
-def _bags(texts: list[str]) -> list[list[list[str]]]:
-    """Distinct words of each sentence of each text."""
-    return [[list(dict.fromkeys(words_of(s))) for s in SENTENCE.split(fold(t)) if s.strip()] for t in texts]
+def _bags(texts: list[str], known: dict[str, str]) -> list[list[list[str]]]:
+    """Distinct words of each sentence of each text; ``known`` keeps one object
+    per distinct word of all texts."""
+    one = known.setdefault
+    return [[[one(w, w) for w in dict.fromkeys(words_of(s))] for s in SENTENCE.split(fold(t)) if s.strip()] for t in texts]
 
 
 def _counts(bags) -> dict[str, int]:
@@ -255,7 +257,8 @@ def fit_texts(toxic: list[str], other: list[str], seed: int = 7) -> Model:
     each half's witnesses are chosen, and its calibration scores are given, by the
     machine of the other half, so no word speaks for itself."""
     rng = np.random.default_rng(seed)
-    bags, clean = _bags(toxic), _bags(other)
+    known: dict[str, str] = {}
+    bags, clean = _bags(toxic, known), _bags(other, known)
     in_toxic, in_other = _counts(bags), _counts(clean)
     # a word as usual in other texts is no witness, whatever its score
     share = lambda counts, w, n: (counts.get(w, 0) + 0.1) / (n + 1)
