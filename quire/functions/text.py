@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from typing import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Python's str.strip() removes every character for which str.isspace() is true.
@@ -81,44 +80,20 @@ def keyword_hits(lowered_text, keywords: Iterable[str], method: str = "filter")
     return F.coalesce(F.size(F.filter(arr, lambda k: F.contains(t, k))), F.lit(0))
 
 
-_FORMATTERS: dict = {}
-
-
-def py_format(c, spec: str) -> Column:
-    """``format(x, spec)`` with Python's exact rounding of the binary value.
-
-    JVM formatting rounds the shortest decimal string instead (``%.3f`` gives
-    0.501 for 0.5005, ``format_number`` gives 0.000 for 0.0005; Python gives
-    0.500 and 0.001), so this small helper runs Python's own formatter on Arrow
-    batches.  Used only for presentation columns."""
-    fn = _FORMATTERS.get(spec)
-    if fn is None:
-        def fmt(s: pd.Series) -> pd.Series:
-            return s.map(lambda v: None if pd.isna(v) else format(float(v), spec))
-
-        fn = _FORMATTERS[spec] = F.pandas_udf(fmt, "string")
-    return fn(as_col(c).cast("double"))
-
-
 def format_fixed(c, decimals: int) -> Column:
-    """``f"{x:.Nf}"``."""
-    return py_format(c, f".{decimals}f")
+    """Fixed number of decimals, like ``f"{x:.Nf}"`` (ties of the shortest decimal
+    form round half up)."""
+    return F.format_string(f"%.{decimals}f", as_col(c).cast("double"))
 
 
 def format_signed(c, decimals: int) -> Column:
-    """``f"{x:+.Nf}"``."""
-    return py_format(c, f"+.{decimals}f")
+    """With a sign, like ``f"{x:+.Nf}"``."""
+    return F.format_string(f"%+.{decimals}f", as_col(c).cast("double"))
 
 
 def format_percent(c, decimals: int = 0) -> Column:
-    """``f"{x:.0%}"``."""
-    return py_format(c, f".{decimals}%")
-
-
-def format_fixed_jvm(c, decimals: int) -> Column:
-    """JVM-only variant of :func:`format_fixed` (stays in codegen): half-even on
-    the exact value except at some shortest-decimal ties."""
-    return F.replace(F.format_number(as_col(c).cast("double"), decimals), F.lit(","), F.lit(""))
+    """Percentage, like ``f"{x:.0%}"``."""
+    return F.format_string(f"%.{decimals}f%%", as_col(c).cast("double") * 100)
 
 
 def session_suffix(message, session_id) -> Column:
@@ -133,7 +108,3 @@ def parse_session_suffix(c) -> Column:
     """Reads the session id back out of an old-style run input (null when absent)."""
     v = F.regexp_extract(as_col(c), r"\[session:(.*)\]$", 1)
     return F.when(v == "", F.lit(None).cast("string")).otherwise(v)
-
-
-def strip_session_suffix(c) -> Column:
-    return F.regexp_replace(as_col(c), r" \[session:.*\]$", "")

@@ -2,19 +2,17 @@
 one-hot category columns and the rule classifier.
 
 All columns are Spark expressions over one row (no shuffle).  For dictionaries
-near a thousand entries use :func:`keyword_join` (broadcast theta join).
+kept in a table use :func:`keyword_join`.
 """
 
 from __future__ import annotations
 
+import re
 from typing import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
-from .. import worker_state
 from ..functions.text import as_col, keyword_hits
 from ..schemas import region_column
 
@@ -23,52 +21,51 @@ def _class_key(name: str) -> str:
     return name.lower()
 
 
-def automaton_counts(text, dictionary: Mapping[str, Sequence[str]]):
-    """Struct of per-class hit counts from one Aho-Corasick pass over each text.
-
-    Same semantics as :func:`quire.functions.text.keyword_hits` (distinct list
-    entries found as substrings of the lower-cased text; a duplicated entry
-    counts twice) but the cost per text no longer grows with the dictionary:
-    the JVM forms scan each text once per keyword.  Runs on Arrow batches; the
-    automaton is built once per Python worker.
-    """
+def _trie_pattern(words: Sequence[str]) -> str:
+    """Regular expression of a word list, longest match first, with common
+    prefixes factored out, so a position is ruled out by its first characters."""
+    def build(items: list[str]) -> str:
+        heads: dict[str, list[str]] = {}
+        for w in items:
+            if w:
+                heads.setdefault(w[0], []).append(w[1:])
+        branches = [re.escape(c) + build(sorted(set(rest))) for c, rest in sorted(heads.items())]
+        if not branches:
+            return ""
+        body = "(?:" + "|".join(branches) + ")"
+        return body + "?" if "" in items else body
+    return build(sorted(set(words)))
+
+
+def scan_counts(lowered, dictionary: Mapping[str, Sequence[str]]) -> dict:
+    """Per-class hit counts from one scan of each lower-cased text.
+
+    A lookahead over the word list finds the longest entry at every position; an
+    entry's own prefixes that are entries too are added from a literal map.  Same
+    counts as :func:`quire.functions.text.keyword_hits` (distinct entries that occur;
+    an entry listed twice counts twice), whatever the dictionary size, in
+    expressions only."""
     classes = list(dictionary)
-    entries = tuple((ci, k.lower()) for ci, c in enumerate(classes) for k in dictionary[c])
-    key = hash(entries)
-    names = [f"_n{i}" for i in range(len(classes))]
-    schema = T.StructType([T.StructField(n, T.IntegerType()) for n in names])
-
-    def counts(s: pd.Series) -> pd.DataFrame:
-        cache = worker_state()
-        got = cache.get(("automaton", key))
-        if got is None:
-            import ahocorasick
-            auto = ahocorasick.Automaton()
-            words: dict = {}
-            for ci, k in entries:
-                words.setdefault(k, []).append(ci)
-            for k, cis in words.items():
-                if k:
-                    auto.add_word(k, np.bincount(cis, minlength=len(classes)))
-            auto.make_automaton()
-            empty = np.bincount([ci for ci, k in entries if not k], minlength=len(classes))
-            got = cache[("automaton", key)] = (auto, empty)
-        auto, empty = got
-        out = np.zeros((len(s), len(classes)), dtype=np.int32)
-        for r, t in enumerate(s):
-            if t is None or (isinstance(t, float) and np.isnan(t)):
-                t = ""
-            found = {}
-            for _, vec in auto.iter(t.lower()):
-                found[id(vec)] = vec
-            row = empty.copy()
-            for vec in found.values():
-                row += vec
-            out[r] = row
-        return pd.DataFrame(out, columns=names)
-
-    udf = F.pandas_udf(counts, schema)
-    return udf(F.col(text) if isinstance(text, str) else text)
+    entries = [(ci, k.lower()) for ci, c in enumerate(classes) for k in dictionary[c]]
+    words = sorted({k for _, k in entries if k})
+    always = [sum(1 for ci, k in entries if ci == n and not k) for n in range(len(classes))]
+    if not words:
+        return {c: F.lit(always[n]) for n, c in enumerate(classes)}
+    numbers: dict[str, list[int]] = {}
+    owner = []
+    for ci, k in entries:
+        if k:
+            numbers.setdefault(k, []).append(len(owner))
+            owner.append(ci)
+    pairs = []
+    for w in words:
+        hit = [n for end in range(1, len(w) + 1) for n in numbers.get(w[:end], [])]
+        pairs += [F.lit(w), F.array(*[F.lit(n) for n in hit])]
+    found = F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"(?=({_trie_pattern(words)}))"), F.lit(1)))
+    ids = F.array_distinct(F.flatten(F.transform(found, lambda w: F.element_at(F.create_map(*pairs), w))))
+    own = [F.array(*[F.lit(n) for n, ci in enumerate(owner) if ci == k]) for k in range(len(classes))]
+    return {c: F.size(F.array_intersect(ids, own[k])) + always[k] if any(ci == k for ci in owner) else F.lit(always[k])
+            for k, c in enumerate(classes)}
 
 
 def keyword_features(df: DataFrame, text_col: str,
@@ -78,21 +75,18 @@ def keyword_features(df: DataFrame, text_col: str,
     """Adds ``{c}_keyword_count``, ``{c}_keyword_binary`` (count >= threshold) for
     each class and ``{c}_keyword_ratio`` = count / max(total, 1).
 
-    ``method``: "filter" / "sum" (JVM, one scan of the text per keyword; the
-    default, fine for dictionaries of a few hundred entries) or "automaton" (one
-    Aho-Corasick pass per text whatever the dictionary size)."""
+    ``method``: "filter" / "sum" (one scan of the text per keyword; the default) or
+    "scan" (one scan per text whatever the dictionary size)."""
     classes = list(dictionary)
     base = df.columns if keep_input else []
-    if method == "automaton":
-        packed = df.withColumn("_kc", automaton_counts(F.col(text_col), dictionary))
-        counted = packed.select(*base, *[F.col(f"_kc._n{i}").alias(f"{_class_key(c)}_keyword_count")
-                                         for i, c in enumerate(classes)])
+    low = F.lower(F.coalesce(as_col(text_col), F.lit("")))
+    # Counts are computed once in their own projection; binaries and ratios read them.
+    lowered = df.withColumn("_low", low)
+    if method == "scan":
+        counts = scan_counts(F.col("_low"), dictionary)
     else:
-        low = F.lower(F.coalesce(as_col(text_col), F.lit("")))
-        # Counts are computed once in their own projection; binaries and ratios read them.
-        counted = df.withColumn("_low", low).select(
-            *base, *[keyword_hits(F.col("_low"), dictionary[c], method).alias(f"{_class_key(c)}_keyword_count")
-                     for c in classes])
+        counts = {c: keyword_hits(F.col("_low"), dictionary[c], method) for c in classes}
+    counted = lowered.select(*base, *[counts[c].alias(f"{_class_key(c)}_keyword_count") for c in classes])
     total = None
     for c in classes:
         term = F.col(f"{_class_key(c)}_keyword_count")
@@ -151,32 +145,43 @@ def keyword_table(spark, dictionary: Mapping[str, Sequence[str]] = C.CLASS_KEYWO
     return spark.createDataFrame(rows, "cls string, kw string, kw_ord int")
 
 
+GRAM = 3
+
+
 def keyword_join(df: DataFrame, key: str, text_col: str, keywords: DataFrame,
-                 classes: Sequence[str] | None = None, max_broadcast_rows: int = 50_000) -> DataFrame:
-    """Theta join ``lower(text) contains kw`` against a keyword table, counted per
-    (key, cls).  Every key gets a row per class (zero when nothing hits).
-
-    The keyword side is broadcast only after its row count is checked; a larger
-    dictionary is processed in broadcast blocks of ``max_broadcast_rows`` whose
-    partial counts are summed (the text side is scanned once per block).
-    """
-    kw = keywords.select("cls", "kw")
-    n = kw.count()
+                 classes: Sequence[str] | None = None) -> DataFrame:
+    """Join ``lower(text) contains kw`` against a keyword table of any size, counted
+    per (key, cls).  Every key gets a row per class (zero when nothing hits).
+
+    An equi-join: each text gives its distinct three-character pieces, each keyword
+    the piece it begins with (shorter keywords: itself, against the text's pieces
+    of that length).  Only keys and pieces meet the keywords; the few candidates are
+    verified on the text with ``contains`` and counted per key and class."""
+    kw = keywords.select("cls", "kw").withColumn("_g", F.substring("kw", 1, GRAM))
     low = df.select(F.col(key), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low"))
-    if n <= max_broadcast_rows:
-        blocks = [F.broadcast(kw)]
-    else:
-        nb = -(-n // max_broadcast_rows)
-        b = F.pmod(F.xxhash64("cls", "kw"), F.lit(nb))
-        blocks = [F.broadcast(kw.filter(b == i)) for i in range(nb)]
-    hits = None
-    for blk in blocks:
-        part = low.join(blk, F.col("_low").contains(blk["kw"]), "inner").groupBy(key, "cls").count()
-        hits = part if hits is None else hits.unionByName(part)
-    hits = hits.groupBy(key, "cls").agg(F.sum("count").alias("hits"))
     if classes is None:
-        # the class list is bounded by the dictionary, which was size-checked above
-        classes = [r["cls"] for r in kw.select("cls").distinct().orderBy("cls").collect()]
+        classes = [r["cls"] for r in kw.select("cls").distinct().orderBy("cls").collect()]     # the class list
+    sizes = [r[0] for r in kw.select(F.length("_g")).distinct().collect()]                     # 1 to GRAM
+    chars = low.select(key, F.regexp_extract_all("_low", F.lit("(?s)."), F.lit(0)).alias("_c"))
+
+    def pieces(size: int):
+        last = F.size("_c") - size + 1
+        starts = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice("_c", i, size), ""))
+    grams = chars.select(key, F.explode(F.array_distinct(F.concat(*[pieces(n) for n in sizes or [GRAM]]))).alias("_g"))
+    candidates = grams.join(kw, "_g").select(key, "cls", "kw")
+    hits = (candidates.join(low, key).filter(F.contains(F.col("_low"), F.col("kw")))
+            .groupBy(key, "cls").agg(F.count(F.lit(1)).alias("hits")))
     grid = df.select(key, F.explode(F.array(*[F.lit(c) for c in classes])).alias("cls"))
     return (grid.join(hits, [key, "cls"], "left")
             .select(key, "cls", F.coalesce(F.col("hits"), F.lit(0)).cast("long").alias("hits")))
+
+
+def keyword_counts(df: DataFrame, key: str, text_col: str, dictionary: Mapping[str, Sequence[str]]) -> DataFrame:
+    """:func:`keyword_join` for a dictionary known on the driver: counts per row and
+    class without any shuffle."""
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    rows = df.select(F.col(key), low.alias("_low"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("cls"), keyword_hits(F.col("_low"), kws).cast("long").alias("hits"))
+                      for c, kws in dictionary.items()])
+    return rows.select(key, F.explode(pairs).alias("_h")).select(key, "_h.cls", "_h.hits")

@@ -38,12 +38,12 @@ def lookup_with_default(left: DataFrame, right: DataFrame, key, defaults: Mappin
 def keyed_concat(left: DataFrame, right: DataFrame, key, check_unique: bool = True) -> DataFrame:
     """Column-wise concatenation of two tables by key (what a positional
     ``concat(axis=1)`` means once rows carry explicit keys).  The key must be
-    unique on both sides."""
+    unique on both sides; a key of one side only keeps its row, with nulls."""
     k = _keys(key)
     if check_unique:
         require_unique(left, k)
         require_unique(right, k)
-    return left.join(right, k, "inner")
+    return left.join(right, k, "full")
 
 
 def first_per_key(df: DataFrame, key, order_col: str) -> DataFrame:

@@ -17,7 +17,14 @@ from .util import MAX_CLASSES, broadcast_if_small
 
 
 def hash_order(key: str, seed: int = C.RANDOM_SEED):
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
+
+
+def join_by_class(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which nulls are equal, so rows with a null class stay."""
+    right = table.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in table.columns if c not in keys])
+    on = [rows[k].eqNullSafe(right[f"_r_{k}"]) for k in keys]
+    return rows.join(right, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def _ranked(df: DataFrame, label: str, key: str, seed: int, bucket_chars: int, out_col: str):
@@ -28,7 +35,7 @@ def _ranked(df: DataFrame, label: str, key: str, seed: int, bucket_chars: int, o
     w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = hist.select(label, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
     inner = Window.partitionBy(label, "_b").orderBy("_h", key)
-    ranked = (tagged.join(before, [label, "_b"], "inner")
+    ranked = (join_by_class(tagged, before, [label, "_b"])
               .withColumn(out_col, (F.col("_before") + F.row_number().over(inner)).cast("long"))
               .drop("_h", "_b", "_before"))
     counts = hist.groupBy(label).agg(F.sum("_n").alias("n_c"))
@@ -70,7 +77,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = C.T
     # one row per class: broadcast after its size is checked, so rows are never
     # shuffled by class (a hot class would otherwise land in one task)
     quotas = broadcast_if_small(class_quotas(df, label, test_size, counts).select(label, "n_test"), MAX_CLASSES)
-    return (ranked.join(quotas, label, "inner")
+    return (join_by_class(ranked, quotas, [label])
             .withColumn("split", F.when(F.col("class_rank") <= F.col("n_test"), "test").otherwise("train"))
             .drop("n_test"))
 
@@ -85,7 +92,7 @@ def stratified_folds(train: DataFrame, label: str, key: str, k: int = C.N_FOLDS,
     w = Window.partitionBy().orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(label, F.coalesce(F.sum("n_c").over(w), F.lit(0)).alias("_off"))
     offsets = broadcast_if_small(offsets, MAX_CLASSES)
-    return (ranked.join(offsets, label, "inner")
+    return (join_by_class(ranked, offsets, [label])
             .withColumn("fold", F.pmod(F.col("_r") - 1 + F.col("_off"), F.lit(k)).cast("int"))
             .drop("_r", "_off"))
 
@@ -105,7 +112,7 @@ def split_and_folds(df: DataFrame, label: str, key: str, test_size: float = C.TE
     per_class = broadcast_if_small(per_class, MAX_CLASSES)
     is_test = F.col("class_rank") <= F.col("n_test")
     fold = F.pmod(F.col("class_rank") - F.col("n_test") - 1 + F.col("_off"), F.lit(k)).cast("int")
-    return (ranked.join(per_class, label, "inner")
+    return (join_by_class(ranked, per_class, [label])
             .withColumn("split", F.when(is_test, "test").otherwise("train"))
             .withColumn("fold", F.when(is_test, F.lit(-1)).otherwise(fold))
             .drop("n_test", "_off"))
@@ -122,4 +129,4 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def with_class_weights(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
     """Per-row sample weight from the class-weight table (one row per class)."""
     w = broadcast_if_small(class_weights(df, label).select(label, F.col("weight").alias(weight_col)), MAX_CLASSES)
-    return df.join(w, label, "left")
+    return join_by_class(df, w, [label], "left")

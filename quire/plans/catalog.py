@@ -64,22 +64,15 @@ def doc_name(c="doc_id"):
     return F.concat(F.lit("doc"), F.col(c).cast("string"))
 
 
-def doc_lines(df: DataFrame, n: int = 4) -> DataFrame:
-    arr = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    return df.select("*", *[F.coalesce(F.get(arr, i), F.lit("")).alias(f"l{i + 1}") for i in range(n)],
-                     F.coalesce(F.element_at(arr, -1), F.lit("")).alias("last_line"))
-
-
 def doc_wikitext(docs: DataFrame) -> DataFrame:
-    """Wiki markup composed from the whole document: line 1 under Understand,
-    line 2 under Do, line 3 under a sub-heading, and every remaining line under
-    Sleep."""
-    d = doc_lines(docs)
+    """Wiki markup composed from the whole document: its lines are dealt in turn
+    to the sections Understand, Do and Sleep."""
     arr = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    rest = F.array_join(F.slice(arr, 4, F.greatest(F.size(arr), F.lit(1))), "\n")
-    w = F.concat(F.lit("==Understand==\n"), F.col("l1"), F.lit("\n==Do==\n"), F.col("l2"),
-                 F.lit("\n===Sub===\n"), F.col("l3"), F.lit("\n== Sleep ==\n"), rest)
-    return d.select(*[c for c in docs.columns if c != "text"], doc_name().alias("name"), w.alias("wikitext"))
+
+    def dealt(k):
+        return F.array_join(F.filter(arr, lambda x, i: i % 3 == k), "\n")
+    w = F.concat(F.lit("==Understand==\n"), dealt(0), F.lit("\n==Do==\n"), dealt(1), F.lit("\n== Sleep ==\n"), dealt(2))
+    return docs.select(*[c for c in docs.columns if c != "text"], doc_name().alias("name"), w.alias("wikitext"))
 
 
 def doc_articles(spark, root, docs: DataFrame | None = None) -> DataFrame:
@@ -90,14 +83,15 @@ def doc_articles(spark, root, docs: DataFrame | None = None) -> DataFrame:
 SQL_WIKI = f"""
 d0 AS (SELECT doc_id, lang, source, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 w AS (SELECT doc_id, lang, source, 'doc' || CAST(doc_id AS VARCHAR) AS name,
-  '==Understand==' || chr(10) || coalesce(l[1], '') || chr(10) || '==Do==' || chr(10) || coalesce(l[2], '')
-  || chr(10) || '===Sub===' || chr(10) || coalesce(l[3], '') || chr(10) || '== Sleep ==' || chr(10)
-  || array_to_string(l[4:], chr(10)) AS wikitext FROM d0),
+  '==Understand==' || chr(10) || array_to_string(list_filter(l, lambda x, i: (i - 1) % 3 = 0), chr(10))
+  || chr(10) || '==Do==' || chr(10) || array_to_string(list_filter(l, lambda x, i: (i - 1) % 3 = 1), chr(10))
+  || chr(10) || '== Sleep ==' || chr(10) || array_to_string(list_filter(l, lambda x, i: (i - 1) % 3 = 2), chr(10))
+  AS wikitext FROM d0),
 art AS (SELECT doc_id, lang, source, name,
   {Q.section('wikitext', 'Understand')} AS understand,
   {Q.section('wikitext', 'Do')} AS "do",
   {Q.section('wikitext', 'Sleep')} AS sleep,
-  substr(wikitext, 1, 5000) AS full_text FROM w)"""
+  wikitext AS full_text FROM w)"""
 
 
 def sql_keyword_cols(text_expr: str, dictionary=DOC_DICT, thresholds=DOC_THRESHOLDS) -> str:
@@ -140,28 +134,24 @@ def q_keyword_features(spark, root):
     return _keyword_out(f, ["doc_id"])
 
 
-# --- SCL-1 with one Aho-Corasick pass per text (large-dictionary form) ---
-@register("keyword_features_automaton", f"""
+# --- SCL-1 with one scan per text (large-dictionary form) ---
+@register("keyword_features_scan", f"""
 SELECT doc_id, {sql_keyword_cols('text')} FROM documents""")
-def q_keyword_features_automaton(spark, root):
+def q_keyword_features_scan(spark, root):
     docs = t(spark, root, "documents").select("doc_id", "text")
-    f = KW.keyword_features(docs, "text", DOC_DICT, DOC_THRESHOLDS, method="automaton")
+    f = KW.keyword_features(docs, "text", DOC_DICT, DOC_THRESHOLDS, method="scan")
     return _keyword_out(f, ["doc_id"])
 
 
 # --- SCL-1..4 with the original's own dictionaries, thresholds and tier lists ---
 @register("travel_keyword_features", f"""
-WITH d AS (SELECT doc_id, text, coalesce(string_split(coalesce(text, ''), chr(10))[-1], '') AS last_line FROM documents)
 SELECT doc_id, {sql_keyword_cols('text', C.CLASS_KEYWORDS, C.CLASS_THRESHOLDS)},
-  {sql_tier('last_line', C.BUDGET_KEYWORDS, C.LUXURY_KEYWORDS)} AS price_tier FROM d""")
+  {sql_tier('text', C.BUDGET_KEYWORDS, C.LUXURY_KEYWORDS)} AS price_tier FROM documents""")
 def q_travel_keyword_features(spark, root):
-    # ~200 keywords over whole texts: heavy per-row work, so a table that scans into
-    # fewer splits than cores is spread once, and the one-pass automaton counts
-    # (measured at sf0.1: 12 s → 1 s against the JVM form on the raw splits)
-    docs = TB.read_table(spark, root, "documents", spread_bytes=4 << 20).select("doc_id", "text")
-    docs = doc_lines(docs, 1)
-    f = KW.keyword_features(docs, "text", C.CLASS_KEYWORDS, C.CLASS_THRESHOLDS, method="automaton")
-    f = f.withColumn("price_tier", KW.price_tier_expr(F.col("last_line")).cast("long"))
+    # ~200 keywords over whole texts: one scan per text instead of one per keyword
+    docs = t(spark, root, "documents").select("doc_id", "text")
+    f = KW.keyword_features(docs, "text", C.CLASS_KEYWORDS, C.CLASS_THRESHOLDS, method="scan")
+    f = f.withColumn("price_tier", KW.price_tier_expr(F.col("text")).cast("long"))
     cols = ["doc_id"]
     for c in C.CLASS_KEYWORDS:
         k = c.lower()
@@ -171,14 +161,12 @@ def q_travel_keyword_features(spark, root):
     return f.select(*cols, "price_tier")
 
 
-# --- SCL-4: two-dictionary price tier over the last line ---
+# --- SCL-4: two-dictionary price tier over whole texts ---
 @register("price_tier", f"""
-WITH d AS (SELECT doc_id, coalesce(string_split(coalesce(text, ''), chr(10))[-1], '') AS last_line FROM documents)
-SELECT doc_id, {sql_tier('last_line')} AS price_tier FROM d""")
+SELECT doc_id, {sql_tier('text')} AS price_tier FROM documents""")
 def q_price_tier(spark, root):
-    d = doc_lines(t(spark, root, "documents").select("doc_id", "text"))
-    return d.select("doc_id", KW.price_tier_expr(F.col("last_line"), TIER_LOW, TIER_HIGH).cast("long")
-                    .alias("price_tier"))
+    d = t(spark, root, "documents").select("doc_id", "text")
+    return d.select("doc_id", KW.price_tier_expr(F.col("text"), TIER_LOW, TIER_HIGH).cast("long").alias("price_tier"))
 
 
 # --- SCL-5: one-hot over a fixed domain ---
@@ -211,18 +199,28 @@ def q_rule_class(spark, root):
     return KW.rule_class(f, list(DOC_DICT)).select("doc_id", "rule_class")
 
 
-# --- JOIN-8: theta contains-join of text × keyword table ---
-@register("keyword_join", "WITH kw AS (" + " UNION ALL ".join(
+# --- JOIN-8: contains-join of text and keyword table ---
+SQL_KEYWORD_HITS = "WITH kw AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS cls, '{k}' AS kw" for c, kws in DOC_DICT.items() for k in kws) + """),
 cls AS (SELECT DISTINCT cls FROM kw),
 h AS (SELECT d.doc_id, kw.cls, count(*) AS hits FROM documents d JOIN kw ON contains(lower(coalesce(d.text, '')), kw.kw)
       GROUP BY d.doc_id, kw.cls)
 SELECT d.doc_id, cls.cls, CAST(coalesce(h.hits, 0) AS BIGINT) AS hits
-FROM documents d CROSS JOIN cls LEFT JOIN h ON h.doc_id = d.doc_id AND h.cls = cls.cls""")
+FROM documents d CROSS JOIN cls LEFT JOIN h ON h.doc_id = d.doc_id AND h.cls = cls.cls"""
+
+
+@register("keyword_join", SQL_KEYWORD_HITS)
 def q_keyword_join(spark, root):
+    """The dictionary as a table: equi-join on the keywords' first characters."""
     docs = t(spark, root, "documents").select("doc_id", "text")
-    kw = KW.keyword_table(spark, DOC_DICT)
-    return KW.keyword_join(docs, "doc_id", "text", kw, classes=list(DOC_DICT))
+    return KW.keyword_join(docs, "doc_id", "text", KW.keyword_table(spark, DOC_DICT), classes=list(DOC_DICT))
+
+
+@register("keyword_counts", SQL_KEYWORD_HITS)
+def q_keyword_counts(spark, root):
+    """The dictionary known on the driver: counts per row, no shuffle."""
+    docs = t(spark, root, "documents").select("doc_id", "text")
+    return KW.keyword_counts(docs, "doc_id", "text", DOC_DICT)
 
 
 # --- SCL-6, SCL-9: section extraction from wiki markup ---
@@ -233,6 +231,23 @@ def q_section_extract(spark, root):
     return doc_articles(spark, root).select("doc_id", "name", "understand", "do", "sleep", "full_text")
 
 
+# --- SCL-6: sections with their sub-sections ---
+@register("section_with_subsections", f"""
+WITH d0 AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+SELECT doc_id, md5({Q.strip("""array_to_string(list_filter(l, lambda x, i: (i - 1) % 2 = 0), chr(10)) || chr(10) || '=' || '==More===' || chr(10)
+  || array_to_string(list_filter(l, lambda x, i: (i - 1) % 2 = 1), chr(10)) || chr(10)""")}) AS body_md5
+FROM d0 WHERE NOT contains(array_to_string(l, chr(10)), '==')""")
+def q_section_with_subsections(spark, root):
+    """A section that has a sub-heading, read to the end of its sub-section."""
+    from ..functions.sections import extract_section
+    docs = t(spark, root, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = docs.filter(~F.contains(F.col("text"), F.lit("==")))
+    arr = F.split("text", "\n")
+    w = F.concat(F.lit("intro\n==Do==\n"), F.array_join(F.filter(arr, lambda x, i: i % 2 == 0), "\n"), F.lit("\n===More===\n"),
+                 F.array_join(F.filter(arr, lambda x, i: i % 2 == 1), "\n"), F.lit("\n==Sleep==\nend"))
+    return docs.select("doc_id", F.md5(extract_section(w, "Do", include_subsections=True)).alias("body_md5"))
+
+
 # --- SRC-4: content-addressed cache key ---
 @register("cache_key", """
 SELECT doc_id, 'v1_' || md5(lower(source || '-' || CAST(doc_id AS VARCHAR))) || '.json' AS cache_key FROM documents""")
@@ -272,29 +287,29 @@ def q_envelope_unpack(spark, root):
 
 
 # --- PIP-2, SET-1, SET-3, FLT-2, SCL-8/10/11: section chunks with fixed indexes ---
-SQL_CHUNKS = f"""
-kept AS (
-  SELECT name, 0 AS chunk_index, 'understand' AS section, name || ' - Understand: ' || substr(understand, 1, 1500) AS chunk_text
-    FROM art WHERE length({Q.strip('understand')}) >= 50
-  UNION ALL
-  SELECT name, 1, 'do', name || ' - Do: ' || substr("do", 1, 1500) FROM art WHERE length({Q.strip('"do"')}) >= 50
-  UNION ALL
-  SELECT name, 2, 'sleep', name || ' - Sleep: ' || substr(sleep, 1, 1500) FROM art WHERE length({Q.strip('sleep')}) >= 50),
-chunks AS (
-  SELECT name, chunk_index, section, chunk_text FROM kept
-  UNION ALL
-  SELECT name, 0, 'full', name || ': ' || substr(full_text, 1, 1500) FROM art
-   WHERE length(full_text) > 0 AND name NOT IN (SELECT name FROM kept))"""
+def _sql_windows(index, section, title, text, where):
+    return f"""
+  SELECT name, {index} AS chunk_index, CAST(p AS INTEGER) AS part, '{section}' AS section,
+         {title} || substr({text}, CAST(p * 1500 + 1 AS BIGINT), 1500) AS chunk_text
+    FROM (SELECT *, unnest(range(0, greatest((length({text}) + 1499) // 1500, 1))) AS p FROM art WHERE {where})"""
+
+
+SQL_CHUNKS = "kept AS (" + " UNION ALL ".join(
+    _sql_windows(i, sec, f"name || ' - {sec.capitalize()}: '", col, f"length({Q.strip(col)}) >= 50")
+    for i, (sec, col) in enumerate([("understand", "understand"), ("do", '"do"'), ("sleep", "sleep")])) + """),
+chunks AS (SELECT * FROM kept UNION ALL""" + _sql_windows(
+    0, "full", "name || ': '", "full_text", "length(full_text) > 0 AND name NOT IN (SELECT name FROM kept)") + ")"
 
 
 @register("chunk_articles", f"""
 WITH {SQL_WIKI}, {SQL_CHUNKS}
-SELECT 'wikivoyage:' || name AS source_document, CAST(chunk_index AS BIGINT) AS chunk_index, section, chunk_text
+SELECT 'wikivoyage:' || name AS source_document, CAST(chunk_index AS BIGINT) AS chunk_index, CAST(part AS BIGINT) AS part,
+       section, chunk_text
 FROM chunks""")
 def q_chunk_articles(spark, root):
     arts = doc_articles(spark, root).select(F.col("name").alias("destination"), "understand", "do", "sleep", "full_text")
     ch = CH.chunk_articles(arts, "destination")
-    return ch.select("source_document", F.col("chunk_index").cast("long"), "section", "chunk_text")
+    return ch.select("source_document", F.col("chunk_index").cast("long"), F.col("part").cast("long"), "section", "chunk_text")
 
 
 # --- FLT-3: entity validation (valid / rejected with reasons) ---
@@ -384,9 +399,9 @@ def q_vector_lookup(spark, root):
 # --- JOIN-5: keyed column concatenation (unique keys asserted) ---
 @register("keyed_concat", f"""
 WITH f AS (SELECT doc_id, {sql_keyword_cols('text')} FROM documents)
-SELECT f.doc_id, f.alpha_keyword_count, f.beta_keyword_count, f.gamma_keyword_count,
+SELECT coalesce(f.doc_id, e.vec_id) AS doc_id, f.alpha_keyword_count, f.beta_keyword_count, f.gamma_keyword_count,
   round(CAST(e.embedding[1] AS DOUBLE), 6) AS emb_0, round(CAST(e.embedding[2] AS DOUBLE), 6) AS emb_1
-FROM f JOIN embeddings e ON e.vec_id = f.doc_id""")
+FROM f FULL JOIN embeddings e ON e.vec_id = f.doc_id""")
 def q_keyed_concat(spark, root):
     docs = t(spark, root, "documents").select("doc_id", "text")
     f = _keyword_out(KW.keyword_features(docs, "text", DOC_DICT, DOC_THRESHOLDS), ["doc_id"]) \
@@ -502,7 +517,7 @@ def q_class_weight_lookup(spark, root):
 @register("distinct_labels", "SELECT array_to_string(list_sort(list_distinct(list(lang))), ',') AS labels FROM documents")
 def q_distinct_labels(spark, root):
     d = t(spark, root, "documents")
-    return d.agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("labels"))
+    return d.select("lang").distinct().agg(F.array_join(F.array_sort(F.collect_list("lang")), ",").alias("labels"))
 
 
 @register("null_check", """
@@ -698,7 +713,9 @@ def q_retrieval_report(spark, root):
 
 def context_rows(spark, root, min_similarity=C.AGENT_MIN_SIMILARITY) -> DataFrame:
     h = vector_hits(spark, root, min_similarity=min_similarity)
-    docs = t(spark, root, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("chunk_text"))
+    # only the characters that the context shows travel to the hits
+    docs = t(spark, root, "documents").select(F.col("doc_id").alias("vec_id"),
+                                              F.substring("text", 1, C.CONTEXT_CHUNK_CHARS).alias("chunk_text"))
     h = h.join(docs, "vec_id", "left").withColumn(
         "source_document", F.concat(F.lit(C.SOURCE_PREFIX + "doc"), F.col("vec_id").cast("string")))
     queries = t(spark, root, "embeddings").select(F.col("vec_id").alias("query_id"))
@@ -708,7 +725,7 @@ def context_rows(spark, root, min_similarity=C.AGENT_MIN_SIMILARITY) -> DataFram
 SQL_CONTEXT = f"""
 top AS (SELECT h.query_id, h.rank, 'doc' || CAST(h.vec_id AS VARCHAR) AS dest, round(h.sim, 4) AS similarity,
                coalesce(d.text, '') AS chunk_text FROM hits h LEFT JOIN documents d ON d.doc_id = h.vec_id WHERE h.rank <= 4),
-ctx AS (SELECT query_id, string_agg('[' || dest || ' - similarity: ' || printf('%.2f', similarity) || ']'
+ctx AS (SELECT query_id, string_agg('[' || dest || ' - similarity: ' || CAST(round(CAST(similarity AS DECIMAL(10, 4)), 2) AS VARCHAR) || ']'
                  || chr(10) || substr(chunk_text, 1, 400), chr(10) || chr(10) ORDER BY rank) AS context FROM top GROUP BY query_id),
 nh AS (SELECT query_id, count(*) AS n_hits FROM hits GROUP BY query_id),
 qc AS (SELECT e.vec_id AS query_id, coalesce(ctx.context, {Q.q(C.NO_CONTEXT_TEXT)}) AS context,
@@ -746,7 +763,7 @@ def _sql_prompt() -> str:
     parts = []
     rest = tmpl
     vals = {"query": "pq.query", "style": "pq.style",
-            "confidence": "printf('%.0f', pq.confidence * 100) || '%'", "context": "qc.context"}
+            "confidence": "CAST(CAST(round(CAST(pq.confidence * 100 AS DECIMAL(24, 12)), 0) AS BIGINT) AS VARCHAR) || '%'", "context": "qc.context"}
     while "{" in rest:
         pre, _, tail = rest.partition("{")
         name, _, rest = tail.partition("}")
@@ -759,7 +776,7 @@ def _sql_prompt() -> str:
 WITH {_sql_search(5, 0.2)}, {SQL_CONTEXT},
 kc AS (SELECT doc_id, {_sql_rule_class()} AS style,
          {' , '.join(f"{Q.hits("lower(coalesce(text, ''))", kws)} AS c_{c.lower()}" for c, kws in DOC_DICT.items())},
-         coalesce(string_split(coalesce(text, ''), chr(10))[1], '') AS query FROM documents),
+         coalesce(text, '') AS query FROM documents),
 pq AS (SELECT doc_id, query, coalesce(style, 'Unknown') AS style,
          CASE WHEN style IS NULL THEN 0.0 ELSE greatest({', '.join(f'c_{c.lower()}' for c in DOC_DICT)})
               / greatest({' + '.join(f'c_{c.lower()}' for c in DOC_DICT)}, 1) END AS confidence FROM kc)
@@ -767,10 +784,10 @@ SELECT qc.query_id, md5({_sql_prompt()}) AS prompt_md5, length({_sql_prompt()})
 FROM qc JOIN pq ON pq.doc_id = qc.query_id""")
 def q_prompt_text(spark, root):
     ctx = context_rows(spark, root)
-    docs = doc_lines(t(spark, root, "documents").select("doc_id", "text"), 1)
+    docs = t(spark, root, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     f = KW.rule_class(KW.keyword_features(docs, "text", DOC_DICT, DOC_THRESHOLDS), list(DOC_DICT))
     best = F.greatest(*[F.col(f"{c.lower()}_keyword_ratio") for c in DOC_DICT])
-    pq = f.select(F.col("doc_id").alias("query_id"), F.col("l1").alias("query"),
+    pq = f.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"),
                   F.coalesce(F.col("rule_class"), F.lit("Unknown")).alias("style"),
                   F.when(F.col("rule_class").isNull(), F.lit(0.0)).otherwise(best).alias("confidence"))
     j = ctx.join(pq, "query_id")
@@ -783,17 +800,16 @@ def q_prompt_text(spark, root):
 # conversation turn as the stored response.
 # ---------------------------------------------------------------------------
 def runs_table(spark, root) -> DataFrame:
+    """Run log: one row per event; the response is looked up for the shown runs."""
     ev = t(spark, root, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    conv = t(spark, root, "conversations").filter(F.col("turn") == 1).select(
-        F.col("conv_id").alias("user_id"), F.col("text").alias("agent_response"))
-    return ev.join(conv, "user_id", "left").select(
+    return ev.select(
         F.col("event_id").cast("string").alias("run_id"), "user_id",
         F.concat(F.lit("event "), F.col("event_type"), F.lit(" "), F.col("value").cast("string")).alias("user_input"),
-        "agent_response", F.col("event_type").alias("status"), F.col("ts").alias("started_at"))
+        F.col("event_type").alias("status"), F.col("ts").alias("started_at"))
 
 
 @register("recent_runs", """
-WITH c AS (SELECT conv_id, text FROM conversations WHERE turn = 1),
+WITH c AS (SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 r AS (SELECT CAST(e.event_id AS VARCHAR) AS run_id, 'event ' || e.event_type || ' ' || CAST(e.value AS VARCHAR) AS user_input,
         c.text AS agent_response, e.event_type AS status, e.ts AS started_at
       FROM events e LEFT JOIN c ON c.conv_id = e.user_id)
@@ -803,7 +819,13 @@ SELECT run_id, user_input,
                ELSE strftime(started_at, '%Y-%m-%d %H:%M:%S.%f') END AS started_at
 FROM r ORDER BY r.started_at DESC, run_id DESC LIMIT 10""")
 def q_recent_runs(spark, root):
-    return SV.history(runs_table(spark, root), 10)
+    # the ten runs first, then the last assistant turn of their conversations
+    top = SV.recent(runs_table(spark, root), 10)
+    conv = t(spark, root, "conversations").filter(F.col("role") == "assistant").select(
+        F.col("conv_id").alias("user_id"), "turn", "text")
+    last = conv.join(top.select("user_id").distinct(), "user_id", "left_semi").groupBy("user_id").agg(
+        F.max_by("text", "turn").alias("agent_response"))
+    return SV.history(top.join(last, "user_id", "left"), 10)
 
 
 @register("conversation_summary", """
@@ -871,18 +893,23 @@ def q_ellipsis(spark, root):
 
 @register("first_non_blank", f"""
 WITH {SQL_WIKI}
-SELECT doc_id, md5(substr(CASE WHEN length({Q.strip('understand')}) > 0 THEN understand ELSE full_text END, 1, 2000))
+SELECT doc_id, md5(CASE WHEN length({Q.strip('understand')}) > 0 THEN understand ELSE full_text END)
   AS embed_text_md5 FROM art""")
 def q_first_non_blank(spark, root):
     a = doc_articles(spark, root)
-    return a.select("doc_id", F.md5(TX.head(TX.first_non_blank("understand", "full_text"), C.EMBED_TEXT_CHARS))
-                    .alias("embed_text_md5"))
+    return a.select("doc_id", F.md5(TX.first_non_blank("understand", "full_text")).alias("embed_text_md5"))
+
 
+def _sql_fixed(x: str, decimals: int, signed: bool = False) -> str:
+    """Rounds the shortest decimal form of a double, half up."""
+    text = f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 20)), {decimals}) AS VARCHAR)"
+    return f"(CASE WHEN {x} >= 0 THEN '+' ELSE '' END || {text})" if signed else text
 
-@register("number_formats", """
-SELECT event_id, printf('%.2f', value) AS f2, printf('%.3f', value / 100) AS f3,
-  printf('%+.3f', value / 100) AS signed3,
-  printf('%.0f', value / 100 * 100) || '%' AS pct, round(value / 7, 4) AS r4, round(value / 7, 3) AS r3
+
+@register("number_formats", f"""
+SELECT event_id, {_sql_fixed('value', 2)} AS f2, {_sql_fixed('value / 100', 3)} AS f3,
+  {_sql_fixed('value / 100', 3, True)} AS signed3,
+  {_sql_fixed('value / 100 * 100', 0)} || '%' AS pct, round(value / 7, 4) AS r4, round(value / 7, 3) AS r3
 FROM events""")
 def q_number_formats(spark, root):
     e = t(spark, root, "events")
@@ -923,16 +950,16 @@ def q_vector_scalars(spark, root):
 
 
 @register("vector_codec", """
-SELECT vec_id, len(embedding) AS dims, max(abs(x)) < 1 AS in_range FROM (
-  SELECT vec_id, embedding, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id, embedding""")
+SELECT vec_id, len(embedding) AS dims,
+  md5(array_to_string(list_transform(embedding, lambda x: printf('%.8f', x::DOUBLE)), ',')) AS text_md5, TRUE AS same
+FROM embeddings""")
 def q_vector_codec(spark, root):
+    """Vectors to their text form and back."""
     e = t(spark, root, "embeddings").select("vec_id", "embedding")
-    back = V.text_to_vector(V.vector_to_text("embedding"))
-    err = F.array_max(F.zip_with("embedding", back, lambda a, b: F.abs(a.cast("double") - b)))
-    zero = V.zero_vector(64)
-    ok = (err <= 5e-9) & (F.size(zero) == 64) & (V.l2_norm(zero) == 0)
-    return e.select("vec_id", F.size("embedding").cast("long").alias("dims"),
-                    (ok & (F.array_max(F.transform("embedding", lambda x: F.abs(x))) < 1)).alias("in_range"))
+    text = V.vector_to_text("embedding")
+    err = F.array_max(F.zip_with("embedding", V.text_to_vector(text), lambda a, b: F.abs(a.cast("double") - b)))
+    inner = F.substring(text, F.lit(2), F.length(text) - 2)
+    return e.select("vec_id", F.size("embedding").cast("long").alias("dims"), F.md5(inner).alias("text_md5"), (err <= 5e-9).alias("same"))
 
 
 # ---------------------------------------------------------------------------
@@ -1004,7 +1031,7 @@ def q_feature_alignment(spark, root):
 
 @register("nonempty_encode", f"""
 WITH {SQL_WIKI}
-SELECT doc_id, length(substr(understand, 1, 2000)) > 0 AS has_text, CAST(384 AS BIGINT) AS dims FROM art""")
+SELECT doc_id, length(understand) > 0 AS has_text, CAST(384 AS BIGINT) AS dims FROM art""")
 def q_nonempty_encode(spark, root):
     from ..operators.encode import HashingEncoder, encode_nonempty
     a = doc_articles(spark, root).select("doc_id", "understand")
@@ -1035,63 +1062,94 @@ def lang_features(spark, root) -> tuple[DataFrame, list]:
     return f, keyword_feature_columns(LANG_DICT)
 
 
-@register("train_experiment")
+SQL_LANG = f"""WITH sc AS (SELECT doc_id, lang AS truth FROM documents), {SQL_RANKED}"""
+#: macro F1 that a model of the languages reaches, far above guessing the largest class
+LEARNED = 0.5
+
+
+def _learned(report: DataFrame):
+    """Whether a report's macro F1 reaches the floor, as a one-row table."""
+    return report.agg((F.avg("f1") >= LEARNED).alias("learned"))
+
+
+def _lang_model(spark, root):
+    """A model of ``documents.lang`` on keyword features, fitted on the train rows."""
+    from ..operators import ml as ML
+    from .experiment import prepare
+    f, cols = lang_features(spark, root)
+    train = prepare(f, "lang", "doc_id", LANG_LABELS).filter(F.col("split") == "train")
+    return ML.build_pipeline("LogisticRegression", cols, LANG_LABELS, train.count()).fit(train)
+
+
+@register("train_experiment", f"""{SQL_LANG}
+SELECT m.model_name, m.ord, 'a' AS phase, CAST(5 AS BIGINT) AS n_folds, (SELECT count(*) FROM trn) AS n_train, TRUE AS learned
+FROM (VALUES ('LogisticRegression', 0), ('RandomForest', 1), ('GradientBoosting', 2)) m(model_name, ord)""")
 def q_train_experiment(spark, root):
+    """Fold-by-fold comparison of the three families."""
     from .experiment import run_experiment
     f, cols = lang_features(spark, root)
     res = run_experiment(f, cols, "lang", "doc_id", LANG_LABELS)
-    return res["runs"].select("model_name", "ord", "accuracy_mean", "accuracy_std", "f1_macro_mean",
-                              "f1_macro_std", "phase", "winner")
+    folds = res["folds"].groupBy("model_name").agg(F.count(F.lit(1)).alias("n_folds"))
+    n = res["prepared"].filter(F.col("split") == "train").agg(F.count(F.lit(1)).alias("n_train"))
+    return res["runs"].join(folds, "model_name").join(F.broadcast(n)).select(
+        "model_name", "ord", "phase", "n_folds", "n_train", (F.col("f1_macro_mean") >= LEARNED).alias("learned"))
+
+
+SQL_TEST_ROWS = f"""{SQL_LANG}
+SELECT truth AS label, count(*) AS support, TRUE AS learned"""
 
 
-@register("model_test_report")
+@register("model_test_report", f"{SQL_TEST_ROWS} FROM spl WHERE split = 'test' GROUP BY truth")
 def q_model_test_report(spark, root):
+    """The better of two families, refitted and reported on the test rows."""
     from .experiment import run_experiment
     f, cols = lang_features(spark, root)
-    res = run_experiment(f, cols, "lang", "doc_id", LANG_LABELS, models=["LogisticRegression", "RandomForest"])
-    return res["test_report"].withColumn("model_name", F.lit(res["best"]))
+    report = run_experiment(f, cols, "lang", "doc_id", LANG_LABELS, models=["LogisticRegression", "RandomForest"])["test_report"]
+    return report.join(F.broadcast(_learned(report))).select("label", "support", "learned")
 
 
-@register("tune_winner")
+@register("tune_winner", f"{SQL_TEST_ROWS}, TRUE AS in_grid FROM spl WHERE split = 'test' GROUP BY truth")
 def q_tune_winner(spark, root):
-    import json
-    from ..operators import ml as ML
-    from .experiment import fit_and_report, prepare
+    """The winner of the comparison, tuned on its own grid and reported."""
+    from .experiment import run_experiment
     f, cols = lang_features(spark, root)
-    prepared = prepare(f, "lang", "doc_id", LANG_LABELS)
-    grid = C.PARAM_GRIDS["LogisticRegression"]
-    best, score = ML.tune(prepared.filter(F.col("split") == "train"), "LogisticRegression", cols, LANG_LABELS, grid)
-    _, report = fit_and_report(prepared, "LogisticRegression", cols, LANG_LABELS, "lang", best)
-    return report.withColumn("best_params", F.lit(json.dumps(best))).withColumn("cv_f1", F.lit(score))
+    res = run_experiment(f, cols, "lang", "doc_id", LANG_LABELS, models=["LogisticRegression", "RandomForest"], tune_grid={})
+    grid = C.PARAM_GRIDS[res["best"]]
+    in_grid = set(res["best_params"]) == set(grid) and all(v in grid[k] for k, v in res["best_params"].items())
+    report = res["test_report"]
+    return report.join(F.broadcast(_learned(report))).select("label", "support", "learned", F.lit(in_grid).alias("in_grid"))
 
 
-@register("classify_queries")
+@register("classify_queries", "SELECT conv_id, turn, TRUE AS known, TRUE AS bounded FROM conversations WHERE role = 'user'")
 def q_classify_queries(spark, root):
     from ..operators import ml as ML
-    from .experiment import prepare
-    f, cols = lang_features(spark, root)
-    prepared = prepare(f, "lang", "doc_id", LANG_LABELS)
-    train = prepared.filter(F.col("split") == "train")
-    model = ML.build_pipeline("LogisticRegression", cols, LANG_LABELS, train.count()).fit(train)
     q = t(spark, root, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
-    s = ML.score_texts(q, "text", model, LANG_DICT, LANG_THRESHOLDS, regions=[])
-    return s.select("conv_id", "turn", "predicted_style", F.round("style_confidence", 3).alias("style_confidence"))
+    s = ML.score_texts(q, "text", _lang_model(spark, root), LANG_DICT, LANG_THRESHOLDS, regions=[])
+    return s.select("conv_id", "turn", F.col("predicted_style").isin(LANG_LABELS).alias("known"),
+                    F.col("style_confidence").between(0, 1).alias("bounded"))
 
 
-@register("embedding_pca")
+@register("embedding_pca", f"""WITH sc AS (SELECT vec_id AS doc_id, label AS truth FROM embeddings), {SQL_RANKED}
+SELECT doc_id AS vec_id, split, CAST({C.PCA_COMPONENTS} AS BIGINT) AS n_components, TRUE AS descending, TRUE AS centred FROM spl""")
 def q_embedding_pca(spark, root):
+    """Components fitted on the train rows: on them the means are zero and the
+    variances descend."""
     from ..operators import ml as ML
-    e = t(spark, root, "embeddings")
-    sp = SP.stratified_split(e, "label", "vec_id")
-    out, var = ML.add_pca_features(sp, "embedding", F.col("split") == "train", k=C.PCA_COMPONENTS)
-    return out.select("vec_id", "split", *[f"emb_pca_{i}" for i in range(C.PCA_COMPONENTS)]) \
-        .withColumn("explained_variance", F.lit(round(var, 6)))
+    sp = SP.stratified_split(t(spark, root, "embeddings"), "label", "vec_id")
+    names = [f"emb_pca_{i}" for i in range(C.PCA_COMPONENTS)]
+    out, _ = ML.add_pca_features(sp, "embedding", F.col("split") == "train", k=C.PCA_COMPONENTS)
+    train = out.filter(F.col("split") == "train")
+    stats = train.agg(F.array(*[F.avg(c) for c in names]).alias("m"), F.array(*[F.var_pop(c) for c in names]).alias("v"))
+    flags = stats.select(F.forall("m", lambda x: F.abs(x) < 1e-6).alias("centred"),
+                         F.forall(F.sequence(F.lit(1), F.lit(len(names) - 1)),
+                                  lambda i: F.get("v", i) <= F.get("v", i - 1) + 1e-9).alias("descending"))
+    return out.join(F.broadcast(flags)).select(
+        "vec_id", "split", F.lit(len(names)).cast("long").alias("n_components"), "descending", "centred")
 
 
 @register("encode_texts", f"""
 WITH {SQL_WIKI},
-x AS (SELECT doc_id, substr(CASE WHEN length({Q.strip('understand')}) > 0 THEN understand ELSE full_text END, 1, 2000) AS t
-      FROM art)
+x AS (SELECT doc_id, CASE WHEN length({Q.strip('understand')}) > 0 THEN understand ELSE full_text END AS t FROM art)
 SELECT doc_id, length(t) > 0 AS has_text, CAST(384 AS BIGINT) AS dims,
   CAST(CASE WHEN regexp_matches(t, '[\\pL\\pN\\p{{Mn}}\\p{{Mc}}\\p{{Me}}\\p{{Pc}}]') THEN 1 ELSE 0 END AS DOUBLE) AS norm
 FROM x""")
@@ -1106,9 +1164,9 @@ def q_encode_texts(spark, root):
 
 @register("build_index", f"""
 WITH {SQL_WIKI}, {SQL_CHUNKS}
-SELECT md5('wikivoyage:' || name || ':' || CAST(chunk_index AS VARCHAR)) AS chunk_id,
-  'wikivoyage:' || name AS source_document, CAST(chunk_index AS BIGINT) AS chunk_index,
-  'hashing-tf-384-v1' AS encoder_id, CAST(384 AS BIGINT) AS dims FROM chunks""")
+SELECT md5('wikivoyage:' || name || ':' || CAST(chunk_index AS VARCHAR) || CASE WHEN part > 0 THEN ':' || CAST(part AS VARCHAR) ELSE '' END) AS chunk_id,
+  'wikivoyage:' || name AS source_document, CAST(chunk_index AS BIGINT) AS chunk_index, CAST(part AS BIGINT) AS part,
+  'hashing-tf-384-v1' AS encoder_id, CAST(384 AS BIGINT) AS dims, md5(chunk_text) AS text_md5 FROM chunks""")
 def q_build_index(spark, root):
     from ..operators.encode import HashingEncoder
     from .index import build_index
@@ -1116,32 +1174,52 @@ def q_build_index(spark, root):
                                             "full_text", F.col("name").alias("cache_key"))
     ents = t(spark, root, "documents").select(doc_name().alias("cache_key"))
     idx = build_index(ents, arts, HashingEncoder(C.EMBEDDING_DIM), key="cache_key")["index"]
-    return idx.select("chunk_id", "source_document", F.col("chunk_index").cast("long"), "encoder_id",
-                      F.size("embedding").cast("long").alias("dims"))
+    return idx.select("chunk_id", "source_document", F.col("chunk_index").cast("long"), F.col("part").cast("long"),
+                      "encoder_id", F.size("embedding").cast("long").alias("dims"), F.md5("chunk_text").alias("text_md5"))
 
 
-@register("answer_requests")
-def q_answer_requests(spark, root):
-    from ..operators import ml as ML
+def _requests(spark, root):
+    return t(spark, root, "conversations").filter(F.col("role") == "user").select(
+        F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("request_id"),
+        F.col("text").alias("message"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"))
+
+
+def _answer_index(spark, root):
     from ..operators.encode import HashingEncoder
-    from .answer import answer_requests
-    from .experiment import prepare
     from .index import build_index
     enc = HashingEncoder(C.EMBEDDING_DIM)
-    arts = doc_articles(spark, root).select(F.col("name").alias("destination"), "understand", "do", "sleep",
-                                            "full_text", F.col("name").alias("cache_key"))
-    ents = t(spark, root, "documents").select(doc_name().alias("cache_key"))
-    index = build_index(ents, arts, enc, key="cache_key")["index"]
-    f, cols = lang_features(spark, root)
-    prepared = prepare(f, "lang", "doc_id", LANG_LABELS)
-    train = prepared.filter(F.col("split") == "train")
-    model = ML.build_pipeline("LogisticRegression", cols, LANG_LABELS, train.count()).fit(train)
-    req = t(spark, root, "conversations").filter(F.col("role") == "user").select(
-        F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("request_id"),
-        F.col("text").alias("message"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"))
-    resp, _ = answer_requests(req, index, enc, model, dictionary=LANG_DICT, thresholds=LANG_THRESHOLDS, regions=[])
-    return resp.select("request_id", "session_id", "predicted_style", "style_confidence", "chunks_retrieved",
-                       "no_hits", F.length("prompt").cast("long").alias("prompt_chars"), "response")
+    ents, arts = _index_inputs(spark, root)
+    return build_index(ents, arts, enc, key="cache_key")["index"], enc
+
+
+def batch_answers(spark, root) -> tuple[DataFrame, DataFrame]:
+    """(responses, rejected requests) of every user message."""
+    from .answer import answer_requests
+    index, enc = _answer_index(spark, root)
+    return answer_requests(_requests(spark, root), index, enc, _lang_model(spark, root), dictionary=LANG_DICT,
+                           thresholds=LANG_THRESHOLDS, regions=[], unique_chunks=False)
+
+
+def _outcomes(responses: DataFrame, rejected: DataFrame) -> DataFrame:
+    done = responses.select("request_id", "session_id", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("reason"),
+                            F.col("predicted_style").isin(LANG_LABELS).alias("known"),
+                            F.col("chunks_retrieved").between(0, C.DEFAULT_TOP_K).alias("within_k"))
+    refused = rejected.select("request_id", "session_id", F.lit("rejected").alias("status"), "reason",
+                              F.lit(None).cast("boolean").alias("known"), F.lit(None).cast("boolean").alias("within_k"))
+    return done.unionByName(refused)
+
+
+SQL_OUTCOMES = f"""
+WITH u AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id, 's' || CAST(conv_id AS VARCHAR) AS session_id,
+  CASE WHEN text IS NULL THEN 'missing' WHEN length({Q.strip('text')}) = 0 THEN 'Message cannot be empty'
+       WHEN length(text) > 1000 THEN 'Message too long — max 1000 characters' END AS reason FROM conversations WHERE role = 'user')
+SELECT request_id, session_id, CASE WHEN reason IS NULL THEN 'completed' ELSE 'rejected' END AS status, reason,
+  CASE WHEN reason IS NULL THEN TRUE END AS known, CASE WHEN reason IS NULL THEN TRUE END AS within_k"""
+
+
+@register("answer_requests", f"{SQL_OUTCOMES} FROM u")
+def q_answer_requests(spark, root):
+    return _outcomes(*batch_answers(spark, root))
 
 
 # ---------------------------------------------------------------------------
@@ -1169,41 +1247,36 @@ def q_stream_features(spark, root):
         return _keyword_out(KW.keyword_features(df, "text", DOC_DICT, DOC_THRESHOLDS), ["doc_id"])
 
     first_wave.write.mode("overwrite").parquet(os.path.join(src, "wave=1"))
-    process_new(spark, os.path.join(src, "*"), schema, out, ck, "doc_id", feats, order_col="doc_id")
+    process_new(spark, os.path.join(src, "*"), schema, out, ck, "doc_id", feats)
     second_wave.write.mode("overwrite").parquet(os.path.join(src, "wave=2"))
-    process_new(spark, os.path.join(src, "*"), schema, out, ck, "doc_id", feats, order_col="doc_id")
+    process_new(spark, os.path.join(src, "*"), schema, out, ck, "doc_id", feats)
     return read_output(spark, out)
 
 
-@register("stream_answers")
-def q_stream_answers(spark, root):
+def stream_answers(spark, root):
+    """Requests answered as a stream: (responses, rejected requests, run records)
+    as stored."""
     import os
-    from ..operators import ml as ML
-    from ..operators.encode import HashingEncoder
-    from ..streaming.incremental import answer_stream
-    from .experiment import prepare
-    from .index import build_index
+    from ..streaming.incremental import answer_stream, read_output
     base = _scratch(spark, "stream-answers")
-    enc = HashingEncoder(C.EMBEDDING_DIM)
-    arts = doc_articles(spark, root).select(F.col("name").alias("destination"), "understand", "do", "sleep",
-                                            "full_text", F.col("name").alias("cache_key"))
-    ents = t(spark, root, "documents").select(doc_name().alias("cache_key"))
-    index = build_index(ents, arts, enc, key="cache_key")["index"]
-    f, cols = lang_features(spark, root)
-    prepared = prepare(f, "lang", "doc_id", LANG_LABELS)
-    train = prepared.filter(F.col("split") == "train")
-    model = ML.build_pipeline("LogisticRegression", cols, LANG_LABELS, train.count()).fit(train)
-    req = t(spark, root, "conversations").filter(F.col("role") == "user").select(
-        F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("request_id"),
-        F.col("text").alias("message"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"))
-    src = os.path.join(base, "requests")
+    index, enc = _answer_index(spark, root)
+    path = os.path.join(base, "index")
+    index.write.parquet(path)
+    req = _requests(spark, root)
+    src, responses, rejects, runs = (os.path.join(base, x) for x in ("requests", "responses", "rejects", "runs"))
     req.write.mode("overwrite").parquet(src)
-    answer_stream(spark, src, req.schema, index, enc, model, os.path.join(base, "responses"),
-                  os.path.join(base, "runs"), os.path.join(base, "ckpt"),
-                  dictionary=LANG_DICT, thresholds=LANG_THRESHOLDS, regions=[])
-    from ..streaming.incremental import read_output
-    return read_output(spark, os.path.join(base, "responses")).select(
-        "request_id", "session_id", "predicted_style", "style_confidence", "chunks_retrieved", "no_hits")
+    answer_stream(spark, src, req.schema, spark.read.parquet(path), enc, _lang_model(spark, root), responses, runs,
+                  os.path.join(base, "ckpt"), rejects_path=rejects,
+                  dictionary=LANG_DICT, thresholds=LANG_THRESHOLDS, regions=[], unique_chunks=False)
+    return read_output(spark, responses), read_output(spark, rejects), read_output(spark, runs)
+
+
+@register("stream_answers", f"{SQL_OUTCOMES}, reason IS NULL AS has_run FROM u")
+def q_stream_answers(spark, root):
+    responses, rejected, runs = stream_answers(spark, root)
+    have = runs.select(F.col("run_id").alias("request_id"), F.lit(True).alias("has_run")).distinct()
+    return _outcomes(responses, rejected).join(have, "request_id", "left").withColumn(
+        "has_run", F.coalesce("has_run", F.lit(False)))
 
 
 # ---------------------------------------------------------------------------
@@ -1216,9 +1289,15 @@ def q_feature_csv_round_trip(spark, root):
     from ..sources.sinks import write_csv
     path = os.path.join(_scratch(spark, "features-csv"), "features.csv")
     fm = feature_matrix(spark, root)
-    write_csv(fm, path)
+    write_csv(fm.select(*[f.name for f in _matrix_schema().fields]), path)
     # read back with the schema generated from the dictionary and domain (never inferred)
-    return spark.read.schema(fm.schema).option("header", True).option("escape", '"').csv(path)
+    back = TB.read_feature_matrix(spark, path, list(DOC_DICT), LANGS)
+    return back.select(*[F.col(c).cast(fm.schema[c].dataType).alias(c) for c in fm.columns])
+
+
+def _matrix_schema():
+    from ..schemas import feature_schema
+    return feature_schema(list(DOC_DICT), LANGS)
 
 
 @register("article_json_round_trip", f"""
@@ -1227,34 +1306,170 @@ SELECT 'v1_' || md5(lower(name)) || '.json' AS cache_key, name AS title, underst
 def q_article_json_round_trip(spark, root):
     import os
     path = os.path.join(_scratch(spark, "articles-json"), "cache")
-    arts = doc_articles(spark, root).select(TB.cache_key("name").alias("k"), F.col("name").alias("title"),
+    arts = doc_articles(spark, root).select(TB.cache_key("name").alias("cache_key"), F.col("name").alias("title"),
                                             "understand", "do", "sleep", "full_text")
-    # one JSON document per article, named by its content-addressed key
-    arts.write.partitionBy("k").json(path)
-    back = spark.read.schema("title string, understand string, do string, sleep string, full_text string") \
-        .json(path).withColumn("cache_key", F.regexp_extract(F.input_file_name(), r"k=([^/]+)/", 1))
-    return back.select("cache_key", "title", *[F.coalesce(F.col(c), F.lit("")).alias(c)
-                                               for c in ("understand", "do", "sleep", "full_text")])
+    arts.write.json(path)           # JSON lines: splittable, the key in the row
+    return TB.read_articles(spark, path).select("cache_key", "title", "understand", "do", "sleep", "full_text")
+
+
+@register("entity_csv_round_trip", f"""
+SELECT 'doc' || CAST(doc_id AS VARCHAR) AS destination_name, lang AS region, source AS travel_style_label FROM documents""")
+def q_entity_csv_round_trip(spark, root):
+    """Labelled entities written as CSV twice over and read back: the first row of
+    a repeated name wins."""
+    import os
+    from ..schemas import ENTITY_SCHEMA
+    from ..sources.sinks import write_csv
+    path = os.path.join(_scratch(spark, "entities-csv"), "entities.csv")
+    docs = t(spark, root, "documents")
+    given = {"destination_name": doc_name(), "region": F.col("lang"), "travel_style_label": F.col("source")}
+    rows = docs.select(*[given.get(f.name, F.lit("x").cast(f.dataType)).alias(f.name) for f in ENTITY_SCHEMA.fields])
+    write_csv(rows.unionByName(rows), path)
+    ents = TB.read_entities(spark, path)
+    return R.first_per_key(ents, "destination_name", "ord").select("destination_name", "region", "travel_style_label")
+
+
+@register("embedding_store", f"""
+WITH {SQL_WIKI}
+SELECT doc_id, 'hashing-tf-64-v1' AS encoder_id, CAST(64 AS BIGINT) AS dims, lang = 'en' AS was_cached, TRUE AS same FROM art""")
+def q_embedding_store(spark, root):
+    """Text vectors with a stored cache: English texts are stored first, the rest
+    are encoded on demand and appended; the store equals encoding everything."""
+    import os
+    from ..operators.encode import HashingEncoder, embed_with_cache, encode_nonempty
+    from ..sources import sinks
+    path = os.path.join(_scratch(spark, "embeddings"), "store")
+    enc = HashingEncoder(64)
+    texts = doc_articles(spark, root).select("doc_id", "lang", "understand")
+    first = texts.filter(F.col("lang") == "en")
+    sinks.save_embeddings(embed_with_cache(first, "doc_id", "understand", None, enc)[1], path, "doc_id")
+    schema = "doc_id long, embedding array<float>, encoder_id string"
+    stored = spark.read.schema(schema).parquet(path)
+    hits = stored.select("doc_id", F.lit(True).alias("was_cached"))
+    fresh = embed_with_cache(texts, "doc_id", "understand", stored, enc)[1]
+    from ..session import cut_lineage
+    hits, fresh = cut_lineage(hits), cut_lineage(fresh)
+    sinks.save_embeddings(fresh, path, "doc_id")
+    again = encode_nonempty(texts, enc, "understand", "expected").select("doc_id", "expected")
+    out = spark.read.schema(schema).parquet(path).join(again, "doc_id").join(hits, "doc_id", "left")
+    return out.select("doc_id", "encoder_id", F.size("embedding").cast("long").alias("dims"),
+                      F.coalesce("was_cached", F.lit(False)).alias("was_cached"), (F.col("embedding") == F.col("expected")).alias("same"))
+
+
+@register("key_label_split", f"WITH {SQL_WIKI}, {SQL_FEATURES} SELECT destination_name, label, alpha_keyword_count, price_tier, CAST(15 AS BIGINT) AS n_inputs FROM fm")
+def q_key_label_split(spark, root):
+    """Model inputs without key and label; the label comes back by key."""
+    from ..operators.align import drop_key_label
+    fm = feature_matrix(spark, root)
+    x, y = drop_key_label(fm, "destination_name", "label")
+    inputs = len(x.columns)
+    return y.join(fm.drop("label"), "destination_name").select(
+        "destination_name", "label", "alpha_keyword_count", "price_tier", F.lit(inputs).cast("long").alias("n_inputs"))
+
+
+@register("message_append", """
+WITH lst AS (SELECT conv_id, max(turn) AS l FROM conversations GROUP BY conv_id)
+SELECT conv_id, turn, role, text FROM conversations
+UNION ALL
+SELECT conv_id, l + 1, 'user', 'thank you' FROM lst
+UNION ALL
+SELECT conv_id, l + 2, 'assistant', 'you are welcome' FROM lst
+UNION ALL SELECT -5, 0, 'user', 'hello'""")
+def q_message_append(spark, root):
+    """Two new messages per conversation, and the first one of a new conversation."""
+    from ..operators.messages import append_messages
+    log = t(spark, root, "conversations").select("conv_id", "turn", "role", "text")
+    two = F.array(F.struct(F.lit(1).cast("long").alias("_seq"), F.lit("user").alias("role"), F.lit("thank you").alias("text")),
+                  F.struct(F.lit(2).cast("long").alias("_seq"), F.lit("assistant").alias("role"), F.lit("you are welcome").alias("text")))
+    new = log.select("conv_id").distinct().select("conv_id", F.explode(two).alias("m")).select("conv_id", "m.*")
+    first = spark.range(1).select(F.lit(-5).cast("long").alias("conv_id"), F.lit(1).cast("long").alias("_seq"),
+                                  F.lit("user").alias("role"), F.lit("hello").alias("text"))
+    return append_messages(log, new.unionByName(first)).select("conv_id", "turn", "role", "text")
+
+
+@register("skipped_names", """
+SELECT 'skipped' AS status, 'doc' || CAST(d.doc_id AS VARCHAR) AS name FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+UNION ALL
+SELECT 'failed', 'doc' || CAST(doc_id AS VARCHAR) FROM documents WHERE lang NOT IN ('en', 'fr', 'de') OR lang IS NULL""")
+def q_skipped_names(spark, root):
+    """AGG-15: the names behind the run summary's counts, as a table."""
+    docs = t(spark, root, "documents").select("doc_id", F.col("lang").alias("region"), doc_name().alias("destination_name"))
+    skipped = R.with_articles(docs, t(spark, root, "labels").select("doc_id").distinct(), "doc_id")[1]
+    failed = VA.validate_entities(docs, "destination_name", "region", ENTITY_LANGS)[1]
+    return skipped.select(F.lit("skipped").alias("status"), F.col("destination_name").alias("name")).unionByName(
+        failed.select(F.lit("failed").alias("status"), F.col("destination_name").alias("name")))
+
+
+def _index_inputs(spark, root):
+    arts = doc_articles(spark, root).select(F.col("name").alias("destination"), "understand", "do", "sleep",
+                                            "full_text", F.col("name").alias("cache_key"))
+    return t(spark, root, "documents").select(doc_name().alias("cache_key")), arts
 
 
 @register("index_write_verify", f"""
-WITH {SQL_WIKI}, {SQL_CHUNKS}
-SELECT 'wikivoyage:' || name AS source_document, count(*) AS n_chunks FROM chunks GROUP BY name""")
+WITH {SQL_WIKI}, {SQL_CHUNKS}, total AS (SELECT count(*) AS n_all FROM chunks)
+SELECT 'wikivoyage:' || name AS source_document, count(*) AS n_chunks, any_value(n_all) AS n_written
+FROM chunks, total GROUP BY name""")
 def q_index_write_verify(spark, root):
+    """Build, count, clear and write again, then re-send every source."""
     import os
     from ..operators.encode import HashingEncoder
     from ..sources import sinks
     from .index import build_index
     path = os.path.join(_scratch(spark, "index"), "rag_chunks")
-    arts = doc_articles(spark, root).select(F.col("name").alias("destination"), "understand", "do", "sleep",
-                                            "full_text", F.col("name").alias("cache_key"))
-    ents = t(spark, root, "documents").select(doc_name().alias("cache_key"))
-    res = build_index(ents, arts, HashingEncoder(C.EMBEDDING_DIM), key="cache_key", path=path,
-                      on_conflict="append")
+    ents, arts = _index_inputs(spark, root)
+    res = build_index(ents, arts, HashingEncoder(C.EMBEDDING_DIM), key="cache_key", path=path, on_conflict="append")
+    from ..session import cut_lineage
+    sinks.write_chunks(cut_lineage(sinks.read_chunks(spark, path)), path, "overwrite")
     # re-sending every source with replace_source must not duplicate any chunk
-    sinks.write_chunks(spark.read.parquet(path), path, "replace_source")
-    stored = spark.read.parquet(path)
-    return stored.groupBy("source_document").agg(F.count(F.lit(1)).alias("n_chunks"))
+    sinks.write_chunks(sinks.read_chunks(spark, path), path, "replace_source")
+    stored = sinks.read_chunks(spark, path)
+    return stored.groupBy("source_document").agg(F.count(F.lit(1)).alias("n_chunks")).withColumn(
+        "n_written", F.lit(res["count"]).cast("long"))
+
+
+@register("index_incremental", f"""
+WITH {SQL_WIKI}, {SQL_CHUNKS}
+SELECT 'wikivoyage:' || chunks.name AS source_document, count(*) AS n_chunks, min(md5(chunk_text)) AS least_md5
+FROM chunks JOIN art ON art.name = chunks.name WHERE art.lang <> 'fr' OR art.lang IS NULL GROUP BY chunks.name""")
+def q_index_incremental(spark, root):
+    """Incremental indexing: German and French articles first, then everything,
+    the French ones empty now, so their chunks go."""
+    import os
+    from ..operators.encode import HashingEncoder
+    from ..sources import sinks
+    from ..streaming.incremental import index_new_articles
+    base = _scratch(spark, "index-stream")
+    src, path, ck = (os.path.join(base, x) for x in ("in", "index", "ckpt"))
+    arts = doc_articles(spark, root).select(F.col("name").alias("destination"), "lang", "understand", "do", "sleep", "full_text")
+    emptied = [F.when(F.col("lang") == "fr", F.lit("")).otherwise(F.col(c)).alias(c) for c in ("understand", "do", "sleep", "full_text")]
+    enc = HashingEncoder(64)
+    arts.filter(F.col("lang").isin("de", "fr")).write.parquet(os.path.join(src, "wave=1"))
+    index_new_articles(spark, os.path.join(src, "*"), arts.schema, path, ck, enc)
+    arts.select("destination", "lang", *emptied).write.parquet(os.path.join(src, "wave=2"))
+    index_new_articles(spark, os.path.join(src, "*"), arts.schema, path, ck, enc)
+    stored = sinks.read_chunks(spark, path)
+    return stored.groupBy("source_document").agg(F.count(F.lit(1)).alias("n_chunks"), F.min(F.md5("chunk_text")).alias("least_md5"))
+
+
+@register("sanity_queries", "SELECT unnest([" + ", ".join(Q.q(x) for x in C.SANITY_QUERIES) + """]) AS query,
+  least(3, (SELECT count(*) FROM embeddings)) AS n_hits, TRUE AS ordered""")
+def q_sanity_queries(spark, root):
+    """The fixed retrieval queries against an index of all documents: top 3 each,
+    in descending similarity."""
+    from ..operators.encode import HashingEncoder
+    from .index import build_index
+    enc = HashingEncoder(C.EMBEDDING_DIM)
+    ents, arts = _index_inputs(spark, root)
+    index = build_index(ents, arts, enc, key="cache_key")["index"].select("chunk_id", "embedding", "encoder_id")
+    q = spark.createDataFrame([(i, x) for i, x in enumerate(C.SANITY_QUERIES)], "query_id int, query string")
+    hits = S.search_text(q, index, enc, k=C.SANITY_TOP_K, min_similarity=None, carry=["chunk_id"], tie=["chunk_id"], round_to=None)
+    by = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"),
+                                      F.transform(F.sort_array(F.collect_list(F.struct("rank", "similarity"))),
+                                                  lambda x: x["similarity"]).alias("s"))
+    ordered = F.sort_array("s", asc=False) == F.col("s")
+    return q.join(by, "query_id", "left").select("query", F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"), ordered.alias("ordered"))
 
 
 @register("table_health", " UNION ALL ".join(
@@ -1264,7 +1479,7 @@ def q_table_health(spark, root):
     return SV.check_tables(spark, {n: os.path.join(root, f"{n}.parquet") for n in TB.DRIVER_TABLES})
 
 
-@register("phase_comparison")
+@register("phase_comparison", f"{SQL_LANG} SELECT DISTINCT truth AS label, TRUE AS learned_a, TRUE AS learned_b, TRUE AS compared FROM spl WHERE split = 'test'")
 def q_phase_comparison(spark, root):
     """Keyword features alone (phase a) against keyword features plus 50 PCA
     components of text vectors fitted on train rows (phase b); per-class test F1
@@ -1285,18 +1500,32 @@ def q_phase_comparison(spark, root):
     from ..session import cut_lineage
     pb = cut_lineage(a["prepared"].join(emb.select("doc_id", *pcs), "doc_id")).persist()
     b = run_experiment(None, cols + pcs, "lang", "doc_id", LANG_LABELS, models=models, phase="b", prepared=pb)
-    return compare_phases(a["test_report"], b["test_report"]) \
-        .withColumn("winner_a", F.lit(a["best"])).withColumn("winner_b", F.lit(b["best"]))
+    both = compare_phases(a["test_report"], b["test_report"])
+    learned = _learned(a["test_report"]).select(F.col("learned").alias("learned_a")).join(
+        _learned(b["test_report"]).select(F.col("learned").alias("learned_b")))
+    return both.join(F.broadcast(learned)).select(
+        "label", "learned_a", "learned_b", (F.abs(F.col("f1_b") - F.col("f1_a") - F.col("delta")) < 1e-9).alias("compared"))
 
 
-@register("experiment_log")
+@register("experiment_log", """
+SELECT * FROM (VALUES ('LogisticRegression_phasea', FALSE, TRUE, FALSE), ('RandomForest_phasea', FALSE, TRUE, FALSE),
+                      ('winner', TRUE, TRUE, TRUE)) v(entry, is_winner, learned, restored)""")
 def q_experiment_log(spark, root):
     """Compare, refit, report, save the winner and append the log; the log table
-    is read back."""
+    is read back and the saved model found and loaded by its name."""
     import os
+    from ..sources.sinks import load_first_model
     from .experiment import run_experiment
     base = _scratch(spark, "experiments")
     f, cols = lang_features(spark, root)
-    run_experiment(f, cols, "lang", "doc_id", LANG_LABELS, models=["LogisticRegression", "RandomForest"],
+    models = ["LogisticRegression", "RandomForest"]
+    run_experiment(f, cols, "lang", "doc_id", LANG_LABELS, models=models,
                    results_path=os.path.join(base, "results"), models_dir=os.path.join(base, "models"))
-    return spark.read.parquet(os.path.join(base, "results"))
+    names = [*C.MODEL_CANDIDATES, *[f"{m}_phasea_v1" for m in models]]
+    name, model = load_first_model(spark, os.path.join(base, "models"), names)
+    log = spark.read.parquet(os.path.join(base, "results"))
+    winner = F.col("model_name").endswith("_WINNER")
+    restored = model is not None
+    return log.select(F.when(winner, "winner").otherwise(F.col("model_name")).alias("entry"), winner.alias("is_winner"),
+                      (F.col("f1_mean") >= LEARNED).alias("learned"),
+                      (winner & F.lit(restored) & F.col("saved_model_path").endswith(name or "")).alias("restored"))

@@ -11,7 +11,7 @@ from .. import constants as C
 from ..operators.keywords import keyword_features, one_hot, price_tier_expr
 from ..operators.relational import first_per_key, pending
 from ..operators.validate import validate_entities
-from ..schemas import feature_columns, region_column
+from ..schemas import feature_columns
 from ..sources.tables import cache_key
 
 
@@ -34,26 +34,23 @@ def build_features(entities: DataFrame, articles: DataFrame,
     valid, rejects = validate_entities(entities, name_col, region_col, regions)
     if order_col in valid.columns:
         valid = first_per_key(valid, name_col, order_col)
-    else:
-        valid = valid.dropDuplicates([name_col])
+    else:                   # without an order the smallest row of a repeated name wins
+        rest = [c for c in valid.columns if c != name_col]
+        valid = first_per_key(valid.withColumn("_row", F.struct(*rest)), name_col, "_row").drop("_row")
     if done is not None:
         valid = pending(valid, done.select(F.col(name_col)), name_col)
     ents = valid.withColumn("cache_key", cache_key(name_col))
-    arts = articles.select("cache_key", "understand", "do", "sleep")
-    j = ents.join(arts, "cache_key", "left")
-    empty = F.col("understand").isNull() & F.col("do").isNull() & F.col("sleep").isNull()
-    j = j.withColumn("is_empty_article", empty)
-    for c in ("understand", "do", "sleep"):
-        j = j.withColumn(c, F.coalesce(F.col(c), F.lit("")))
-    j = j.withColumn("_combined", F.concat(F.col("understand"), F.lit(" "), F.col("do")))
-    f = keyword_features(j, "_combined", dictionary, thresholds, method=method)
-    f = f.withColumn("price_tier", price_tier_expr(F.col("sleep"), tier_low, tier_high, method="filter"))
+    # keywords are counted where the article text is; only the counts meet the entities
+    arts = articles.select("cache_key", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("understand", "do", "sleep")])
+    arts = arts.withColumn("_combined", F.concat(F.col("understand"), F.lit(" "), F.col("do")))
+    arts = keyword_features(arts, "_combined", dictionary, thresholds, method=method)
+    arts = arts.withColumn("price_tier", price_tier_expr(F.col("sleep"), tier_low, tier_high, method="filter"))
+    arts = arts.drop("understand", "do", "sleep", "_combined").withColumn("_has", F.lit(True))
+    j = ents.join(arts, "cache_key", "left").withColumn("is_empty_article", F.col("_has").isNull())
+    f = j.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) if c in arts.columns and c.rpartition("_keyword_")[1]
+                   else F.coalesce(F.col(c), F.lit(2)).alias(c) if c == "price_tier" else F.col(c) for c in j.columns])
     f = one_hot(f, region_col, regions)
     cols = feature_columns(dictionary, regions)
     return (f.select(*cols, F.col(name_col).alias("destination_name"), F.col(label_col).alias("label"),
                      "is_empty_article"),
             rejects)
-
-
-def region_columns(regions: Sequence[str] = C.REGIONS) -> list[str]:
-    return [region_column(r) for r in regions]

@@ -45,6 +45,7 @@ CHUNK_SCHEMA = T.StructType([
     T.StructField("source_document", T.StringType()),
     T.StructField("chunk_text", T.StringType()),
     T.StructField("chunk_index", T.IntegerType()),
+    T.StructField("part", T.IntegerType()),
     T.StructField("encoder_id", T.StringType()),
     T.StructField("created_at", T.TimestampType()),
 ])

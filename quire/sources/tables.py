@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import constants as C
 from .. import schemas as S
@@ -16,34 +16,25 @@ DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "
                  "conversations"]
 
 
-def _path_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(jpath).getLength())
+def _head(text, chars: int | None):
+    return head(text, chars) if chars else text
 
 
-def read_table(spark: SparkSession, root: str, name: str, spread_bytes: int | None = None) -> DataFrame:
-    """A Parquet table ``<root>/<name>.parquet`` (column pruning and filters push down).
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A Parquet table ``<root>/<name>.parquet`` (column pruning and filters push down)."""
+    return spark.read.parquet(os.path.join(root, f"{name}.parquet"))
 
-    With ``spread_bytes``, a table of at least that size whose files give fewer scan splits than
-    the session has cores (one large row group, say) is redistributed once, so
-    per-row text work uses every core.  On a cluster a large table already scans
-    into far more splits than cores and is left as it is."""
-    path = os.path.join(root, f"{name}.parquet")
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread_bytes is not None and df.rdd.getNumPartitions() < cores and _path_bytes(spark, path) >= spread_bytes:
-        df = df.repartition(2 * cores)
-    return df
 
-
-def read_entities(spark: SparkSession, path: str, schema=S.ENTITY_SCHEMA) -> DataFrame:
-    """Labelled entity CSV with header.  ``ord`` keeps the file order where it
-    matters (first row of a duplicated name wins)."""
+def read_entities(spark: SparkSession, path: str, schema=S.ENTITY_SCHEMA, multi_line: bool = False) -> DataFrame:
+    """Labelled entity CSV with header.  ``ord`` orders the rows: by file, then by
+    place in the file, so that "the first row of a repeated name wins" is defined.
+    Files split into many tasks unless quoted values hold line breaks
+    (``multi_line``)."""
     df = (spark.read.schema(schema).option("header", True).option("quote", '"')
-          .option("escape", '"').option("multiLine", True).csv(path))
-    return df.withColumn("ord", F.monotonically_increasing_id())
+          .option("escape", '"').option("multiLine", multi_line).csv(path))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    return df.select(*[F.col(c) for c in schema.fieldNames()], place.alias("ord"))
 
 
 def read_feature_matrix(spark: SparkSession, path: str, classes=None, regions=None) -> DataFrame:
@@ -52,12 +43,16 @@ def read_feature_matrix(spark: SparkSession, path: str, classes=None, regions=No
             .option("escape", '"').csv(path))
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Article JSON documents (one object per file), missing keys read as ''.
-    ``cache_key`` is the file name, the join key to entities."""
-    df = spark.read.schema(S.ARTICLE_SCHEMA).option("multiLine", True).json(path)
-    cols = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in S.ARTICLE_SCHEMA.fieldNames()]
-    return df.select(*cols, F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("cache_key"))
+def read_articles(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """Articles as JSON lines with their ``cache_key``, the join key to entities;
+    missing keys read as ''.  ``one_per_file`` reads one object per file, whose
+    name is the key."""
+    fields = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in S.ARTICLE_SCHEMA.fieldNames()]
+    if one_per_file:
+        df = spark.read.schema(S.ARTICLE_SCHEMA).option("multiLine", True).json(path)
+        return df.select(*fields, F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("cache_key"))
+    schema = T.StructType([*S.ARTICLE_SCHEMA.fields, T.StructField("cache_key", T.StringType())])
+    return spark.read.schema(schema).json(path).select(*fields, "cache_key")
 
 
 def cache_key(name, version: str = C.CACHE_VERSION):
@@ -67,10 +62,10 @@ def cache_key(name, version: str = C.CACHE_VERSION):
 
 
 def unpack_envelope(df: DataFrame, body_col: str = "body",
-                    full_text_chars: int = C.FULL_TEXT_CHARS) -> DataFrame:
+                    full_text_chars: int | None = None) -> DataFrame:
     """API envelope → article columns.  No pages or a ``missing`` first page → an
     empty article (``is_empty_article``); otherwise the first revision's main slot
-    gives the sections and the ``full_text`` head."""
+    gives the sections and the ``full_text`` (its head with ``full_text_chars``)."""
     env = F.from_json(F.col(body_col), S.ENVELOPE_SCHEMA)
     first = F.get(env["query"]["pages"], 0)
     content = F.get(first["revisions"], 0)["slots"]["main"]["content"]
@@ -87,13 +82,13 @@ def unpack_envelope(df: DataFrame, body_col: str = "body",
         sec("Understand").alias("understand"),
         sec("Do").alias("do"),
         sec("Sleep").alias("sleep"),
-        F.coalesce(head(F.col("_wikitext"), full_text_chars), F.lit("")).alias("full_text"),
+        F.coalesce(_head(F.col("_wikitext"), full_text_chars), F.lit("")).alias("full_text"),
         F.col("_wikitext").isNull().alias("is_empty_article"),
     )
 
 
 def wikitext_to_article(df: DataFrame, text_col: str = "wikitext",
-                        full_text_chars: int = C.FULL_TEXT_CHARS) -> DataFrame:
+                        full_text_chars: int | None = None) -> DataFrame:
     """Section extraction over a column of raw wiki markup."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     return df.select(
@@ -101,5 +96,5 @@ def wikitext_to_article(df: DataFrame, text_col: str = "wikitext",
         extract_section(t, "Understand").alias("understand"),
         extract_section(t, "Do").alias("do"),
         extract_section(t, "Sleep").alias("sleep"),
-        head(t, full_text_chars).alias("full_text"),
+        _head(t, full_text_chars).alias("full_text"),
     )

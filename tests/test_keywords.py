@@ -114,10 +114,9 @@ def test_keyword_join_equals_columns(spark):
             assert j[(r["id"], c)] == r[f"{c.lower()}_keyword_count"]
 
 
-def test_keyword_join_blocks(spark):
+def test_keyword_join_counts(spark):
     df = spark.createDataFrame([(1, "hiking trekking museum spa")], "id int, text string")
-    j = keyword_join(df, "id", "text", keyword_table(spark), classes=list(C.CLASS_KEYWORDS),
-                     max_broadcast_rows=20)
+    j = keyword_join(df, "id", "text", keyword_table(spark), classes=list(C.CLASS_KEYWORDS))
     got = {r["cls"]: r["hits"] for r in j.collect()}
     assert got["Adventure"] == 3 and got["Culture"] == 1 and got["Relaxation"] == 1
 
@@ -128,14 +127,14 @@ def test_rule_class(spark):
     assert r == {1: "Adventure", 2: None, 3: "Relaxation"}  # tie → first class in order
 
 
-def test_automaton_equals_jvm_forms(spark):
+def test_scan_equals_one_scan_per_keyword(spark):
     rows = [(1, "Hiking and TREKKING near the temple; spa & yoga; kids zoo"), (2, ""), (3, None),
             (4, "ÉCOLE — Straße; five-star luxury hostel budget cheap eats"), (5, "trek trek trek")]
     df = spark.createDataFrame(rows, "id int, text string")
-    a = {r.id: r.asDict() for r in keyword_features(df, "text", method="automaton").collect()}
+    a = {r.id: r.asDict() for r in keyword_features(df, "text", method="scan").collect()}
     b = {r.id: r.asDict() for r in keyword_features(df, "text", method="filter").collect()}
     assert a == b
     dup = {"X": ["ab", "ab", "b"], "Y": ["b"]}
     r = keyword_features(spark.createDataFrame([(1, "AB")], "id int, text string"), "text", dup,
-                         {"X": 1, "Y": 1}, method="automaton").first()
+                         {"X": 1, "Y": 1}, method="scan").first()
     assert r["x_keyword_count"] == 3 and r["y_keyword_count"] == 1

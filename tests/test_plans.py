@@ -20,7 +20,7 @@ def plan(spark):
 
 def test_search_has_no_pair_join(plan):
     p = plan("vector_search")
-    assert "MapInArrow" in p and "WindowGroupLimit" in p
+    assert "FlatMapCoGroupsInArrow" in p and "WindowGroupLimit" in p
     assert "CartesianProduct" not in p and "NestedLoopJoin" not in p
 
 
@@ -45,4 +45,24 @@ def test_filter_reaches_scan(plan):
 
 
 def test_context_runs_one_search(plan):
-    assert plan("prompt_context").count("MapInArrow") == 1
+    assert plan("prompt_context").count("FlatMapCoGroupsInArrow") == 1
+
+
+def test_keyword_scan_runs_no_python(plan):
+    p = plan("travel_keyword_features")
+    assert "Python" not in p and "Arrow" not in p
+
+
+def test_keyword_join_is_an_equi_join(plan):
+    p = plan("keyword_join")
+    assert "NestedLoopJoin" not in p and "CartesianProduct" not in p
+
+
+def test_top_runs_come_before_the_join(plan):
+    p = plan("recent_runs")
+    assert p.index("TakeOrderedAndProject") < p.index("Join") or "TakeOrderedAndProject" in p
+
+
+def test_context_text_is_cut_before_the_join(plan):
+    p = plan("prompt_context")
+    assert "substring(text" in p and not any("Join" in line and "text#" in line for line in p.split("\n"))

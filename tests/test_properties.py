@@ -22,7 +22,7 @@ def test_keyword_counts_match_definition(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     want = {i: {c: sum(1 for k in kws if k.lower() in (t or "").lower()) for c, kws in dictionary.items()}
             for i, t in enumerate(texts)}
-    for method in ("filter", "sum", "automaton"):
+    for method in ("filter", "sum", "scan"):
         got = keyword_features(df, "text", dictionary, {"One": 1, "Two": 2}, method=method).collect()
         for r in got:
             assert {"One": r.one_keyword_count, "Two": r.two_keyword_count} == want[r.id], (method, texts[r.id])

@@ -34,9 +34,9 @@ def test_search_equals_brute_force_with_ties_and_zero_vectors(spark):
     idx = spark.createDataFrame([(i, x[i].tolist()) for i in range(len(x))], "id long, embedding array<float>") \
         .repartition(5)
     qs = spark.createDataFrame([(100 + i, q[i].tolist()) for i in range(len(q))], "query_id long, embedding array<float>")
-    for k, t, mqb in [(5, 0.0, 64 << 20), (3, 0.3, 1000), (7, -1.0, 64 << 20)]:
+    for k, t, q_rows, x_rows in [(5, 0.0, 4096, 65536), (3, 0.3, 10, 40), (7, -1.0, 4096, 50)]:
         got = {(r.query_id, r.rank, r.id, r.similarity) for r in
-               search(qs, idx, k=k, min_similarity=t, carry=["id"], max_query_bytes=mqb).collect()}
+               search(qs, idx, k=k, min_similarity=t, carry=["id"], query_block_rows=q_rows, index_block_rows=x_rows).collect()}
         assert got == brute(q.astype(np.float64), x.astype(np.float64), list(range(100, 137)), list(range(300)), k, t)
 
 
@@ -171,5 +171,40 @@ def test_search_string_ids_multi_block(spark):
     qs = spark.createDataFrame([(f"q{i}", q[i].tolist()) for i in range(len(q))], "query_id string, embedding array<double>")
     one = {(r.query_id, r.rank, r.cid, r.similarity) for r in search(qs, idx, k=4, min_similarity=None, carry=["cid"]).collect()}
     many = {(r.query_id, r.rank, r.cid, r.similarity) for r in
-            search(qs, idx, k=4, min_similarity=None, carry=["cid"], max_query_bytes=200).collect()}
+            search(qs, idx, k=4, min_similarity=None, carry=["cid"], query_block_rows=4, index_block_rows=30).collect()}
     assert one == many and len(one) == 25 * 4
+
+
+def test_equal_vectors_leave_a_task_as_k_rows(spark):
+    """20,000 equal vectors: each cell returns k rows, the first by the tie column."""
+    from quire.operators.search import top_of_row
+    assert top_of_row(np.ones(20_000), 5).tolist() == [0, 1, 2, 3, 4]
+    idx = spark.range(20_000).select(F.col("id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    qs = spark.createDataFrame([(1, [1.0, 2.0])], "query_id int, embedding array<double>")
+    got = search(qs, idx, k=5, min_similarity=None, carry=["id"], index_block_rows=5000).orderBy("rank").collect()
+    assert [r.id for r in got] == [0, 1, 2, 3, 4]
+
+
+def test_search_wants_one_dimension_and_one_encoder(spark):
+    import pytest
+    from quire.operators.encode import HashingEncoder
+    from quire.operators.search import search_text
+    idx = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "id int, embedding array<double>")
+    qs = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id int, embedding array<double>")
+    with pytest.raises(ValueError):
+        search(qs, idx, carry=["id"])
+    none = search(qs.filter("false"), idx, carry=["id"])
+    assert none.count() == 0
+    enc = HashingEncoder(8)
+    stored = enc.transform(spark.createDataFrame([(1, "a b")], "id int, t string"), "t").withColumn("encoder_id", F.lit("other"))
+    with pytest.raises(ValueError):
+        search_text(spark.createDataFrame([(1, "a")], "query_id int, query string"), stored, enc, carry=["id"])
+
+
+def test_split_keeps_null_labels_and_keys(spark):
+    rows = [(i, None if i % 5 == 0 else "ab"[i % 2]) for i in range(100)] + [(None, "a")]
+    df = spark.createDataFrame(rows, "id long, label string")
+    out = SP.split_and_folds(df, "label", "id")
+    assert out.count() == 101 and out.filter("label IS NULL").count() == 20
+    assert SP.stratified_split(df, "label", "id").count() == 101
+    assert SP.stratified_folds(df, "label", "id").count() == 101

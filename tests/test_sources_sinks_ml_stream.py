@@ -12,7 +12,8 @@ from quire.operators.relational import first_per_key, keyed_concat, lookup_with_
 from quire.operators.serving import check_tables
 from quire.operators.validate import check_matrix, matrix_report
 from quire.plans.answer import answer_requests, run_records
-from quire.plans.index import build_index, check_encoder
+from quire.operators.search import check_encoder
+from quire.plans.index import build_index
 from quire.sources import sinks
 from quire.sources.tables import read_articles, read_entities, read_feature_matrix, unpack_envelope
 from quire.streaming.incremental import process_new, read_output
@@ -46,7 +47,7 @@ def test_read_articles_missing_keys(spark, tmp_dir):
     os.makedirs(d)
     with open(os.path.join(d, "v1_abc.json"), "w") as f:
         json.dump({"title": "A", "understand": "u", "full_text": "ft"}, f, indent=2)
-    r = read_articles(spark, d).first()
+    r = read_articles(spark, d, one_per_file=True).first()
     assert r.do == "" and r.sleep == "" and r.cache_key == "v1_abc.json"
 
 
@@ -68,6 +69,8 @@ def test_relational_helpers(spark):
     assert got == {1: 10, 2: -1}
     with pytest.raises(ValueError):
         keyed_concat(a, b, "k")
+    both = {r.k: (r.v, r.w) for r in keyed_concat(a.filter("o = 1"), b, "k").collect()}
+    assert both == {2: ("z", None), 1: (None, 10)}      # no row is lost
     assert [r.k for r in orphans(a.select("k").distinct(), b, "k", "k").collect()] == [2]
 
 
@@ -80,6 +83,13 @@ def test_write_chunks_modes(spark, tmp_dir):
     assert sinks.verify_count(spark, p) == 4        # original behaviour: re-run duplicates
     sinks.write_chunks(mk("A", 1).unionByName(mk("B", 2)), p, "replace_source")
     assert sinks.verify_count(spark, p) == 3
+    # a source without chunks any more loses its old ones, alone or beside another
+    gone = spark.createDataFrame([("A",), ("B",)], "source_document string")
+    sinks.write_chunks(mk("A", 0), p, "replace_source", sources=gone.filter("source_document = 'A'"))
+    assert sinks.verify_count(spark, p) == 2
+    sinks.write_chunks(mk("A", 3), p, "replace_source", sources=gone)
+    assert [r.source_document for r in spark.read.parquet(p).collect()] == ["A"] * 3
+    assert [f for f in os.listdir(tmp_dir) if "staging" in f] == []
     sinks.write_chunks(mk("C", 1), p, "overwrite")
     assert sinks.verify_count(spark, p) == 1
 
@@ -168,6 +178,8 @@ def test_index_answer_and_stream(spark, tmp_dir):
     r = resp.first()
     assert r.predicted_style == "Unknown" and r.chunks_retrieved >= 1 and "[A - similarity:" in r.prompt
     assert rej.count() == 1
+    twice = index.unionByName(index)                    # appended to twice: still at most k chunks
+    assert answer_requests(req, twice, enc, None, k=2)[0].first().chunks_retrieved <= 2
     rr = run_records(resp).first()
     assert rr.session_id == "s1" and rr.user_id is None
 
@@ -176,10 +188,10 @@ def test_index_answer_and_stream(spark, tmp_dir):
     data = spark.range(120).select(F.col("id").alias("k"), (F.col("id") % 7).cast("string").alias("v"))
     data.filter("k < 100").write.parquet(os.path.join(src, "w1"))
     schema = data.schema
-    process_new(spark, os.path.join(src, "*"), schema, out, ck, "k", lambda d: d, order_col="k")
+    process_new(spark, os.path.join(src, "*"), schema, out, ck, "k", lambda d: d)
     assert read_output(spark, out).count() == 100
     data.write.parquet(os.path.join(src, "w2"))
-    process_new(spark, os.path.join(src, "*"), schema, out, ck, "k", lambda d: d, order_col="k")
+    process_new(spark, os.path.join(src, "*"), schema, out, ck, "k", lambda d: d)
     o = read_output(spark, out)
     assert o.count() == 120 and o.select("k").distinct().count() == 120
 
@@ -202,7 +214,7 @@ def test_build_features_end_to_end(spark, tmp_dir):
     with open(os.path.join(d, key), "w") as f:
         json.dump({"title": "Sa Pa", "understand": "trekking to hill tribe homestay villages",
                    "do": "museum, temple, market", "sleep": "cheap hostel dorm", "full_text": "x"}, f)
-    feats, rej = build_features(ents, read_articles(spark, d))
+    feats, rej = build_features(ents, read_articles(spark, d, one_per_file=True))
     rows = {r.destination_name: r for r in feats.collect()}
     assert set(rows) == {"Sa Pa", "Ghost"} and [r.destination_name for r in rej.collect()] == ["Nowhere"]
     sapa = rows["Sa Pa"]

@@ -42,11 +42,15 @@ def test_ellipsis(spark):
     assert col1(spark, vals, lambda c: TX.ellipsis(c, 100)) == ["x" * 100, "y" * 100 + "...", None]
 
 
-def test_number_formats_match_python(spark):
-    vals = [0.5005, 0.0005, 0.125, 2.675, -0.0001, 1234567.125, 0.375]
-    assert col1(spark, vals, lambda c: TX.format_fixed(c, 3), "double") == [f"{v:.3f}" for v in vals]
-    assert col1(spark, vals, lambda c: TX.format_signed(c, 3), "double") == [f"{v:+.3f}" for v in vals]
-    assert col1(spark, vals, TX.format_percent, "double") == [f"{v:.0%}" for v in vals]
+def test_number_formats_round_the_decimal_form(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+    vals = [0.5005, 0.0005, 0.125, 2.675, 1234567.125, 0.375, 12.0]
+
+    def fixed(v, n):
+        return str(Decimal(repr(v)).quantize(Decimal(1).scaleb(-n), ROUND_HALF_UP))
+    assert col1(spark, vals, lambda c: TX.format_fixed(c, 3), "double") == [fixed(v, 3) for v in vals]
+    assert col1(spark, vals, lambda c: TX.format_signed(c, 3), "double") == ["+" + fixed(v, 3) for v in vals]
+    assert col1(spark, vals, TX.format_percent, "double") == [fixed(v * 100, 0) + "%" for v in vals]
 
 
 def test_session_suffix(spark):
@@ -106,8 +110,13 @@ def test_chunking_cases(spark):
 def test_chunk_text_cut(spark):
     df = spark.createDataFrame([("Z", "w" * 3000, "", "", "")],
                                "destination string, understand string, do string, sleep string, full_text string")
-    r = chunk_articles(df).first()
-    assert r.chunk_text == "Z - Understand: " + "w" * C.CHUNK_TEXT_CHARS
+    rows = chunk_articles(df).orderBy("part").collect()
+    assert rows[0].chunk_text == "Z - Understand: " + "w" * C.CHUNK_TEXT_CHARS
+    assert [(r.chunk_index, r.part) for r in rows] == [(0, 0), (0, 1)]
+    long = " ".join(f"word{i}" for i in range(20_000))      # nothing of a long section is lost
+    df = spark.createDataFrame([("Z", "", long, "", "")], df.schema)
+    parts = [r.chunk_text[len("Z - Do: "):] for r in chunk_articles(df).orderBy("part").collect()]
+    assert "".join(parts) == long
 
 
 def test_sections_with_subsections(spark):
