@@ -3,8 +3,8 @@
 Every public operator is a ``DataFrame -> DataFrame`` function whose work runs
 in Spark (SQL expressions, joins, windows, aggregates, Spark ML, Structured
 Streaming).  Python inside tasks appears only where the semantics need it
-(blocked vector top-k in ``mapInArrow``, pluggable text encoders, exact number
-formatting, the Aho-Corasick keyword counter).
+(blocked vector products of the search, pluggable text encoders, the
+training-data operators).
 """
 
 import sys as _sys

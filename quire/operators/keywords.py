@@ -162,13 +162,9 @@ def keyword_join(df: DataFrame, key: str, text_col: str, keywords: DataFrame,
     if classes is None:
         classes = [r["cls"] for r in kw.select("cls").distinct().orderBy("cls").collect()]     # the class list
     sizes = [r[0] for r in kw.select(F.length("_g")).distinct().collect()]                     # 1 to GRAM
-    chars = low.select(key, F.regexp_extract_all("_low", F.lit("(?s)."), F.lit(0)).alias("_c"))
-
-    def pieces(size: int):
-        last = F.size("_c") - size + 1
-        starts = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("_c", i, size), ""))
-    grams = chars.select(key, F.explode(F.array_distinct(F.concat(*[pieces(n) for n in sizes or [GRAM]]))).alias("_g"))
+    # a lookahead gives the piece at every position in one pass over the text
+    pieces = [F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes or [GRAM]]
+    grams = low.select(key, F.explode(F.array_distinct(F.concat(*pieces))).alias("_g"))
     candidates = grams.join(kw, "_g").select(key, "cls", "kw")
     hits = (candidates.join(low, key).filter(F.contains(F.col("_low"), F.col("kw")))
             .groupBy(key, "cls").agg(F.count(F.lit(1)).alias("hits")))

@@ -211,16 +211,16 @@ FROM documents d CROSS JOIN cls LEFT JOIN h ON h.doc_id = d.doc_id AND h.cls = c
 
 @register("keyword_join", SQL_KEYWORD_HITS)
 def q_keyword_join(spark, root):
-    """The dictionary as a table: equi-join on the keywords' first characters."""
+    """The dictionary known on the driver: counts per row, no shuffle."""
     docs = t(spark, root, "documents").select("doc_id", "text")
-    return KW.keyword_join(docs, "doc_id", "text", KW.keyword_table(spark, DOC_DICT), classes=list(DOC_DICT))
+    return KW.keyword_counts(docs, "doc_id", "text", DOC_DICT)
 
 
-@register("keyword_counts", SQL_KEYWORD_HITS)
-def q_keyword_counts(spark, root):
-    """The dictionary known on the driver: counts per row, no shuffle."""
+@register("keyword_table_join", SQL_KEYWORD_HITS)
+def q_keyword_table_join(spark, root):
+    """The dictionary as a table: equi-join on the keywords' first characters."""
     docs = t(spark, root, "documents").select("doc_id", "text")
-    return KW.keyword_counts(docs, "doc_id", "text", DOC_DICT)
+    return KW.keyword_join(docs, "doc_id", "text", KW.keyword_table(spark, DOC_DICT), classes=list(DOC_DICT))
 
 
 # --- SCL-6, SCL-9: section extraction from wiki markup ---

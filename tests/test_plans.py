@@ -54,7 +54,8 @@ def test_keyword_scan_runs_no_python(plan):
 
 
 def test_keyword_join_is_an_equi_join(plan):
-    p = plan("keyword_join")
+    p = plan("keyword_table_join")
+    assert "Exchange" not in plan("keyword_join")
     assert "NestedLoopJoin" not in p and "CartesianProduct" not in p
 
 
