@@ -35,34 +35,31 @@ def limit(fraction: float = FRACTION) -> int:
     return min(int(fraction * (1 << 63)), _POSITIVE)
 
 
-def _sketch(hashes: Column, smallest: Column, fraction: float) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(hashes, lambda x: (x < limit(fraction)) | (x == smallest))))
+def _sketch(hashes: Column, fraction: float) -> Column:
+    # the smallest hash is appended, not looked for inside the filter, where it would
+    # be computed anew for every element
+    below = F.filter(hashes, lambda x: x < limit(fraction))
+    return F.array_sort(F.array_distinct(F.concat(below, F.array(F.array_min(hashes)))))
 
 
 def with_fingerprint(df: DataFrame, text_col: str, out: str, fraction: float = FRACTION, shingle: int = SHINGLE) -> DataFrame:
     """Adds ``out``, the sorted array of kept hashes of a text column without nulls."""
-    words, hashes, smallest = f"{out}__w", f"{out}__h", f"{out}__m"
+    words, hashes = f"{out}__w", f"{out}__h"
     starts = F.sequence(F.lit(0), F.greatest(F.size(words) - shingle, F.lit(0)))
     df = df.withColumn(words, word_hashes(F.col(text_col)))
     df = df.withColumn(hashes, F.transform(starts, lambda i: F.xxhash64(F.slice(F.col(words), i + 1, shingle)).bitwiseAND(_POSITIVE)))
-    df = df.withColumn(smallest, F.array_min(hashes))
-    return df.withColumn(out, _sketch(F.col(hashes), F.col(smallest), fraction)).drop(words, hashes, smallest)
+    return df.withColumn(out, _sketch(F.col(hashes), fraction)).drop(words, hashes)
 
 
 def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
     """Fingerprint of the union of two documents' shingles."""
-    both = F.array_union(a, b)
-    return _sketch(both, F.array_min(both), fraction)
-
-
-def _shared(a: Column, b: Column, fraction: float) -> Column:
-    """Hashes of both that the merged fingerprint keeps as well."""
-    smallest = F.least(F.array_min(a), F.array_min(b))
-    return F.filter(F.array_intersect(a, b), lambda x: (x < limit(fraction)) | (x == smallest))
+    return _sketch(F.concat(a, b), fraction)
 
 
 def resemblance(a: Column, b: Column, fraction: float = FRACTION) -> Column:
-    return F.size(_shared(a, b, fraction)) / F.size(merge(a, b, fraction))
+    """Share of the merged fingerprint that both have."""
+    both = merge(a, b, fraction)
+    return F.size(F.array_intersect(F.array_intersect(a, b), both)) / F.size(both)
 
 
 def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
@@ -106,17 +103,17 @@ def compare_with_edits(docs: DataFrame, fraction: float = FRACTION) -> DataFrame
     base = base.withColumn("n_chars", F.char_length("text").cast("long"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = cut(ordered_rows(base.select("rid", "doc_id", "n_chars"), partitions))
-    here = order.select("rid", "pos", F.floor(F.col("n_chars") / 2).cast("int").alias("take"),
-                        ((F.col("pos") + 1) % F.col("total")).alias("next_pos"))
-    links = here.join(order.select(F.col("rid").alias("from_rid"), F.col("pos").alias("next_pos")), "next_pos")
-    own = with_fingerprint(base, "text", "fp", fraction)
-    lent = (own.select(F.col("rid").alias("from_rid"), F.col("text").alias("from_text"), F.col("fp").alias("next_fp"))
-            .join(links.select("from_rid", F.col("rid").alias("to_rid"), "take"), "from_rid")
-            .select("to_rid", "next_fp", F.substring("from_text", F.lit(1), F.col("take")).alias("lent")))
+    here = order.select("rid", "doc_id", "n_chars", ((F.col("pos") + 1) % F.col("total")).alias("next_pos"))
+    links = here.join(order.select(F.col("rid").alias("from_rid"), F.col("pos").alias("next_pos")), "next_pos").select(
+        "from_rid", F.col("rid").alias("to_rid"), "doc_id", "n_chars", F.floor(F.col("n_chars") / 2).cast("int").alias("take"))
+    # both joins read the same columns by the same key, so one exchange serves both
+    own = with_fingerprint(base.select("rid", "text"), "text", "fp", fraction)
+    lent = own.join(links, own["rid"] == links["from_rid"]).select(
+        "to_rid", "doc_id", "n_chars", "take", F.col("fp").alias("next_fp"), F.substring("text", F.lit(1), F.col("take")).alias("lent"))
     both = own.join(lent, own["rid"] == lent["to_rid"])
-    kept = F.col("n_chars") - F.floor(F.col("n_chars") / 2)
-    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), kept.cast("int")), "lent"))
-    both = with_fingerprint(both.drop("text", "lent"), "edited", "edited_fp", fraction)
+    kept = (F.col("n_chars") - F.col("take")).cast("int")
+    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), kept), "lent"))
+    both = with_fingerprint(both.drop("rid", "to_rid", "take", "text", "lent"), "edited", "edited_fp", fraction)
     return both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written(F.col("fp")).alias("fingerprint"),
         written(F.col("edited_fp")).alias("edited_fingerprint"),
