@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from quire.plans import catalog  # noqa: E402
 from quire.session import get_spark  # noqa: E402
 
-KEEP = re.compile(r"(Exchange|Join|Window|Aggregate|MapInArrow|ArrowEvalPython|Scan|Generate|Limit|"
+KEEP = re.compile(r"(Exchange|Join|Window|Aggregate|MapInArrow|CoGroupsInArrow|ArrowEvalPython|Scan|Generate|Limit|"
                   r"TakeOrdered|Union|Sort \[|InMemory|Expand|BatchEvalPython|Filter)")
 
 
