@@ -17,6 +17,17 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` whole texts, so that a Python worker
+    holds a few megabytes of text at a time; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (null for a null id)."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))

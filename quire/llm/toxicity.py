@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire import worker_state
 
-from .common import id_remainder
+from .common import id_remainder, small_batches
 
 MAX_TOXIC, MAX_OTHER = 2_500, 4_000
 ALPHABET = 40               # boundary, a-z, other letters folded into 13 classes
@@ -346,9 +346,11 @@ def fit(docs: DataFrame, labels: DataFrame, hold_out: int = 0, folds: int = 5) -
         if not totals.get(toxic):
             return Model(np.zeros(ALPHABET ** 3), 0.0)
         share = min(1.0, 1.3 * most / totals[toxic])
-        chosen = (known.filter(F.col("toxic") == toxic)
-                  .filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * share))
-                  .join(rows, "doc_id").groupBy("h").agg(F.first("text").alias("text")).orderBy("h").limit(most))
+        draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20))
+        ids = known.filter((F.col("toxic") == toxic) & (draw < int((1 << 20) * share))).select("doc_id").orderBy(draw, "doc_id")
+        # at most twice the sample's bound of ids, so they go to the texts, not the texts to them
+        chosen = rows.join(F.broadcast(ids.limit(2 * most)), "doc_id")
+        chosen = chosen.groupBy("h").agg(F.first("text").alias("text")).orderBy("h").limit(most)
         texts[toxic] = chosen.select("text").toPandas()["text"].tolist()       # MAX_TOXIC or MAX_OTHER rows at most
     if not texts[0] or not texts[1]:
         return Model(np.zeros(ALPHABET ** 3), 0.0)
@@ -375,6 +377,7 @@ class _Scorer:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, score)`` of every whole text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches):
