@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire import worker_state
 
+from .common import small_batches
 from .pretoken import WordEncoder, by_chars, special_tokens
 
 #: bytes that occur in the UTF-8 form of white-space characters
@@ -178,6 +179,7 @@ def _encoder(shared, path: str):
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """``(doc_id, ids)`` of every whole text; a null text has no ids."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(compile_file(path))
 
     def task(batches):
@@ -196,6 +198,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """``(doc_id, text)`` from ``(doc_id, ids)``: arc labels, read as UTF-8."""
+    small_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(compile_file(path))
 
     def task(batches):
@@ -211,6 +214,7 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encodes and decodes every whole text in one pass and keeps the digests:
     ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``.  Ids and labels are put
     together from the task's cache of encoded words."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(compile_file(path))
 
     def task(batches):

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, mix64
+from .common import cut, mix64, small_batches
 from .components import connected_components
 from .fingerprints import word_hashes
 
@@ -280,6 +280,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
     """``(key, doc_id, class_id, class_key, n_links, copies)`` per document:
     ``class_id`` is the smallest id of its class, ``n_links`` the number of other
     documents whose similarity reaches the threshold, its ``copies - 1`` included."""
+    small_batches(docs.sparkSession)
     rows = cut(sketched(docs))
     groups = cut(rows.groupBy("set_key").agg(F.min("key").alias("gid"), F.count(F.lit(1)).alias("copies"),
                                              F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch")))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import codepoints, id_remainder, text_chunks
+from .common import codepoints, id_remainder, small_batches, text_chunks
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -93,6 +93,7 @@ def fit(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS):
     about ``max_docs`` rows are used, chosen by the hash of the id; the matrix is
     float32, buckets x languages, the log of add-one smoothed shares.  Priors are
     uniform."""
+    small_batches(labelled.sparkSession)
     labelled = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     total = labelled.count()
     if total > max_docs:

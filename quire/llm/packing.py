@@ -28,7 +28,7 @@ from tokenizers import Tokenizer
 
 from quire import worker_state
 
-from .common import cut
+from .common import cut, small_batches
 from .pretoken import WordEncoder, by_chars, special_tokens
 
 SEQUENCE = 1024
@@ -76,6 +76,7 @@ def piece_rows(ids: np.ndarray, sequence: int):
 
 def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
     """Tokenizes whole texts and cuts them: one row per piece."""
+    small_batches(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast((f.read(), special_tokens(path)))
 

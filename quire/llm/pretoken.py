@@ -19,7 +19,7 @@ import regex
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 CHUNK_CHARS = 1 << 19
-MAX_WORDS = 500_000         # of a task's word cache; beyond it the cache starts anew
+MAX_WORDS = 400_000         # of a task's word cache; beyond it the cache starts anew
 
 _PAIRS = ("re", "ve", "ll")
 _SINGLES = "stmd"
@@ -112,9 +112,9 @@ class WordEncoder:
         self.encode, self.specials = encode, specials
         self.table = class_table()
         self.pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
-        self._clear()
+        self.clear()
 
-    def _clear(self):
+    def clear(self):
         self.numbers = _Numbering()
         self.ids = np.zeros(0, np.uint32)
         self.offsets = np.zeros(1, np.int64)
@@ -139,7 +139,7 @@ class WordEncoder:
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in order, and each text's count of words."""
         if len(self.numbers) > MAX_WORDS:
-            self._clear()
+            self.clear()
         cut = [self._segments(t) for t in texts]
         if all(len(c) == 1 for c in cut):
             words, counts = split_words(texts, self.table)

@@ -25,6 +25,8 @@ import string
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from .common import small_batches
+
 DEFAULT_KEY = b"replace this key in production"
 ROUNDS = 10
 _EPOCH = dt.date(1900, 1, 1)
@@ -263,6 +265,7 @@ def pseudonymise_text(text: str, f: Feistel) -> tuple[str, list[str]]:
 def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, inverse: bool = False, report: str | None = None) -> DataFrame:
     """``docs`` with its texts replaced; ``report`` names an added column that
     lists the kinds of the replaced values in order of appearance."""
+    small_batches(docs.sparkSession)
     if report and report in docs.columns:
         raise ValueError(f"column {report!r} exists")
     schema = T.StructType(docs.schema.fields + ([T.StructField(report, T.ArrayType(T.StringType()))] if report else []))
