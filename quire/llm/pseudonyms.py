@@ -9,7 +9,8 @@ walked on until they are inside, so the map is one to one.  Equal values get
 equal pseudonyms in every document, and the key holder can invert the map.
 Check digits are computed anew, so pseudonyms validate like their originals.
 
-Numbers that fail validation stay as they are, and so does all other text.  A
+A value ends where its digits end: letters, commas, times and other values may
+touch it.  Numbers that fail validation stay as they are, and so does all other text.  A
 null text stays null.  Other columns pass through unchanged, whatever their
 names; repeated rows give equal results; an empty table gives no rows.
 """
@@ -192,7 +193,7 @@ def _iban(m: re.Match, f: Feistel):
     return "".join(c if c == " " else next(it) for c in m[0])
 
 
-_END = r"(?!\w|[.,-]?[0-9])"
+_END = r"(?![0-9])"
 #: tried in this order where a value may begin
 FORMATS = [
     ("date", re.compile(r"(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})" + _END), _date),
@@ -202,9 +203,26 @@ FORMATS = [
     ("phone", re.compile(r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _END), _nanp),
     ("phone", re.compile(r"\+1[0-9]{10}" + _END), _nanp),
     ("phone", re.compile(r"\+([0-9]{1,3})[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}" + _END), _phone),
-    ("iban", re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END), _iban),
+    ("iban", re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])"), _iban),
+    ("iban", re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Z0-9])"), _iban),
 ]
-_BEGIN = re.compile(r"(?<!\w)(?<![0-9][.,-])(?:[+(]?[0-9]|[A-Z]{2}[0-9]{2})")
+_BEGIN = re.compile(r"(?<![A-Za-z0-9_])(?:[+(]?[0-9]|[A-Z]{2}[0-9]{2})")
+
+
+def _part_of_longer(text: str, kind: str, begin: int, end: int, last: int) -> bool:
+    """Whether a match is a piece of a longer number, as in ``1.2.3.4.5``: more digits
+    follow or go before across a separator that it uses itself, or across a dot if it
+    has none.  A comma never joins, nor does what stands after a value that ended at
+    ``last``; after a date a hyphen may lead on to a time or to another date."""
+    if kind == "iban":
+        return False
+    own = {c for c in text[begin:end] if c in ".-"} or {"."}
+    if text[end:end + 1] in own and text[end + 1:end + 2] in _DIGITS and not (kind == "date" and text[end] == "-"):
+        return True
+    return begin > 1 and begin - 1 != last and text[begin - 1] in own and text[begin - 2] in _DIGITS
+
+
+_DIGITS = frozenset(string.digits)
 _DIGIT = re.compile(r"[0-9]")
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 _DOMAIN = re.compile(r"@((?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8})([A-Za-z]{2,24})(?![\w-])")
@@ -235,7 +253,7 @@ def find_values(text: str, f: Feistel):
     if not _DIGIT.search(text):
         return found
     taken = iter([*found, (len(text) + 1, 0, "", "")])
-    ahead, pos, own = next(taken), 0, []
+    ahead, pos, own, last = next(taken), 0, [], -1
     while m := _BEGIN.search(text, pos):
         at = m.start()
         while ahead[0] <= at and ahead[1] <= at and ahead[2]:
@@ -246,9 +264,10 @@ def find_values(text: str, f: Feistel):
         pos = at + 1
         for kind, pattern, make in FORMATS:
             value = pattern.match(text, at)
-            if value and value.end() <= ahead[0] and (new := make(value, f)) is not None:
+            if value and value.end() <= ahead[0] and not _part_of_longer(text, kind, at, value.end(), last) \
+                    and (new := make(value, f)) is not None:
                 own.append((at, value.end(), kind, new))
-                pos = value.end()
+                pos = last = value.end()
                 break
     return sorted(found + own)
 
