@@ -54,7 +54,6 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
                         tokens(text).alias("tokens"))
     order = Window.partitionBy("conv_id").orderBy(F.col("no").asc_nulls_first(), "role", "body")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later = order.rowsBetween(1, Window.unboundedFollowing)
     rows = rows.withColumn("pos", F.row_number().over(order))
     is_system = (F.col("pos") == 1) & (F.col("role") == "system")
     # the system turn is in every window: it takes no room in the prefix sum
@@ -64,7 +63,9 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     rows = rows.withColumn("span", F.when(F.col("system"), F.lit(None)).otherwise(span))
     rows = rows.withColumn("before", F.col("through") - F.col("size"))
     rows = rows.withColumn("opens", ~F.col("system") & ~F.col("span").eqNullSafe(F.lag("span").over(order)))
-    nxt = F.first(F.when(F.col("opens"), F.struct("span", "before")), ignorenulls=True).over(later)
+    # read from the end, so that the frame only grows: one that starts at each row is summed anew for each
+    later = Window.partitionBy("conv_id").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = F.last(F.when(F.col("opens"), F.struct("span", "before")), ignorenulls=True).over(later)
     rows = rows.withColumn("next", nxt)
     # history: turns of a span whose tokens up to the next span's start fit
     recalled = ~F.col("system") & F.col("next").isNotNull() & (F.col("next.span") > F.col("span")) \
@@ -73,7 +74,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     lead = F.first(F.struct("role", "body")).over(upto)
     rows = rows.withColumn("lead", F.when(F.col("opens"), lead))
     rows = rows.withColumn("repeats", F.lag("span").over(order).isNotNull())
-    rows = rows.withColumn("alone", F.col("system") & (F.count(F.lit(1)).over(later) == 0))
+    rows = rows.withColumn("alone", F.col("system") & F.lead("pos").over(order).isNull())
 
     def entry(window, repeated, pos, role, body):
         return F.struct(window.cast("long").alias("window"), repeated.alias("repeated"), pos.alias("pos"),

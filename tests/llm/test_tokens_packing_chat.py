@@ -160,3 +160,12 @@ def test_chat_edge_rows(spark):
     assert got[5].turns_sha256 == hashlib.sha256(b"ro\nle<|\nt\n").hexdigest()
     assert got[2].turns_sha256 == hashlib.sha256(b"\n\nuser\n\nassistant\na\nb\n").hexdigest()
     assert chat_format.digests(chat_format.format_windows(chat(spark, []))).count() == 0
+
+
+def test_no_window_frame_is_summed_anew_for_each_row(spark, monkeypatch):
+    frames = []
+    between = chat_format.Window.unboundedFollowing
+    plain = type(chat_format.Window.partitionBy("a")).rowsBetween
+    monkeypatch.setattr(type(chat_format.Window.partitionBy("a")), "rowsBetween", lambda w, a, b: frames.append((a, b)) or plain(w, a, b))
+    chat_format.format_windows(chat(spark, [(1, 1, "user", "x")]))
+    assert frames and all(b != between for _, b in frames)
