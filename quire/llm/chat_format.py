@@ -1,8 +1,8 @@
 """Chat formatting in budgeted windows.
 
 Turns of a conversation are ordered and a prefix sum of their token counts cuts
-them into turn-aligned spans: a turn belongs to the span in which its last token
-falls.  Each span becomes one training window made of the system turn (the
+them into turn-aligned spans (see :func:`format_windows`).  Each span becomes one
+training window made of the system turn (the
 conversation's first turn, if its role is ``system``), the last turns of the span
 before that fit ``history`` tokens, and the span's own turns.  Only the span's own
 assistant turns are under the loss mask; what is repeated is masked, so every
@@ -15,10 +15,11 @@ character after it restores the text.
 
 A null text or role is empty.  Turns with equal numbers follow by role and text;
 null turn numbers come first.  Conversations with a null id form one
-conversation.  A turn longer than the budget fills a window alone, whole.  A
-table without rows gives no windows.  A conversation is the unit of order: its
-turns meet in one task for the prefix sum, streamed and spilled by the window
-operator; windows themselves are bounded by the budget.
+conversation.  System turn, history and own turns together fit the budget.  Only a
+turn that does not fit it beside the system turn makes a longer window: whole, with
+no other turn but the system turn.  A table without rows gives no windows.  A
+conversation is the unit of order: its turns meet in one task for the prefix sum,
+streamed and spilled by the window operator.
 """
 
 from __future__ import annotations
@@ -43,11 +44,21 @@ def estimated_tokens(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4).cast("long") + 4
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=estimated_tokens) -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=estimated_tokens,
+                   bounded: bool = True) -> DataFrame:
     """``(conv_id, window, formatted, turns, repeated, loss)`` per window: ``turns``
     counts its turns, the first ``repeated`` of which an earlier window has
     as own turns; ``loss`` lists code-point spans ``(start, length)`` of
-    ``formatted`` under the loss mask."""
+    ``formatted`` under the loss mask.
+
+    The prefix sum is cut at multiples of a room, which is what system turn and history
+    leave of the budget.  Turns between two cuts share a span.  A turn across a cut joins
+    the span after it if the room holds both, else it is a span of its own, with as much
+    history as still fits.
+
+    Without ``bounded`` the cuts are multiples of the whole budget and a turn belongs to
+    the span in which its last token falls: a window may then reach the budget and its
+    first own turn, and the system turn and the history beside."""
     text = F.coalesce(F.col("text"), F.lit(""))
     role = F.coalesce(F.col("role"), F.lit(""))
     rows = turns.select("conv_id", F.col("turn").alias("no"), role.alias("role"), escape(text).alias("body"),
@@ -59,17 +70,31 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     # the system turn is in every window: it takes no room in the prefix sum
     rows = rows.withColumn("system", is_system).withColumn("size", F.when(is_system, F.lit(0)).otherwise(F.col("tokens")))
     rows = rows.withColumn("through", F.sum("size").over(upto))
-    span = F.greatest(F.floor((F.col("through") - 1) / budget), F.lit(0)).cast("long")
-    rows = rows.withColumn("span", F.when(F.col("system"), F.lit(None)).otherwise(span))
     rows = rows.withColumn("before", F.col("through") - F.col("size"))
+    if bounded:
+        beside = F.first(F.when(F.col("role") == "system", F.col("tokens")).otherwise(0)).over(upto)
+        rows = rows.withColumn("free", F.greatest(F.lit(budget) - beside, F.lit(0)))
+        # a long system turn leaves half of the rest to the own turns
+        rows = rows.withColumn("room", F.greatest(
+            F.col("free") - F.least(F.lit(history), F.floor(F.col("free") / 2)), F.lit(1)))
+        rows = rows.withColumn("cell", F.floor(F.greatest(F.col("through") - 1, F.col("before")) / F.col("room")).cast("long"))
+        rows = rows.withColumn("apart", (F.floor(F.col("before") / F.col("room")) < F.col("cell"))
+                               & (F.sum("size").over(Window.partitionBy("conv_id", "cell")) > F.col("room")))
+        span = F.col("cell") * 2 + F.when(F.col("apart"), 0).otherwise(1)
+        fits = F.greatest(F.col("free") - F.when(F.col("apart"), F.col("size")).otherwise(F.col("room")), F.lit(0))
+        rows = rows.withColumn("recall", F.least(F.lit(history), fits))
+    else:
+        span = F.greatest(F.floor((F.col("through") - 1) / budget), F.lit(0)).cast("long")
+        rows = rows.withColumn("recall", F.lit(history))
+    rows = rows.withColumn("span", F.when(F.col("system"), F.lit(None)).otherwise(span))
     rows = rows.withColumn("opens", ~F.col("system") & ~F.col("span").eqNullSafe(F.lag("span").over(order)))
     # read from the end, so that the frame only grows: one that starts at each row is summed anew for each
     later = Window.partitionBy("conv_id").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    nxt = F.last(F.when(F.col("opens"), F.struct("span", "before")), ignorenulls=True).over(later)
+    nxt = F.last(F.when(F.col("opens"), F.struct("span", "before", "recall")), ignorenulls=True).over(later)
     rows = rows.withColumn("next", nxt)
     # history: turns of a span whose tokens up to the next span's start fit
     recalled = ~F.col("system") & F.col("next").isNotNull() & (F.col("next.span") > F.col("span")) \
-        & (F.col("next.before") - F.col("before") <= history)
+        & (F.col("next.before") - F.col("before") <= F.col("next.recall"))
     # the row that opens a span brings the system turn along
     lead = F.first(F.struct("role", "body")).over(upto)
     rows = rows.withColumn("lead", F.when(F.col("opens"), lead))

@@ -1222,6 +1222,13 @@ def q_answer_requests(spark, root):
     return _outcomes(*batch_answers(spark, root))
 
 
+@register("chat_bounded_windows")
+def q_chat_bounded_windows(spark, root):
+    """Training windows of the conversations, each within the token budget."""
+    from ..llm import chat_format
+    return chat_format.format_windows(t(spark, root, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 # ---------------------------------------------------------------------------
 # Streaming (rows-only): documents arrive as files in two waves; the stream is
 # restarted between them and must add every document exactly once.

@@ -162,6 +162,31 @@ def test_chat_edge_rows(spark):
     assert chat_format.digests(chat_format.format_windows(chat(spark, []))).count() == 0
 
 
+def window_turns(windows):
+    """Per window its turns as ``(role, text, tokens)``."""
+    rows = windows.withColumn("t", chat_format.read_turns(chat_format.F.col("formatted"))).orderBy("conv_id", "window").collect()
+    return [(w, [(t.role, t.text, -(-len(t.text.encode()) // 4) + 4) for t in w.t]) for w in rows]
+
+
+def test_windows_stay_within_the_budget(spark):
+    rng = random.Random(8)
+    size = lambda n: "w" * (4 * n - 16)
+    rows = [(1, k, "user", size(n)) for k, n in enumerate([600, 600, 600])] + [(2, k, "user", size(n)) for k, n in enumerate([100, 3000, 50])]
+    for c in range(3, 43):
+        if c % 2:
+            rows.append((c, 0, "system", size(rng.choice([10, 300, 900, 1100]))))
+        rows += [(c, k, "user" if k % 2 else "assistant", size(rng.choice([5, 40, 200, 700, 1024, 1500]))) for k in range(1, rng.randint(2, 60))]
+    seen = {}
+    for w, turns in window_turns(chat_format.format_windows(chat(spark, rows))):
+        assert len(turns) == w.turns
+        own = turns[w.repeated:]
+        led = turns[0][0] == "system"
+        assert sum(n for *_, n in turns) <= chat_format.BUDGET or len(turns) <= 1 + led
+        assert sum(n for *_, n in turns[led:w.repeated]) <= chat_format.HISTORY
+        seen.setdefault(w.conv_id, []).extend(t[:2] for t in own)
+    assert seen == {c: [r[2:] for r in rows if r[0] == c] for c in {r[0] for r in rows}}
+
+
 def test_no_window_frame_is_summed_anew_for_each_row(spark, monkeypatch):
     frames = []
     between = chat_format.Window.unboundedFollowing
