@@ -1085,6 +1085,12 @@ def _lang_model(spark, root):
 SELECT m.model_name, m.ord, 'a' AS phase, CAST(5 AS BIGINT) AS n_folds, (SELECT count(*) FROM trn) AS n_train, TRUE AS learned
 FROM (VALUES ('LogisticRegression', 0), ('RandomForest', 1), ('GradientBoosting', 2)) m(model_name, ord)""")
 def q_train_experiment(spark, root):
+    """What of the comparison a statement can say."""
+    return q_train_experiment_full(spark, root).select("model_name", "ord", "phase", "n_folds", "n_train", "learned")
+
+
+@register("train_experiment_full")
+def q_train_experiment_full(spark, root):
     """Fold-by-fold comparison of the three families."""
     from .experiment import run_experiment
     f, cols = lang_features(spark, root)
@@ -1092,7 +1098,8 @@ def q_train_experiment(spark, root):
     folds = res["folds"].groupBy("model_name").agg(F.count(F.lit(1)).alias("n_folds"))
     n = res["prepared"].filter(F.col("split") == "train").agg(F.count(F.lit(1)).alias("n_train"))
     return res["runs"].join(folds, "model_name").join(F.broadcast(n)).select(
-        "model_name", "ord", "phase", "n_folds", "n_train", (F.col("f1_macro_mean") >= LEARNED).alias("learned"))
+        "model_name", "ord", "accuracy_mean", "accuracy_std", "f1_macro_mean", "f1_macro_std", "phase", "winner",
+        "n_folds", "n_train", (F.col("f1_macro_mean") >= LEARNED).alias("learned"))
 
 
 SQL_TEST_ROWS = f"""{SQL_LANG}
@@ -1101,50 +1108,80 @@ SELECT truth AS label, count(*) AS support, TRUE AS learned"""
 
 @register("model_test_report", f"{SQL_TEST_ROWS} FROM spl WHERE split = 'test' GROUP BY truth")
 def q_model_test_report(spark, root):
+    """What of the report a statement can say."""
+    return q_model_test_report_full(spark, root).select("label", "support", "learned")
+
+
+@register("model_test_report_full")
+def q_model_test_report_full(spark, root):
     """The better of two families, refitted and reported on the test rows."""
     from .experiment import run_experiment
     f, cols = lang_features(spark, root)
-    report = run_experiment(f, cols, "lang", "doc_id", LANG_LABELS, models=["LogisticRegression", "RandomForest"])["test_report"]
-    return report.join(F.broadcast(_learned(report))).select("label", "support", "learned")
+    res = run_experiment(f, cols, "lang", "doc_id", LANG_LABELS, models=["LogisticRegression", "RandomForest"])
+    report = res["test_report"]
+    return report.join(F.broadcast(_learned(report))).withColumn("model_name", F.lit(res["best"]))
 
 
 @register("tune_winner", f"{SQL_TEST_ROWS}, TRUE AS in_grid FROM spl WHERE split = 'test' GROUP BY truth")
 def q_tune_winner(spark, root):
+    """What of the tuned winner's report a statement can say."""
+    return q_tune_winner_full(spark, root).select("label", "support", "learned", "in_grid")
+
+
+@register("tune_winner_full")
+def q_tune_winner_full(spark, root):
     """The winner of the comparison, tuned on its own grid and reported."""
+    import json
     from .experiment import run_experiment
     f, cols = lang_features(spark, root)
     res = run_experiment(f, cols, "lang", "doc_id", LANG_LABELS, models=["LogisticRegression", "RandomForest"], tune_grid={})
     grid = C.PARAM_GRIDS[res["best"]]
     in_grid = set(res["best_params"]) == set(grid) and all(v in grid[k] for k, v in res["best_params"].items())
     report = res["test_report"]
-    return report.join(F.broadcast(_learned(report))).select("label", "support", "learned", F.lit(in_grid).alias("in_grid"))
+    return report.join(F.broadcast(_learned(report))).withColumns({
+        "model_name": F.lit(res["best"]), "best_params": F.lit(json.dumps(res["best_params"])),
+        "cv_f1": F.lit(res["cv_f1"]).cast("double"), "in_grid": F.lit(in_grid)})
 
 
 @register("classify_queries", "SELECT conv_id, turn, TRUE AS known, TRUE AS bounded FROM conversations WHERE role = 'user'")
 def q_classify_queries(spark, root):
+    return q_classify_queries_full(spark, root).select("conv_id", "turn", "known", "bounded")
+
+
+@register("classify_queries_full")
+def q_classify_queries_full(spark, root):
+    """Predicted language and confidence of every user message."""
     from ..operators import ml as ML
     q = t(spark, root, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
     s = ML.score_texts(q, "text", _lang_model(spark, root), LANG_DICT, LANG_THRESHOLDS, regions=[])
-    return s.select("conv_id", "turn", F.col("predicted_style").isin(LANG_LABELS).alias("known"),
+    return s.select("conv_id", "turn", "predicted_style", F.round("style_confidence", 3).alias("style_confidence"),
+                    F.col("predicted_style").isin(LANG_LABELS).alias("known"),
                     F.col("style_confidence").between(0, 1).alias("bounded"))
 
 
 @register("embedding_pca", f"""WITH sc AS (SELECT vec_id AS doc_id, label AS truth FROM embeddings), {SQL_RANKED}
 SELECT doc_id AS vec_id, split, CAST({C.PCA_COMPONENTS} AS BIGINT) AS n_components, TRUE AS descending, TRUE AS centred FROM spl""")
 def q_embedding_pca(spark, root):
+    """What of the components a statement can say."""
+    return q_embedding_pca_full(spark, root).select("vec_id", "split", "n_components", "descending", "centred")
+
+
+@register("embedding_pca_full")
+def q_embedding_pca_full(spark, root):
     """Components fitted on the train rows: on them the means are zero and the
     variances descend."""
     from ..operators import ml as ML
     sp = SP.stratified_split(t(spark, root, "embeddings"), "label", "vec_id")
     names = [f"emb_pca_{i}" for i in range(C.PCA_COMPONENTS)]
-    out, _ = ML.add_pca_features(sp, "embedding", F.col("split") == "train", k=C.PCA_COMPONENTS)
+    out, explained = ML.add_pca_features(sp, "embedding", F.col("split") == "train", k=C.PCA_COMPONENTS)
     train = out.filter(F.col("split") == "train")
     stats = train.agg(F.array(*[F.avg(c) for c in names]).alias("m"), F.array(*[F.var_pop(c) for c in names]).alias("v"))
     flags = stats.select(F.forall("m", lambda x: F.abs(x) < 1e-6).alias("centred"),
                          F.forall(F.sequence(F.lit(1), F.lit(len(names) - 1)),
                                   lambda i: F.get("v", i) <= F.get("v", i - 1) + 1e-9).alias("descending"))
     return out.join(F.broadcast(flags)).select(
-        "vec_id", "split", F.lit(len(names)).cast("long").alias("n_components"), "descending", "centred")
+        "vec_id", "split", *names, F.lit(round(explained, 6)).alias("explained_variance"),
+        F.lit(len(names)).cast("long").alias("n_components"), "descending", "centred")
 
 
 @register("encode_texts", f"""
@@ -1200,13 +1237,18 @@ def batch_answers(spark, root) -> tuple[DataFrame, DataFrame]:
                            thresholds=LANG_THRESHOLDS, regions=[], unique_chunks=False)
 
 
+#: columns of an answer beside the flags; a rejected request has none of them
+ANSWER = ["predicted_style", "style_confidence", "chunks_retrieved", "no_hits", "prompt", "prompt_chars", "response"]
+
+
 def _outcomes(responses: DataFrame, rejected: DataFrame) -> DataFrame:
+    responses = responses.withColumn("prompt_chars", F.length("prompt").cast("long"))
     done = responses.select("request_id", "session_id", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("reason"),
                             F.col("predicted_style").isin(LANG_LABELS).alias("known"),
-                            F.col("chunks_retrieved").between(0, C.DEFAULT_TOP_K).alias("within_k"))
+                            F.col("chunks_retrieved").between(0, C.DEFAULT_TOP_K).alias("within_k"), *ANSWER)
     refused = rejected.select("request_id", "session_id", F.lit("rejected").alias("status"), "reason",
                               F.lit(None).cast("boolean").alias("known"), F.lit(None).cast("boolean").alias("within_k"))
-    return done.unionByName(refused)
+    return done.unionByName(refused, allowMissingColumns=True)
 
 
 SQL_OUTCOMES = f"""
@@ -1219,6 +1261,12 @@ SELECT request_id, session_id, CASE WHEN reason IS NULL THEN 'completed' ELSE 'r
 
 @register("answer_requests", f"{SQL_OUTCOMES} FROM u")
 def q_answer_requests(spark, root):
+    return q_answer_requests_full(spark, root).drop(*ANSWER)
+
+
+@register("answer_requests_full")
+def q_answer_requests_full(spark, root):
+    """Every user message with its answer or the reason of its rejection."""
     return _outcomes(*batch_answers(spark, root))
 
 
@@ -1280,6 +1328,12 @@ def stream_answers(spark, root):
 
 @register("stream_answers", f"{SQL_OUTCOMES}, reason IS NULL AS has_run FROM u")
 def q_stream_answers(spark, root):
+    return q_stream_answers_full(spark, root).drop(*ANSWER)
+
+
+@register("stream_answers_full")
+def q_stream_answers_full(spark, root):
+    """As `answer_requests_full`, answered as a stream."""
     responses, rejected, runs = stream_answers(spark, root)
     have = runs.select(F.col("run_id").alias("request_id"), F.lit(True).alias("has_run")).distinct()
     return _outcomes(responses, rejected).join(have, "request_id", "left").withColumn(
@@ -1488,6 +1542,12 @@ def q_table_health(spark, root):
 
 @register("phase_comparison", f"{SQL_LANG} SELECT DISTINCT truth AS label, TRUE AS learned_a, TRUE AS learned_b, TRUE AS compared FROM spl WHERE split = 'test'")
 def q_phase_comparison(spark, root):
+    """What of the comparison a statement can say."""
+    return q_phase_comparison_full(spark, root).select("label", "learned_a", "learned_b", "compared")
+
+
+@register("phase_comparison_full")
+def q_phase_comparison_full(spark, root):
     """Keyword features alone (phase a) against keyword features plus 50 PCA
     components of text vectors fitted on train rows (phase b); per-class test F1
     of each phase's winner, missing → 0, delta and sign."""
@@ -1511,13 +1571,20 @@ def q_phase_comparison(spark, root):
     learned = _learned(a["test_report"]).select(F.col("learned").alias("learned_a")).join(
         _learned(b["test_report"]).select(F.col("learned").alias("learned_b")))
     return both.join(F.broadcast(learned)).select(
-        "label", "learned_a", "learned_b", (F.abs(F.col("f1_b") - F.col("f1_a") - F.col("delta")) < 1e-9).alias("compared"))
+        "label", "f1_a", "f1_b", "delta", "sign", F.lit(a["best"]).alias("winner_a"), F.lit(b["best"]).alias("winner_b"),
+        "learned_a", "learned_b", (F.abs(F.col("f1_b") - F.col("f1_a") - F.col("delta")) < 1e-9).alias("compared"))
 
 
 @register("experiment_log", """
 SELECT * FROM (VALUES ('LogisticRegression_phasea', FALSE, TRUE, FALSE), ('RandomForest_phasea', FALSE, TRUE, FALSE),
                       ('winner', TRUE, TRUE, TRUE)) v(entry, is_winner, learned, restored)""")
 def q_experiment_log(spark, root):
+    """What of the log a statement can say."""
+    return q_experiment_log_full(spark, root).select("entry", "is_winner", "learned", "restored")
+
+
+@register("experiment_log_full")
+def q_experiment_log_full(spark, root):
     """Compare, refit, report, save the winner and append the log; the log table
     is read back and the saved model found and loaded by its name."""
     import os
@@ -1533,6 +1600,6 @@ def q_experiment_log(spark, root):
     log = spark.read.parquet(os.path.join(base, "results"))
     winner = F.col("model_name").endswith("_WINNER")
     restored = model is not None
-    return log.select(F.when(winner, "winner").otherwise(F.col("model_name")).alias("entry"), winner.alias("is_winner"),
+    return log.select(*log.columns, F.when(winner, "winner").otherwise(F.col("model_name")).alias("entry"), winner.alias("is_winner"),
                       (F.col("f1_mean") >= LEARNED).alias("learned"),
                       (winner & F.lit(restored) & F.col("saved_model_path").endswith(name or "")).alias("restored"))

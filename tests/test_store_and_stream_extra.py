@@ -98,3 +98,22 @@ def test_stream_answers_equal_batch_answers(spark):
     key = lambda df: {(r.request_id, r.predicted_style, r.chunks_retrieved, r.no_hits) for r in df.collect()}
     batch, stream = key(CA.batch_answers(spark, SF_SMALL)[0]), key(CA.stream_answers(spark, SF_SMALL)[0])
     assert batch == stream and len(batch) > 0
+
+
+def test_full_queries_return_what_the_operators_find(spark):
+    from conftest import SF_SMALL
+    from quire.plans import catalog as CA
+    q = CA.QUERIES
+    report = q["model_test_report_full"](spark, SF_SMALL).collect()
+    assert {r.model_name for r in report} <= {"LogisticRegression", "RandomForest"} and any(0 < r.f1 < 1 or r.f1 == 1 for r in report)
+    assert all(0 <= r.precision <= 1 and 0 <= r.recall <= 1 for r in report)
+    styles = q["classify_queries_full"](spark, SF_SMALL).collect()
+    assert {r.predicted_style for r in styles} <= set(CA.LANG_LABELS) and all(0 < r.style_confidence <= 1 for r in styles)
+    answers = q["answer_requests_full"](spark, SF_SMALL).collect()
+    done = [r for r in answers if r.status == "completed"]
+    assert done and all(len(r.prompt) == r.prompt_chars > 0 and r.response and r.no_hits == (r.chunks_retrieved == 0) for r in done)
+    assert all(r.reason and r.response is None for r in answers if r.status != "completed")
+    pca = q["embedding_pca_full"](spark, SF_SMALL).first()
+    assert all(f"emb_pca_{i}" in pca for i in range(CA.C.PCA_COMPONENTS)) and 0 < pca.explained_variance <= 1
+    log = q["experiment_log_full"](spark, SF_SMALL).collect()
+    assert len(log) == 3 and all(0 < r.f1_mean <= 1 and r.model_name for r in log)
