@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire import worker_state
 
-from .common import small_batches
+from .common import slices
 from .pretoken import WordEncoder, by_chars, special_tokens
 
 #: bytes that occur in the UTF-8 form of white-space characters
@@ -86,8 +87,11 @@ class Automaton:
             end = back[end]
         return out[::-1]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        return [self.encode_word(w.encode("utf-8")) for w in words]
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, concatenated, and the number of ids of each."""
+        found = [self.encode_word(w.encode("utf-8")) for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
     def emit(self, ids) -> bytes:
         """The arc labels of a sequence of ids."""
@@ -179,12 +183,11 @@ def _encoder(shared, path: str):
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """``(doc_id, ids)`` of every whole text; a null text has no ids."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(compile_file(path))
 
     def task(batches):
         _, encoder = _encoder(shared, path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = batch.column("doc_id").to_pylist()
             for a, b in by_chars(texts):
@@ -198,12 +201,11 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """``(doc_id, text)`` from ``(doc_id, ids)``: arc labels, read as UTF-8."""
-    small_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(compile_file(path))
 
     def task(batches):
         automaton, _ = _encoder(shared, path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [automaton.emit(ids or []).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -214,13 +216,12 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encodes and decodes every whole text in one pass and keeps the digests:
     ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``.  Ids and labels are put
     together from the task's cache of encoded words."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(compile_file(path))
 
     def task(batches):
         automaton, encoder = _encoder(shared, path)
         written, labels, known = [], [], None
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             out = ([], [], [])
             for a, b in by_chars(texts):

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, mix64, small_batches
+from .common import cut, mix64, slices
 from .components import connected_components
 from .fingerprints import word_hashes
 
@@ -103,7 +103,7 @@ def row_key() -> Column:
 
 
 def _sketch_task(batches):
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingles(w) for w in _lists(batch.column("words"))]
         keys = pa.array([set_key(s) for s in sets], pa.int64())
         sketches = pa.array([sketch(s).view(np.int32) for s in sets], pa.list_(pa.int32()))
@@ -112,7 +112,7 @@ def _sketch_task(batches):
 
 
 def _set_task(batches):
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingles(w).tobytes() for w in _lists(batch.column("words"))]
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.binary())], ["key", "tokens"])
 
@@ -280,7 +280,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
     """``(key, doc_id, class_id, class_key, n_links, copies)`` per document:
     ``class_id`` is the smallest id of its class, ``n_links`` the number of other
     documents whose similarity reaches the threshold, its ``copies - 1`` included."""
-    small_batches(docs.sparkSession)
     rows = cut(sketched(docs))
     groups = cut(rows.groupBy("set_key").agg(F.min("key").alias("gid"), F.count(F.lit(1)).alias("copies"),
                                              F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch")))

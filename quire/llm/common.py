@@ -20,12 +20,13 @@ def cut(df: DataFrame) -> DataFrame:
 BATCH_ROWS = 1024
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most ``BATCH_ROWS`` whole texts, so that a Python worker
-    holds a few megabytes of text at a time; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def slices(batches, rows: int = BATCH_ROWS):
+    """Arrow batches cut into slices of at most ``rows`` whole rows, so that a Python
+    worker turns a few megabytes of text into objects at a time, whatever batches the
+    session sends."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def id_remainder(doc_id: Column, modulus: int) -> Column:

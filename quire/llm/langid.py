@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import codepoints, id_remainder, small_batches, text_chunks
+from .common import codepoints, id_remainder, slices, text_chunks
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -72,7 +72,7 @@ def hashed_grams(chunk: list[tuple[int, str, int]], orders=ORDERS):
 
 def _count_task(batches):
     counts: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column("text").to_pylist()
         langs = batch.column("lang").to_pylist()
         for chunk in text_chunks([_clean(t) for t in texts], overlap=max(ORDERS) - 1):
@@ -93,7 +93,6 @@ def fit(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS):
     about ``max_docs`` rows are used, chosen by the hash of the id; the matrix is
     float32, buckets x languages, the log of add-one smoothed shares.  Priors are
     uniform."""
-    small_batches(labelled.sparkSession)
     labelled = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     total = labelled.count()
     if total > max_docs:
@@ -145,7 +144,7 @@ def predict(docs: DataFrame, model) -> DataFrame:
 
     def task(batches):
         langs, m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             pred, score = score_texts(batch.column("text").to_pylist(), langs, m)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()),
                                               pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
@@ -172,7 +171,7 @@ def identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
 
     def task(batches):
         langs, m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             if langs:
                 pred, score = score_texts(texts, langs, m)

@@ -18,6 +18,7 @@ rows are packed like others.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -28,7 +29,7 @@ from tokenizers import Tokenizer
 
 from quire import worker_state
 
-from .common import cut
+from .common import cut, slices
 from .pretoken import WordEncoder, by_chars, special_tokens
 
 SEQUENCE = 1024
@@ -45,16 +46,40 @@ def cost(length):
     return length + ATTENTION * length * length
 
 
+def word_tokenizer(text: str):
+    """Encodes lists of words that are split already, by the tokenizers library from
+    a file's text: one call and one sequence for a list, without the splitting rule,
+    which would find nothing to split.  The sequence is cut where the tokens' bytes
+    (a vocabulary entry has one character for each) make up a word's."""
+    file = json.loads(text)
+    if file["pre_tokenizer"]["type"] != "ByteLevel" or file["pre_tokenizer"]["add_prefix_space"] or file["normalizer"]:
+        raise ValueError("not a plain byte-level tokenizer file")
+    file["pre_tokenizer"]["use_regex"] = False
+    tokenizer = Tokenizer.from_str(json.dumps(file))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    tokenizer.encode_special_tokens = True
+    vocabulary = file["model"]["vocab"]
+    n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    n_bytes[list(vocabulary.values())] = list(map(len, vocabulary))
+
+    def encode(words: list[str]):
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        found = tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.array(found.ids, np.uint32)
+        ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])
+        to = np.searchsorted(np.cumsum(n_bytes[ids]), ends, "right")
+        return ids, np.diff(to, prepend=0)
+
+    return encode
+
+
 def _word_encoder(shared, path):
     cache = worker_state()
     if ("packing_words", path) not in cache:
         text, specials = shared.value
-        tokenizer = Tokenizer.from_str(text)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        tokenizer.encode_special_tokens = True
-        cache["packing_words", path] = WordEncoder(
-            lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)], specials)
+        cache["packing_words", path] = WordEncoder(word_tokenizer(text), specials)
     return cache["packing_words", path]
 
 
@@ -81,7 +106,7 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
 
     def task(batches):
         encoder = _word_encoder(shared, path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             doc_ids = batch.column("doc_id").to_pylist()
             for a, b in by_chars(texts):

@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import regex
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 20
 MAX_WORDS = 500_000         # of a task's word cache; beyond it the cache starts anew
 
 _PAIRS = ("re", "ve", "ll")
@@ -75,22 +77,32 @@ def split_words(texts: list[str], table: np.ndarray) -> tuple[list[str], np.ndar
     first[heads] = True
     start = word_starts(points, first[:-1], table)
     begins = np.flatnonzero(start)
-    ends = np.r_[begins[1:], len(points)].tolist()
     counts = np.diff(np.searchsorted(begins, np.r_[heads, len(points)]))
-    return [joined[a:b] for a, b in zip(begins.tolist(), ends)], counts
+    return pieces_at(joined, points, begins), counts
 
 
-class _Numbering(dict):
-    """Numbers words in order of appearance."""
+#: a code point that is no character, put between the words of a text
+_BETWEEN = 0x10FFFF
 
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
 
-    def __missing__(self, word):
-        self[word] = number = len(self)
-        self.fresh.append(word)
-        return number
+def pieces_at(text: str, points: np.ndarray, begins: np.ndarray) -> list[str]:
+    """Cuts a text at ``begins`` (the first is 0); ``points`` are its code points."""
+    if chr(_BETWEEN) in text:
+        return [text[a:b] for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(text)])]
+    marked = np.insert(points, begins[1:], _BETWEEN)
+    return marked.tobytes().decode("utf-32-le", "surrogatepass").split(chr(_BETWEEN))
+
+
+def distinct_words(words: list[str], text: str) -> tuple[np.ndarray, list[str]]:
+    """Code of each word of a text and the distinct words, in order of appearance."""
+    if "\0" in text:        # pandas compares strings up to a zero only
+        numbers: dict[str, int] = {}
+        codes = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+        return codes, list(numbers)
+    cells = np.empty(len(words), object)
+    cells[:] = words
+    codes, distinct = pd.factorize(cells)
+    return codes, distinct.tolist()
 
 
 def special_tokens(path: str) -> dict[str, int]:
@@ -105,31 +117,46 @@ def special_tokens(path: str) -> dict[str, int]:
 
 class WordEncoder:
     """Encodes whole texts word by word; each distinct word of a task is encoded
-    once by ``encode`` (a list of words -> a list of id arrays).  The cache holds
-    at most ``MAX_WORDS`` words and the new ones of one chunk."""
+    once by ``encode`` (a list of words -> their ids, concatenated, and the number of
+    ids of each).  The cache holds at most ``MAX_WORDS`` words and the new ones of
+    one chunk; when it is full, the words met in the fewest chunks go."""
 
-    def __init__(self, encode: Callable[[list[str]], list], specials: dict[str, int]):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], specials: dict[str, int]):
         self.encode, self.specials = encode, specials
         self.table = class_table()
         self.pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
-        self.clear()
-
-    def clear(self):
-        self.numbers = _Numbering()
+        self.numbers: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.offsets = np.zeros(1, np.int64)
-
-    def _learn(self):
-        fresh, self.numbers.fresh = self.numbers.fresh, []
-        if not fresh:
-            return
+        self.met = np.zeros(0, np.int64)        # chunks that a word was met in, halved when words go
+
+    def _forget(self):
+        """Keeps at most half of the words: those met in the most chunks."""
+        least = max(2, int(np.sort(self.met)[-(MAX_WORDS // 2)]) + 1)
+        keep = np.flatnonzero(self.met >= least)
+        words = list(self.numbers)
+        self.ids = self.ids_of(keep)
+        self.offsets = np.r_[0, np.cumsum(np.diff(self.offsets)[keep])]
+        self.numbers = {words[k]: i for i, k in enumerate(keep.tolist())}
+        self.met = self.met[keep] // 2
+
+    def _learn(self, fresh: list[str]):
         plain = [w for w in fresh if w not in self.specials]
-        coded = iter(self.encode(plain))
-        new = [np.array([self.specials[w]], np.uint32) if w in self.specials else np.asarray(next(coded), np.uint32)
-               for w in fresh]
-        self.ids = np.concatenate([self.ids, *new])
-        lengths = np.fromiter(map(len, new), np.int64, len(new))
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
+        ids, sizes = self.encode(plain)
+        for word in fresh:
+            self.numbers[word] = len(self.numbers)
+        if len(plain) < len(fresh):
+            special = np.array([w in self.specials for w in fresh])
+            every = np.ones(len(fresh), np.int64)
+            every[~special] = sizes
+            own = np.repeat(special, every)
+            both = np.empty(len(own), np.uint32)
+            both[own] = [self.specials[w] for w in fresh if w in self.specials]
+            both[~own] = ids
+            ids, sizes = both, every
+        self.ids = np.concatenate([self.ids, np.asarray(ids, np.uint32)])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+        self.met = np.concatenate([self.met, np.zeros(len(fresh), np.int64)])
 
     def _segments(self, text: str) -> list[str]:
         if self.pattern is None or not any(s in text for s in self.specials):
@@ -139,7 +166,7 @@ class WordEncoder:
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in order, and each text's count of words."""
         if len(self.numbers) > MAX_WORDS:
-            self.clear()
+            self._forget()
         cut = [self._segments(t) for t in texts]
         if all(len(c) == 1 for c in cut):
             words, counts = split_words(texts, self.table)
@@ -154,9 +181,15 @@ class WordEncoder:
             each = np.where(np.array([s in self.specials for s in flat], bool), 1, each)
             of = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
             counts = np.bincount(of, weights=each, minlength=len(cut)).astype(np.int64)
-        numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        self._learn()
-        return numbers, counts
+        codes, distinct = distinct_words(words, "\0" if any("\0" in t for t in texts) else "")
+        known, size = self.numbers, len(self.numbers)
+        numbers = np.fromiter(map(known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        fresh = np.flatnonzero(numbers < 0)
+        if len(fresh):
+            self._learn([distinct[k] for k in fresh.tolist()])
+            numbers[fresh] = np.arange(size, size + len(fresh))
+        self.met[numbers] += 1
+        return numbers[codes], counts
 
     def ids_of(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of a run of words, concatenated."""

@@ -26,7 +26,7 @@ import string
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from .common import small_batches
+from .common import slices
 
 DEFAULT_KEY = b"replace this key in production"
 ROUNDS = 10
@@ -284,7 +284,6 @@ def pseudonymise_text(text: str, f: Feistel) -> tuple[str, list[str]]:
 def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, inverse: bool = False, report: str | None = None) -> DataFrame:
     """``docs`` with its texts replaced; ``report`` names an added column that
     lists the kinds of the replaced values in order of appearance."""
-    small_batches(docs.sparkSession)
     if report and report in docs.columns:
         raise ValueError(f"column {report!r} exists")
     schema = T.StructType(docs.schema.fields + ([T.StructField(report, T.ArrayType(T.StringType()))] if report else []))
@@ -292,7 +291,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, inverse: bool = Fals
 
     def task(batches):
         f = Feistel(key, inverse)
-        for batch in batches:
+        for batch in slices(batches):
             made = [(None, []) if t is None else pseudonymise_text(t, f) for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array([m[0] for m in made], pa.string())

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire import worker_state
 
-from .common import id_remainder, small_batches
+from .common import id_remainder, slices
 
 MAX_TOXIC, MAX_OTHER = 2_500, 4_000
 ALPHABET = 40               # boundary, a-z, other letters folded into 13 classes
@@ -377,12 +377,11 @@ class _Scorer:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, score)`` of every whole text."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches):
         scorer = _Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
             for a in range(0, len(texts), 256):
                 yield pa.RecordBatch.from_arrays([ids[a:a + 256], pa.array(scorer.texts(texts[a:a + 256]), pa.float64())],
