@@ -9,8 +9,8 @@ assistant turns are under the loss mask; what is repeated is masked, so every
 assistant turn is a target once.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``.  In roles and texts a backslash is
-put before every backslash and between ``<`` and ``|``, so control strings occur
-only where the template writes them; dropping each backslash and keeping the
+put before every backslash and between ``<`` and ``|``, and in roles before every
+line break, so control strings occur only where the template writes them; dropping each backslash and keeping the
 character after it restores the text.
 
 A null text or role is empty.  Turns with equal numbers follow by role and text;
@@ -44,8 +44,12 @@ def estimated_tokens(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4).cast("long") + 4
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=estimated_tokens,
-                   bounded: bool = True) -> DataFrame:
+def escape_role(role: Column) -> Column:
+    """A line break in a role is escaped too, since the first plain one ends the role."""
+    return F.replace(escape(role), F.lit("\n"), F.lit("\\\n"))
+
+
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=estimated_tokens) -> DataFrame:
     """``(conv_id, window, formatted, turns, repeated, loss)`` per window: ``turns``
     counts its turns, the first ``repeated`` of which an earlier window has
     as own turns; ``loss`` lists code-point spans ``(start, length)`` of
@@ -54,11 +58,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     The prefix sum is cut at multiples of a room, which is what system turn and history
     leave of the budget.  Turns between two cuts share a span.  A turn across a cut joins
     the span after it if the room holds both, else it is a span of its own, with as much
-    history as still fits.
-
-    Without ``bounded`` the cuts are multiples of the whole budget and a turn belongs to
-    the span in which its last token falls: a window may then reach the budget and its
-    first own turn, and the system turn and the history beside."""
+    history as still fits."""
     text = F.coalesce(F.col("text"), F.lit(""))
     role = F.coalesce(F.col("role"), F.lit(""))
     rows = turns.select("conv_id", F.col("turn").alias("no"), role.alias("role"), escape(text).alias("body"),
@@ -71,21 +71,17 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     rows = rows.withColumn("system", is_system).withColumn("size", F.when(is_system, F.lit(0)).otherwise(F.col("tokens")))
     rows = rows.withColumn("through", F.sum("size").over(upto))
     rows = rows.withColumn("before", F.col("through") - F.col("size"))
-    if bounded:
-        beside = F.first(F.when(F.col("role") == "system", F.col("tokens")).otherwise(0)).over(upto)
-        rows = rows.withColumn("free", F.greatest(F.lit(budget) - beside, F.lit(0)))
-        # a long system turn leaves half of the rest to the own turns
-        rows = rows.withColumn("room", F.greatest(
-            F.col("free") - F.least(F.lit(history), F.floor(F.col("free") / 2)), F.lit(1)))
-        rows = rows.withColumn("cell", F.floor(F.greatest(F.col("through") - 1, F.col("before")) / F.col("room")).cast("long"))
-        rows = rows.withColumn("apart", (F.floor(F.col("before") / F.col("room")) < F.col("cell"))
-                               & (F.sum("size").over(Window.partitionBy("conv_id", "cell")) > F.col("room")))
-        span = F.col("cell") * 2 + F.when(F.col("apart"), 0).otherwise(1)
-        fits = F.greatest(F.col("free") - F.when(F.col("apart"), F.col("size")).otherwise(F.col("room")), F.lit(0))
-        rows = rows.withColumn("recall", F.least(F.lit(history), fits))
-    else:
-        span = F.greatest(F.floor((F.col("through") - 1) / budget), F.lit(0)).cast("long")
-        rows = rows.withColumn("recall", F.lit(history))
+    beside = F.first(F.when(F.col("role") == "system", F.col("tokens")).otherwise(0)).over(upto)
+    rows = rows.withColumn("free", F.greatest(F.lit(budget) - beside, F.lit(0)))
+    # a long system turn leaves half of the rest to the own turns
+    rows = rows.withColumn("room", F.greatest(
+        F.col("free") - F.least(F.lit(history), F.floor(F.col("free") / 2)), F.lit(1)))
+    rows = rows.withColumn("cell", F.floor(F.greatest(F.col("through") - 1, F.col("before")) / F.col("room")).cast("long"))
+    rows = rows.withColumn("apart", (F.floor(F.col("before") / F.col("room")) < F.col("cell"))
+                           & (F.sum("size").over(Window.partitionBy("conv_id", "cell")) > F.col("room")))
+    span = F.col("cell") * 2 + F.when(F.col("apart"), 0).otherwise(1)
+    fits = F.greatest(F.col("free") - F.when(F.col("apart"), F.col("size")).otherwise(F.col("room")), F.lit(0))
+    rows = rows.withColumn("recall", F.least(F.lit(history), fits))
     rows = rows.withColumn("span", F.when(F.col("system"), F.lit(None)).otherwise(span))
     rows = rows.withColumn("opens", ~F.col("system") & ~F.col("span").eqNullSafe(F.lag("span").over(order)))
     # read from the end, so that the frame only grows: one that starts at each row is summed anew for each
@@ -114,7 +110,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
         F.when(F.col("alone"), entry(F.lit(0), F.lit(False), *turn))))))
     rows = rows.select("conv_id", "at.*")
     target = (F.col("role") == "assistant") & ~F.col("repeated")
-    head = F.concat(F.lit(START), escape(F.col("role")), F.lit("\n"))
+    head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     piece = F.struct("pos", "repeated", target.alias("target"),
                      F.char_length(head).alias("head"), F.char_length("body").alias("chars"),
                      F.concat(head, "body", F.lit(END + "\n")).alias("piece"))

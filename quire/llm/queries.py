@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_automaton, chat_format, chosen_path, exact_dedup, fingerprints, langid, packing, pseudonyms, sharding, toxicity
+from . import (bpe_automaton, chat_format, chosen_path, exact_dedup, fingerprints, hard_negatives, langid, line_dedup, packing, pseudonyms,
+               sharding, token_alignment, toxicity)
 from .common import table
 
 
@@ -52,8 +53,7 @@ def op8_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
-    # cut by the rule of its statement; `chat_bounded_windows` keeps every window within the budget
-    return chat_format.digests(chat_format.format_windows(turns.unionByName(extra), bounded=False))
+    return chat_format.digests(chat_format.format_windows(turns.unionByName(extra)))
 
 
 def op9_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,21 @@ def op10_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.round_trip_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), TOKENIZER, PIECES).drop("pairs")
+
+
+def op13_coordinate_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_virtual_slots": op1_virtual_slots,
     "op2_digest_index": op2_digest_index,
@@ -75,6 +90,9 @@ QUERIES = {
     "op8_budgeted_windows": op8_budgeted_windows,
     "op9_naive_bayes": op9_naive_bayes,
     "op10_merge_automaton": op10_merge_automaton,
+    "op11_line_bitmaps": op11_line_bitmaps,
+    "op12_token_spans": op12_token_spans,
+    "op13_coordinate_pruning": op13_coordinate_pruning,
 }
 
 ORACLES = {
@@ -91,23 +109,25 @@ ORACLES = {
                    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
                    UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
         e AS (SELECT *, length(replace(replace(text, '\', '\\'), '<|', '<\|'))
-                        + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + 13 + 11 AS chars,
+                        + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10))) + 13 + 11 AS chars,
+                     CAST(ceil(strlen(text) / 4.0) AS BIGINT) + 4 AS tokens,
                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
               FROM c),
-        s AS (SELECT *, pos = 1 AND role = 'system' AS sys,
-                     CASE WHEN pos = 1 AND role = 'system' THEN 0
-                          ELSE CAST(ceil(strlen(text) / 4.0) AS BIGINT) + 4 END AS size FROM e),
-        p AS (SELECT *, CAST(sum(size) OVER (PARTITION BY conv_id ORDER BY pos) AS BIGINT) AS through FROM s),
-        w AS (SELECT *, CASE WHEN sys THEN NULL ELSE greatest((through - 1) // 1024, 0) END AS span FROM p),
-        starts AS (SELECT conv_id, span, min(through - size) AS before,
-                          lead(span) OVER (PARTITION BY conv_id ORDER BY span) AS next_span,
-                          lead(min(through - size)) OVER (PARTITION BY conv_id ORDER BY span) AS next_before
-                   FROM w WHERE span IS NOT NULL GROUP BY conv_id, span),
-        n AS (SELECT conv_id, count(*) AS spans FROM starts GROUP BY conv_id),
-        f AS (SELECT w.*, CASE WHEN sys THEN greatest(coalesce(n.spans, 1), 1)
-                               WHEN starts.next_before - (through - size) <= 256 THEN 2 ELSE 1 END AS times
-              FROM w LEFT JOIN starts ON w.conv_id = starts.conv_id AND w.span = starts.span
-                     LEFT JOIN n ON w.conv_id = n.conv_id)
+        s AS (SELECT *, pos = 1 AND role = 'system' AS sys, CASE WHEN pos = 1 AND role = 'system' THEN 0 ELSE tokens END AS size,
+                     greatest(1024 - first_value(CASE WHEN role = 'system' THEN tokens ELSE 0 END)
+                                     OVER (PARTITION BY conv_id ORDER BY pos), 0) AS free FROM e),
+        p AS (SELECT *, CAST(sum(size) OVER (PARTITION BY conv_id ORDER BY pos) AS BIGINT) AS through,
+                     greatest(free - least(256, free // 2), 1) AS room FROM s),
+        k AS (SELECT *, through - size AS before, greatest(through - 1, through - size) // room AS cell FROM p),
+        a AS (SELECT *, before // room < cell AND sum(size) OVER (PARTITION BY conv_id, cell) > room AS apart FROM k),
+        w AS (SELECT *, CASE WHEN sys THEN NULL WHEN apart THEN cell * 2 ELSE cell * 2 + 1 END AS span,
+                     least(256, greatest(free - CASE WHEN apart THEN size ELSE room END, 0)) AS recall FROM a),
+        o AS (SELECT *, NOT sys AND span IS DISTINCT FROM lag(span) OVER (PARTITION BY conv_id ORDER BY pos) AS opens FROM w),
+        n AS (SELECT *, first_value(CASE WHEN opens THEN {'span': span, 'before': before, 'recall': recall} END IGNORE NULLS)
+                        OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next,
+                     sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS spans FROM o),
+        f AS (SELECT *, CASE WHEN sys THEN greatest(spans, 1)
+                             WHEN next.span > span AND next.before - before <= next.recall THEN 2 ELSE 1 END AS times FROM n)
         SELECT conv_id, count(*) AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
                CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
@@ -130,4 +150,31 @@ ORACLES = {
         SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(b) FROM reach WHERE a = d.doc_id), d.doc_id)) AS class_id,
                (SELECT count(*) FROM links WHERE a = d.doc_id) AS n_links
         FROM documents d""",
+    "op11_line_bitmaps": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        l AS (SELECT r, doc_id, text, unnest(string_split(text, chr(10))) AS line,
+                     unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
+        k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        many AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT (doc_id, text)) >= 10),
+        m AS (SELECT k.r, k.doc_id, k.line, k.pos, many.key IS NOT NULL AS gone FROM k LEFT JOIN many ON k.key = many.key)
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY r""",
+    "op13_coordinate_pruning": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same,
+                     CAST(list_dot_product(a.x, r.x) AS BIGINT) AS score
+              FROM v a JOIN v r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+        p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT p.anchor_id, p.positive_id,
+               CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank,
+               s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+             AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+        QUALIFY rank <= 10""",
 }
