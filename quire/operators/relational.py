@@ -46,14 +46,14 @@ def keyed_concat(left: DataFrame, right: DataFrame, key, check_unique: bool = Tr
     return left.join(right, k, "full")
 
 
-def first_per_key(df: DataFrame, key, order_col: str) -> DataFrame:
-    """First row (smallest ``order_col``) of every key.  A ``min`` over a struct
+def first_per_key(df: DataFrame, key, order_col: str, latest: bool = False) -> DataFrame:
+    """First row (smallest ``order_col``; with ``latest`` the largest) of every key.  A ``min`` over a struct
     led by the order column is a plain aggregate, so partial aggregation keeps a
     hot key from landing whole in one task."""
     k = _keys(key)
     rest = [c for c in df.columns if c not in k]
     packed = F.struct(F.col(order_col).alias("_o"), *[F.col(c) for c in rest])
-    return df.groupBy(*k).agg(F.min(packed).alias("_r")).select(*k, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return df.groupBy(*k).agg((F.max if latest else F.min)(packed).alias("_r")).select(*k, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
