@@ -40,6 +40,42 @@ def test_search_equals_brute_force_with_ties_and_zero_vectors(spark):
         assert got == brute(q.astype(np.float64), x.astype(np.float64), list(range(100, 137)), list(range(300)), k, t)
 
 
+def clustered(n, dim, centres, seed, spread=0.05):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(centres, dim))
+    return (c[rng.integers(0, centres, n)] + spread * rng.normal(size=(n, dim))).astype(np.float32)
+
+
+def test_pruned_search_equals_brute_force_and_visits_few_cells(spark):
+    x = clustered(3000, 12, 30, 3)
+    x[100:130] = x[7]           # equal vectors tie by id
+    x[200] = 0
+    q = np.concatenate([x[5:8], clustered(60, 12, 30, 3), -x[:5]])
+    idx = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>").repartition(5)
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, embedding array<float>")
+    for k, t in ((5, None), (20, 0.3)):
+        visits = []
+        got = {(r.query_id, r.rank, r.id, r.similarity) for r in
+               search(qs, idx, k=k, min_similarity=t, carry=["id"], pivots=40, visits=visits).collect()}
+        assert got == brute(q.astype(np.float64), x.astype(np.float64), list(range(len(q))), list(range(len(x))), k, -2 if t is None else t)
+        assert sum(visits) < 0.3 * 40 * len(q)
+
+
+def test_pruned_search_on_many_equal_vectors(spark):
+    """A cell that holds nearly all rows is cut into shards."""
+    x = np.concatenate([np.tile(np.array([[1.0, 2.0, 3.0]], np.float32), (4000, 1)), clustered(500, 3, 5, 1)])
+    q = x[[0, 4100, 4200]]
+    idx = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>").repartition(3)
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, embedding array<float>")
+    got = {(r.query_id, r.rank, r.id, r.similarity) for r in
+           search(qs, idx, k=6, min_similarity=None, carry=["id"], pivots=6, index_block_rows=300).collect()}
+    assert got == brute(q.astype(np.float64), x.astype(np.float64), [0, 1, 2], list(range(len(x))), 6, -2)
+    few = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, embedding array<float>")
+    assert [(r.query_id, r.id) for r in search(asked, few, carry=["id"], pivots=4).collect()] == [(1, 1)]
+    assert search(asked, few.limit(0), carry=["id"], pivots=4).count() == 0
+
+
 def test_search_result_shape_and_rounding(spark):
     idx = spark.createDataFrame([("a", "wikivoyage:A", 0, [1.0, 0.0]), ("b", "wikivoyage:B", 2, [0.75432, 0.6565])],
                                 "chunk_text string, source_document string, chunk_index int, embedding array<float>")
