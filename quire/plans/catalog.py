@@ -1063,15 +1063,6 @@ def lang_features(spark, root) -> tuple[DataFrame, list]:
 
 
 SQL_LANG = f"""WITH sc AS (SELECT doc_id, lang AS truth FROM documents), {SQL_RANKED}"""
-#: macro F1 that a model of the languages reaches, far above guessing the largest class
-LEARNED = 0.5
-
-
-def _learned(report: DataFrame):
-    """Whether a report's macro F1 reaches the floor, as a one-row table."""
-    return report.agg((F.avg("f1") >= LEARNED).alias("learned"))
-
-
 def _lang_model(spark, root):
     """A model of ``documents.lang`` on keyword features, fitted on the train rows."""
     from ..operators import ml as ML
@@ -1081,16 +1072,8 @@ def _lang_model(spark, root):
     return ML.build_pipeline("LogisticRegression", cols, LANG_LABELS, train.count()).fit(train)
 
 
-@register("train_experiment", f"""{SQL_LANG}
-SELECT m.model_name, m.ord, 'a' AS phase, CAST(5 AS BIGINT) AS n_folds, (SELECT count(*) FROM trn) AS n_train, TRUE AS learned
-FROM (VALUES ('LogisticRegression', 0), ('RandomForest', 1), ('GradientBoosting', 2)) m(model_name, ord)""")
+@register("train_experiment")
 def q_train_experiment(spark, root):
-    """What of the comparison a statement can say."""
-    return q_train_experiment_full(spark, root).select("model_name", "ord", "phase", "n_folds", "n_train", "learned")
-
-
-@register("train_experiment_full")
-def q_train_experiment_full(spark, root):
     """Fold-by-fold comparison of the three families."""
     from .experiment import run_experiment
     f, cols = lang_features(spark, root)
@@ -1098,90 +1081,106 @@ def q_train_experiment_full(spark, root):
     folds = res["folds"].groupBy("model_name").agg(F.count(F.lit(1)).alias("n_folds"))
     n = res["prepared"].filter(F.col("split") == "train").agg(F.count(F.lit(1)).alias("n_train"))
     return res["runs"].join(folds, "model_name").join(F.broadcast(n)).select(
-        "model_name", "ord", "accuracy_mean", "accuracy_std", "f1_macro_mean", "f1_macro_std", "phase", "winner",
-        "n_folds", "n_train", (F.col("f1_macro_mean") >= LEARNED).alias("learned"))
+        "model_name", "ord", "accuracy_mean", "accuracy_std", "f1_macro_mean", "f1_macro_std", "phase", "winner", "n_folds", "n_train")
 
 
-SQL_TEST_ROWS = f"""{SQL_LANG}
-SELECT truth AS label, count(*) AS support, TRUE AS learned"""
-
-
-@register("model_test_report", f"{SQL_TEST_ROWS} FROM spl WHERE split = 'test' GROUP BY truth")
+@register("model_test_report")
 def q_model_test_report(spark, root):
-    """What of the report a statement can say."""
-    return q_model_test_report_full(spark, root).select("label", "support", "learned")
-
-
-@register("model_test_report_full")
-def q_model_test_report_full(spark, root):
-    """The better of two families, refitted and reported on the test rows."""
+    """The best of the three families, refitted on the train rows and reported on the test rows."""
     from .experiment import run_experiment
     f, cols = lang_features(spark, root)
-    res = run_experiment(f, cols, "lang", "doc_id", LANG_LABELS, models=["LogisticRegression", "RandomForest"])
-    report = res["test_report"]
-    return report.join(F.broadcast(_learned(report))).withColumn("model_name", F.lit(res["best"]))
+    res = run_experiment(f, cols, "lang", "doc_id", LANG_LABELS)
+    return res["test_report"].withColumn("model_name", F.lit(res["best"]))
 
 
-@register("tune_winner", f"{SQL_TEST_ROWS}, TRUE AS in_grid FROM spl WHERE split = 'test' GROUP BY truth")
+@register("tune_winner")
 def q_tune_winner(spark, root):
-    """What of the tuned winner's report a statement can say."""
-    return q_tune_winner_full(spark, root).select("label", "support", "learned", "in_grid")
-
-
-@register("tune_winner_full")
-def q_tune_winner_full(spark, root):
-    """The winner of the comparison, tuned on its own grid and reported."""
+    """The winner of the comparison, tuned on its own grid and reported on the test rows."""
     import json
     from .experiment import run_experiment
     f, cols = lang_features(spark, root)
-    res = run_experiment(f, cols, "lang", "doc_id", LANG_LABELS, models=["LogisticRegression", "RandomForest"], tune_grid={})
-    grid = C.PARAM_GRIDS[res["best"]]
-    in_grid = set(res["best_params"]) == set(grid) and all(v in grid[k] for k, v in res["best_params"].items())
-    report = res["test_report"]
-    return report.join(F.broadcast(_learned(report))).withColumns({
+    res = run_experiment(f, cols, "lang", "doc_id", LANG_LABELS, tune_grid={})
+    return res["test_report"].withColumns({
         "model_name": F.lit(res["best"]), "best_params": F.lit(json.dumps(res["best_params"])),
-        "cv_f1": F.lit(res["cv_f1"]).cast("double"), "in_grid": F.lit(in_grid)})
+        "cv_f1": F.lit(res["cv_f1"]).cast("double")})
 
 
-@register("classify_queries", "SELECT conv_id, turn, TRUE AS known, TRUE AS bounded FROM conversations WHERE role = 'user'")
-def q_classify_queries(spark, root):
-    return q_classify_queries_full(spark, root).select("conv_id", "turn", "known", "bounded")
+@register("tune_boosting")
+def q_tune_boosting(spark, root):
+    """Boosting's own grid: all folds and rates in one fit, fewer rounds as prefixes."""
+    from ..operators import ml as ML
+    from .experiment import prepare
+    f, cols = lang_features(spark, root)
+    train = prepare(f, "lang", "doc_id", LANG_LABELS).filter(F.col("split") == "train")
+    grid = C.PARAM_GRIDS["GradientBoosting"]
+    found = ML.boosted_folds(train, cols, LANG_LABELS, C.N_FOLDS, grid["learning_rate"], grid["n_estimators"])
+    return M.fold_summary(found, ["accuracy", "f1_macro"], ["rate", "rounds"])
 
 
-@register("classify_queries_full")
-def q_classify_queries_full(spark, root):
+@register("classify_queries")
+def q_classify_queries(spark, root):
     """Predicted language and confidence of every user message."""
     from ..operators import ml as ML
     q = t(spark, root, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
     s = ML.score_texts(q, "text", _lang_model(spark, root), LANG_DICT, LANG_THRESHOLDS, regions=[])
-    return s.select("conv_id", "turn", "predicted_style", F.round("style_confidence", 3).alias("style_confidence"),
-                    F.col("predicted_style").isin(LANG_LABELS).alias("known"),
-                    F.col("style_confidence").between(0, 1).alias("bounded"))
+    return s.select("conv_id", "turn", "predicted_style", F.round("style_confidence", 3).alias("style_confidence"))
 
 
-@register("embedding_pca", f"""WITH sc AS (SELECT vec_id AS doc_id, label AS truth FROM embeddings), {SQL_RANKED}
-SELECT doc_id AS vec_id, split, CAST({C.PCA_COMPONENTS} AS BIGINT) AS n_components, TRUE AS descending, TRUE AS centred FROM spl""")
+@register("embedding_pca")
 def q_embedding_pca(spark, root):
-    """What of the components a statement can say."""
-    return q_embedding_pca_full(spark, root).select("vec_id", "split", "n_components", "descending", "centred")
-
-
-@register("embedding_pca_full")
-def q_embedding_pca_full(spark, root):
-    """Components fitted on the train rows: on them the means are zero and the
-    variances descend."""
+    """Components fitted on the train rows, for all rows."""
     from ..operators import ml as ML
     sp = SP.stratified_split(t(spark, root, "embeddings"), "label", "vec_id")
     names = [f"emb_pca_{i}" for i in range(C.PCA_COMPONENTS)]
     out, explained = ML.add_pca_features(sp, "embedding", F.col("split") == "train", k=C.PCA_COMPONENTS)
-    train = out.filter(F.col("split") == "train")
-    stats = train.agg(F.array(*[F.avg(c) for c in names]).alias("m"), F.array(*[F.var_pop(c) for c in names]).alias("v"))
-    flags = stats.select(F.forall("m", lambda x: F.abs(x) < 1e-6).alias("centred"),
-                         F.forall(F.sequence(F.lit(1), F.lit(len(names) - 1)),
-                                  lambda i: F.get("v", i) <= F.get("v", i - 1) + 1e-9).alias("descending"))
-    return out.join(F.broadcast(flags)).select(
-        "vec_id", "split", *names, F.lit(round(explained, 6)).alias("explained_variance"),
-        F.lit(len(names)).cast("long").alias("n_components"), "descending", "centred")
+    return out.select("vec_id", "split", *names, F.lit(round(explained, 6)).alias("explained_variance"))
+
+
+SQL_VEC_FOLDS = f"""WITH sc AS (SELECT vec_id AS doc_id, label AS truth FROM embeddings), {SQL_RANKED},
+v AS (SELECT CASE WHEN spl.split = 'test' THEN -1 ELSE folds.fold END AS fold, e.embedding AS x
+      FROM spl JOIN embeddings e ON e.vec_id = spl.doc_id LEFT JOIN folds ON folds.doc_id = spl.doc_id)"""
+
+
+def _vector_folds(spark, root):
+    return SP.split_and_folds(t(spark, root, "embeddings"), "label", "vec_id")
+
+
+@register("fold_means", f"""{SQL_VEC_FOLDS},
+d AS (SELECT fold, unnest(range(len(x))) AS dim, unnest(x) AS x FROM v)
+SELECT fold, CAST(dim AS INTEGER) AS dim, count(*) AS n, round(avg(CAST(x AS DOUBLE)), 6) AS mean,
+  round(avg(CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) - avg(CAST(x AS DOUBLE)) * avg(CAST(x AS DOUBLE)), 6) AS variance FROM d GROUP BY ALL""")
+def q_fold_means(spark, root):
+    """Mean and variance of every dimension in every fold, from the additive moments."""
+    from ..operators.moments import fold_moments
+    m = fold_moments(_vector_folds(spark, root), "embedding", "fold")
+    mean = F.col("total") / F.col("n")
+    return m.select("fold", "dim", "n", F.round(mean, 6).alias("mean"),
+                    F.round(F.element_at("products", F.col("dim") + 1) / F.col("n") - mean * mean, 6).alias("variance"))
+
+
+@register("fold_covariances", f"""{SQL_VEC_FOLDS},
+f AS (SELECT unnest(range(5)) AS held_out),
+t AS (SELECT held_out, x FROM v JOIN f ON v.fold >= 0 AND v.fold <> f.held_out),
+a AS (SELECT held_out, i, i + 1 AS j, CAST(x[i + 1] AS DOUBLE) AS p, CAST(x[i + 2] AS DOUBLE) AS q FROM t, (SELECT unnest(range(len(any_value(embedding)) - 1)) AS i FROM embeddings))
+SELECT CAST(held_out AS INTEGER) AS held_out, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, count(*) AS n,
+  round(avg(p * q) - avg(p) * avg(q), 6) AS covariance FROM a GROUP BY ALL""")
+def q_fold_covariances(spark, root):
+    """Covariance of neighbouring dimensions over each fold's training rows: all rows'
+    moments less the fold's."""
+    from ..operators.moments import fold_moments
+    from ..session import cut_lineage
+    m = cut_lineage(fold_moments(_vector_folds(spark, root), "embedding", "fold").filter(F.col("fold") >= 0))
+    every = m.groupBy("dim").agg(F.sum("n").alias("n"), F.sum("total").alias("total"),
+                                 F.sum(F.get("products", F.col("dim") + 1)).alias("product"))
+    own = m.select("fold", "dim", F.col("n").alias("fold_n"), F.col("total").alias("fold_total"),
+                   F.get("products", F.col("dim") + 1).alias("fold_product"))
+    rest = own.join(every, "dim").select(
+        F.col("fold").alias("held_out"), "dim", (F.col("n") - F.col("fold_n")).alias("n"),
+        (F.col("total") - F.col("fold_total")).alias("total"), (F.col("product") - F.col("fold_product")).alias("product"))
+    after = rest.select("held_out", (F.col("dim") - 1).alias("dim"), F.col("total").alias("next_total"))
+    return rest.join(after, ["held_out", "dim"]).select(
+        "held_out", F.col("dim").alias("i"), (F.col("dim") + 1).alias("j"), "n",
+        F.round(F.col("product") / F.col("n") - F.col("total") / F.col("n") * F.col("next_total") / F.col("n"), 6).alias("covariance"))
 
 
 @register("encode_texts", f"""
@@ -1237,46 +1236,35 @@ def batch_answers(spark, root) -> tuple[DataFrame, DataFrame]:
                            thresholds=LANG_THRESHOLDS, regions=[], unique_chunks=False)
 
 
-#: columns of an answer beside the flags; a rejected request has none of them
+#: columns of an answer; a rejected request has none of them
 ANSWER = ["predicted_style", "style_confidence", "chunks_retrieved", "no_hits", "prompt", "prompt_chars", "response"]
 
 
 def _outcomes(responses: DataFrame, rejected: DataFrame) -> DataFrame:
     responses = responses.withColumn("prompt_chars", F.length("prompt").cast("long"))
     done = responses.select("request_id", "session_id", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("reason"),
-                            F.col("predicted_style").isin(LANG_LABELS).alias("known"),
-                            F.col("chunks_retrieved").between(0, C.DEFAULT_TOP_K).alias("within_k"), *ANSWER)
-    refused = rejected.select("request_id", "session_id", F.lit("rejected").alias("status"), "reason",
-                              F.lit(None).cast("boolean").alias("known"), F.lit(None).cast("boolean").alias("within_k"))
+                            *ANSWER)
+    refused = rejected.select("request_id", "session_id", F.lit("rejected").alias("status"), "reason")
     return done.unionByName(refused, allowMissingColumns=True)
 
 
-SQL_OUTCOMES = f"""
-WITH u AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id, 's' || CAST(conv_id AS VARCHAR) AS session_id,
+@register("request_outcomes", f"""
+SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id, 's' || CAST(conv_id AS VARCHAR) AS session_id,
   CASE WHEN text IS NULL THEN 'missing' WHEN length({Q.strip('text')}) = 0 THEN 'Message cannot be empty'
-       WHEN length(text) > 1000 THEN 'Message too long — max 1000 characters' END AS reason FROM conversations WHERE role = 'user')
-SELECT request_id, session_id, CASE WHEN reason IS NULL THEN 'completed' ELSE 'rejected' END AS status, reason,
-  CASE WHEN reason IS NULL THEN TRUE END AS known, CASE WHEN reason IS NULL THEN TRUE END AS within_k"""
+       WHEN length(text) > 1000 THEN 'Message too long — max 1000 characters' ELSE 'accepted' END AS outcome FROM conversations WHERE role = 'user'""")
+def q_request_outcomes(spark, root):
+    """Which requests are answered, and why others are not."""
+    accepted, rejected = VA.validate_messages(_requests(spark, root), "message")
+    return accepted.select("request_id", "session_id", F.lit("accepted").alias("outcome")).unionByName(
+        rejected.select("request_id", "session_id", F.col("reason").alias("outcome")))
 
 
-@register("answer_requests", f"{SQL_OUTCOMES} FROM u")
+@register("answer_requests")
 def q_answer_requests(spark, root):
-    return q_answer_requests_full(spark, root).drop(*ANSWER)
-
-
-@register("answer_requests_full")
-def q_answer_requests_full(spark, root):
     """Every user message with its answer or the reason of its rejection."""
     return _outcomes(*batch_answers(spark, root))
 
 
-@register("chat_bounded_windows")
-def q_chat_bounded_windows(spark, root):
-    """Training windows of the conversations, each within the token budget."""
-    from ..llm import chat_format
-    return chat_format.format_windows(t(spark, root, "conversations").select("conv_id", "turn", "role", "text"))
-
-
 # ---------------------------------------------------------------------------
 # Streaming (rows-only): documents arrive as files in two waves; the stream is
 # restarted between them and must add every document exactly once.
@@ -1305,7 +1293,7 @@ def q_stream_features(spark, root):
     process_new(spark, os.path.join(src, "*"), schema, out, ck, "doc_id", feats)
     second_wave.write.mode("overwrite").parquet(os.path.join(src, "wave=2"))
     process_new(spark, os.path.join(src, "*"), schema, out, ck, "doc_id", feats)
-    return read_output(spark, out)
+    return read_output(spark, out, "doc_id")
 
 
 def stream_answers(spark, root):
@@ -1326,14 +1314,9 @@ def stream_answers(spark, root):
     return read_output(spark, responses), read_output(spark, rejects), read_output(spark, runs)
 
 
-@register("stream_answers", f"{SQL_OUTCOMES}, reason IS NULL AS has_run FROM u")
+@register("stream_answers")
 def q_stream_answers(spark, root):
-    return q_stream_answers_full(spark, root).drop(*ANSWER)
-
-
-@register("stream_answers_full")
-def q_stream_answers_full(spark, root):
-    """As `answer_requests_full`, answered as a stream."""
+    """As `answer_requests`, answered as a stream, and whether each has a run record."""
     responses, rejected, runs = stream_answers(spark, root)
     have = runs.select(F.col("run_id").alias("request_id"), F.lit(True).alias("has_run")).distinct()
     return _outcomes(responses, rejected).join(have, "request_id", "left").withColumn(
@@ -1540,51 +1523,31 @@ def q_table_health(spark, root):
     return SV.check_tables(spark, {n: os.path.join(root, f"{n}.parquet") for n in TB.DRIVER_TABLES})
 
 
-@register("phase_comparison", f"{SQL_LANG} SELECT DISTINCT truth AS label, TRUE AS learned_a, TRUE AS learned_b, TRUE AS compared FROM spl WHERE split = 'test'")
+@register("phase_comparison")
 def q_phase_comparison(spark, root):
-    """What of the comparison a statement can say."""
-    return q_phase_comparison_full(spark, root).select("label", "learned_a", "learned_b", "compared")
-
-
-@register("phase_comparison_full")
-def q_phase_comparison_full(spark, root):
-    """Keyword features alone (phase a) against keyword features plus 50 PCA
-    components of text vectors fitted on train rows (phase b); per-class test F1
-    of each phase's winner, missing → 0, delta and sign."""
+    """Keyword features alone (phase a) against keyword features plus 50 components of
+    text vectors (phase b), which every fold fits without its held-out rows; per-class
+    test F1 of each phase's winner, missing → 0, delta and sign."""
     from ..operators import ml as ML
     from ..operators.encode import HashingEncoder, encode_nonempty
+    from ..session import cut_lineage
     from .experiment import compare_phases, run_experiment
     f, cols = lang_features(spark, root)
-    models = ["LogisticRegression", "RandomForest"]
-    a = run_experiment(f, cols, "lang", "doc_id", LANG_LABELS, models=models, phase="a")
+    a = run_experiment(f, cols, "lang", "doc_id", LANG_LABELS, phase="a")
     docs = t(spark, root, "documents").select("doc_id", "text")
     vec = encode_nonempty(docs, HashingEncoder(C.EMBEDDING_DIM), "text").select("doc_id", "embedding")
-    split = a["prepared"].select("doc_id", "split")
-    emb, _var = ML.add_pca_features(vec.join(split, "doc_id"), "embedding", F.col("split") == "train",
-                                    k=C.PCA_COMPONENTS)
-    pcs = [f"emb_pca_{i}" for i in range(C.PCA_COMPONENTS)]
-    # phase b reuses phase a's split, folds and weights; only the PCA columns are added
-    from ..session import cut_lineage
-    pb = cut_lineage(a["prepared"].join(emb.select("doc_id", *pcs), "doc_id")).persist()
-    b = run_experiment(None, cols + pcs, "lang", "doc_id", LANG_LABELS, models=models, phase="b", prepared=pb)
-    both = compare_phases(a["test_report"], b["test_report"])
-    learned = _learned(a["test_report"]).select(F.col("learned").alias("learned_a")).join(
-        _learned(b["test_report"]).select(F.col("learned").alias("learned_b")))
-    return both.join(F.broadcast(learned)).select(
-        "label", "f1_a", "f1_b", "delta", "sign", F.lit(a["best"]).alias("winner_a"), F.lit(b["best"]).alias("winner_b"),
-        "learned_a", "learned_b", (F.abs(F.col("f1_b") - F.col("f1_a") - F.col("delta")) < 1e-9).alias("compared"))
-
-
-@register("experiment_log", """
-SELECT * FROM (VALUES ('LogisticRegression_phasea', FALSE, TRUE, FALSE), ('RandomForest_phasea', FALSE, TRUE, FALSE),
-                      ('winner', TRUE, TRUE, TRUE)) v(entry, is_winner, learned, restored)""")
-def q_experiment_log(spark, root):
-    """What of the log a statement can say."""
-    return q_experiment_log_full(spark, root).select("entry", "is_winner", "learned", "restored")
+    with_vectors = cut_lineage(a["prepared"].join(vec, "doc_id"))
+    # phase b reuses phase a's split, folds and weights; only the components are added
+    pb, _, components = ML.add_fold_pca(with_vectors, "embedding", "fold", k=C.PCA_COMPONENTS)
+    pb = cut_lineage(pb.drop("embedding"))
+    b = run_experiment(None, cols + components(None), "lang", "doc_id", LANG_LABELS, phase="b", prepared=pb,
+                       columns_of=lambda fold: cols + components(fold))
+    return compare_phases(a["test_report"], b["test_report"]).select(
+        "label", "f1_a", "f1_b", "delta", "sign", F.lit(a["best"]).alias("winner_a"), F.lit(b["best"]).alias("winner_b"))
 
 
-@register("experiment_log_full")
-def q_experiment_log_full(spark, root):
+@register("experiment_log")
+def q_experiment_log(spark, root):
     """Compare, refit, report, save the winner and append the log; the log table
     is read back and the saved model found and loaded by its name."""
     import os
@@ -1592,14 +1555,8 @@ def q_experiment_log_full(spark, root):
     from .experiment import run_experiment
     base = _scratch(spark, "experiments")
     f, cols = lang_features(spark, root)
-    models = ["LogisticRegression", "RandomForest"]
-    run_experiment(f, cols, "lang", "doc_id", LANG_LABELS, models=models,
+    run_experiment(f, cols, "lang", "doc_id", LANG_LABELS,
                    results_path=os.path.join(base, "results"), models_dir=os.path.join(base, "models"))
-    names = [*C.MODEL_CANDIDATES, *[f"{m}_phasea_v1" for m in models]]
-    name, model = load_first_model(spark, os.path.join(base, "models"), names)
+    name, model = load_first_model(spark, os.path.join(base, "models"), C.MODEL_CANDIDATES)
     log = spark.read.parquet(os.path.join(base, "results"))
-    winner = F.col("model_name").endswith("_WINNER")
-    restored = model is not None
-    return log.select(*log.columns, F.when(winner, "winner").otherwise(F.col("model_name")).alias("entry"), winner.alias("is_winner"),
-                      (F.col("f1_mean") >= LEARNED).alias("learned"),
-                      (winner & F.lit(restored) & F.col("saved_model_path").endswith(name or "")).alias("restored"))
+    return log.withColumn("restored", F.col("saved_model_path").endswith(name or "-") & F.lit(model is not None))

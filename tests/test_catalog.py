@@ -10,7 +10,7 @@ from quire.sources.tables import DRIVER_TABLES
 
 from conftest import SF_SMALL
 
-SLOW = {"stream_features", "train_experiment", "tune_winner", "phase_comparison", "pipeline", "op6_chosen_path"}
+SLOW = {"op6_chosen_path"}
 NAMES = [n for n in E.oracle_sql() if n not in SLOW]
 
 

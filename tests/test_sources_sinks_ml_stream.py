@@ -80,18 +80,18 @@ def test_write_chunks_modes(spark, tmp_dir):
         [(f"{src}{i}", src, i) for i in range(n)], "chunk_id string, source_document string, chunk_index int")
     sinks.write_chunks(mk("A", 2), p, "append")
     sinks.write_chunks(mk("A", 2), p, "append")
-    assert sinks.verify_count(spark, p) == 4        # original behaviour: re-run duplicates
+    assert sinks.chunk_count(spark, p) == 4        # original behaviour: re-run duplicates
     sinks.write_chunks(mk("A", 1).unionByName(mk("B", 2)), p, "replace_source")
-    assert sinks.verify_count(spark, p) == 3
+    assert sinks.chunk_count(spark, p) == 3
     # a source without chunks any more loses its old ones, alone or beside another
     gone = spark.createDataFrame([("A",), ("B",)], "source_document string")
     sinks.write_chunks(mk("A", 0), p, "replace_source", sources=gone.filter("source_document = 'A'"))
-    assert sinks.verify_count(spark, p) == 2
+    assert sinks.chunk_count(spark, p) == 2
     sinks.write_chunks(mk("A", 3), p, "replace_source", sources=gone)
-    assert [r.source_document for r in spark.read.parquet(p).collect()] == ["A"] * 3
+    assert [r.source_document for r in sinks.read_chunks(spark, p).collect()] == ["A"] * 3
     assert [f for f in os.listdir(tmp_dir) if "staging" in f] == []
     sinks.write_chunks(mk("C", 1), p, "overwrite")
-    assert sinks.verify_count(spark, p) == 1
+    assert sinks.chunk_count(spark, p) == 1
 
 
 def test_check_tables_never_raises(spark, tmp_dir):
@@ -168,7 +168,7 @@ def test_index_answer_and_stream(spark, tmp_dir):
     p = os.path.join(tmp_dir, "idx")
     res = build_index(ents, arts, enc, path=p)
     assert res["count"] == 2 and [r.cache_key for r in res["skipped"].collect()] == ["Z"]
-    index = spark.read.parquet(p)
+    index = sinks.read_chunks(spark, p)
     check_encoder(index, enc)
     with pytest.raises(ValueError):
         check_encoder(index, HashingEncoder(32))
