@@ -9,7 +9,7 @@ without bias; fingerprints of parts merge by union into the fingerprint of the
 whole, and give estimates of resemblance and containment.
 
 A null text counts as empty.  Equal texts have equal fingerprints.  Repeated rows
-are fingerprinted each; an empty table gives no rows.  Other columns are ignored,
+come back each; an empty table gives no rows.  Other columns are ignored,
 whatever their names.  All work is done by built-in expressions.
 """
 
@@ -72,11 +72,26 @@ def written(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), " ")
 
 
+KEY = ["doc", "t1", "t2"]
+#: equal rows that one task writes out
+COPIES = 1 << 16
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` (null as empty), ``n_chars`` and the row's key, which any
+    scan gives alike: the id (null as 0) and 128 bits of hash over the text and whether
+    the id is null.  Rows of one key are equal."""
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.char_length(text).cast("long").alias("n_chars"),
+                       F.coalesce(doc_id, F.lit(0)).alias("doc"), F.xxhash64(text, doc_id.isNull()).alias("t1"),
+                       F.xxhash64(F.lit("t2"), text, doc_id.isNull()).alias("t2"))
+
+
 def ordered_rows(rows: DataFrame, partitions: int) -> DataFrame:
     """Adds ``pos``, each row's place (from 0) in descending id order, and the
     number of rows ``total``: a range sort of narrow rows, numbered within each
     partition and shifted by the counts of the partitions before it."""
-    by = [F.col("doc_id").desc_nulls_last(), F.col("rid")]
+    by = [F.col("doc_id").desc_nulls_last(), F.col("t1"), F.col("t2")]
     ranged = rows.repartitionByRange(partitions, *by).sortWithinPartitions(*by)
     ranged = cut(ranged.withColumn("at", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("part", F.shiftright("at", 33)).withColumn("nth", F.col("at").bitwiseAND((1 << 33) - 1))
@@ -92,32 +107,46 @@ def ordered_rows(rows: DataFrame, partitions: int) -> DataFrame:
 def compare_with_edits(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     """Fingerprints of all documents and of their edited texts: the last half of a
     document's characters gives way to as many of the next document, in
-    descending id order (null ids last), the first one following the last.
-
-    Rows are told apart by their place in the scan, so ``docs`` must read the same
-    way twice, as a table does.  Texts are shuffled once by that number and the
-    borrowed halves once."""
-    spark = docs.sparkSession
-    base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"),
-                       F.monotonically_increasing_id().alias("rid"))
-    base = base.withColumn("n_chars", F.char_length("text").cast("long"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = cut(ordered_rows(base.select("rid", "doc_id", "n_chars"), partitions))
-    here = order.select("rid", "doc_id", "n_chars", ((F.col("pos") + 1) % F.col("total")).alias("next_pos"))
-    links = here.join(order.select(F.col("rid").alias("from_rid"), F.col("pos").alias("next_pos")), "next_pos").select(
-        "from_rid", F.col("rid").alias("to_rid"), "doc_id", "n_chars", F.floor(F.col("n_chars") / 2).cast("int").alias("take"))
+    descending id order (null ids last, rows that share an id by text hash), the first
+    one following the last.
+
+    Rows are told apart by id and text, so it does not matter how the table is split
+    when it is read again.  Equal rows follow each other: all but the last of them have
+    a copy of themselves as next document.  They are one row until the end, and texts
+    are shuffled once by that key and the borrowed halves once."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = keyed(docs)
+    order = cut(ordered_rows(base.select("doc_id", *KEY, "n_chars").distinct(), partitions))
+    here = order.select(*[F.col(k).alias(f"to_{k}") for k in KEY], F.floor(F.col("n_chars") / 2).cast("int").alias("take"),
+                        ((F.col("pos") + 1) % F.col("total")).alias("next_pos"))
+    links = here.join(order.select(*[F.col(k).alias(f"from_{k}") for k in KEY], F.col("pos").alias("next_pos")), "next_pos").drop("next_pos")
     # both joins read the same columns by the same key, so one exchange serves both
-    own = with_fingerprint(base.select("rid", "text"), "text", "fp", fraction)
-    lent = own.join(links, own["rid"] == links["from_rid"]).select(
-        "to_rid", "doc_id", "n_chars", "take", F.col("fp").alias("next_fp"), F.substring("text", F.lit(1), F.col("take")).alias("lent"))
-    both = own.join(lent, own["rid"] == lent["to_rid"])
-    kept = (F.col("n_chars") - F.col("take")).cast("int")
-    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), kept), "lent"))
-    both = with_fingerprint(both.drop("rid", "to_rid", "take", "text", "lent"), "edited", "edited_fp", fraction)
-    return both.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written(F.col("fp")).alias("fingerprint"),
-        written(F.col("edited_fp")).alias("edited_fingerprint"),
-        resemblance(F.col("fp"), F.col("edited_fp"), fraction).alias("near_edited"),
-        resemblance(F.col("fp"), F.col("next_fp"), fraction).alias("near_next"),
-        containment(F.col("fp"), F.col("edited_fp"), fraction).alias("contained_in_edited"),
-        containment(F.col("fp"), F.col("next_fp"), fraction).alias("contained_in_next"))
+    prints = with_fingerprint(base, "text", "fp", fraction)
+    own = prints.groupBy(*KEY).agg(F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.first("text").alias("text"),
+                                   F.first("fp").alias("fp"), F.count(F.lit(1)).alias("copies"))
+    lent = own.select(*KEY, "text", "fp").join(links, [own[k] == links[f"from_{k}"] for k in KEY]).select(
+        *[f"to_{k}" for k in KEY], F.col("fp").alias("next_fp"), F.substring("text", F.lit(1), F.col("take")).alias("lent"))
+    both = own.join(lent, [own[k] == lent[f"to_{k}"] for k in KEY])
+    take = F.floor(F.col("n_chars") / 2).cast("int")
+    columns = ["doc_id", "n_chars", "copies", "text", "fp"]
+    next_one = both.select(*columns, "next_fp", "lent", F.lit(1).cast("long").alias("times"))
+    # all but one of equal rows have a copy of themselves as next document
+    again = own.filter(F.col("copies") > 1).select(*columns, F.col("fp").alias("next_fp"), F.substring("text", F.lit(1), take).alias("lent"),
+                                                   (F.col("copies") - 1).alias("times"))
+
+    def compared(rows):
+        rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - take).cast("int")), "lent"))
+        rows = with_fingerprint(rows.drop("text", "lent"), "edited", "edited_fp", fraction)
+        return rows.select(
+            "times", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written(F.col("fp")).alias("fingerprint"),
+            written(F.col("edited_fp")).alias("edited_fingerprint"),
+            resemblance(F.col("fp"), F.col("edited_fp"), fraction).alias("near_edited"),
+            resemblance(F.col("fp"), F.col("next_fp"), fraction).alias("near_next"),
+            containment(F.col("fp"), F.col("edited_fp"), fraction).alias("contained_in_edited"),
+            containment(F.col("fp"), F.col("next_fp"), fraction).alias("contained_in_next"))
+
+    copies = compared(again).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / COPIES))))
+    copies = copies.repartition("doc_id", "part")         # a very large group of equal rows is written by several tasks
+    size = F.least(F.col("times") - F.col("part") * COPIES, F.lit(COPIES)).cast("int")
+    copies = copies.withColumn("_", F.explode(F.array_repeat(F.lit(0), size)))
+    return compared(next_one).drop("times").unionByName(copies.drop("times", "part", "_"))

@@ -105,6 +105,35 @@ def test_fingerprints_against_brute_force(make_docs, random_rows, edge_rows):
         assert by_text.setdefault(t, r.fingerprint) == r.fingerprint
 
 
+def test_neighbours_do_not_depend_on_how_the_table_is_split(spark, tmp_path, make_docs, monkeypatch):
+    """The second scan sees other splits than the first; rows repeat; ids tie."""
+    rows = [(i % 300 if i % 7 else None, f"text {i % 200} " + "word " * (i % 9)) for i in range(900)] + [(5, "again and again")] * 40
+    path = str(tmp_path / "docs")
+    make_docs(rows).repartition(12).write.parquet(path)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    cut = fingerprints.cut
+
+    def cut_and_change(df):
+        out = cut(df)
+        spark.conf.set(key, "4k")
+        return out
+
+    monkeypatch.setattr(fingerprints, "cut", cut_and_change)
+    try:
+        got = fingerprints.compare_with_edits(spark.read.parquet(path)).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i, _ in rows)
+    keys = {(r.doc_id, r.text): (r.t1, r.t2) for r in fingerprints.keyed(make_docs(rows)).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), keys[r]))
+    want = []
+    for (i, t), (_, nxt) in zip(order, [*order[1:], order[0]]):
+        half = len(t) // 2
+        want.append((i is None, i or 0, hashlib.sha256((t[:len(t) - half] + nxt[:half]).encode()).hexdigest()))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.edited_sha256) for r in got) == sorted(want)
+
+
 def test_sketch_is_sparse_mergeable_and_never_empty(spark, make_docs, edge_rows):
     from pyspark.sql import functions as F
     a, b = "alpha beta gamma delta epsilon zeta eta " * 3, " ".join(f"w{i}" for i in range(3000))
