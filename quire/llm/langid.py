@@ -23,8 +23,8 @@ from .common import codepoints, id_remainder, slices, text_chunks
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-MAX_TRAIN_DOCS = 20_000     # bound of the labelled sample the model is fitted on
-MAX_LANGUAGES = 1_000       # the matrix (buckets x languages) is broadcast
+MAX_TRAIN_DOCS = 5_000      # bound of the labelled sample of each language the model is fitted on
+MAX_LANGUAGES = 200         # the matrix (buckets x languages: 52 MB) is broadcast
 UNDETERMINED = "und"
 
 
@@ -90,21 +90,24 @@ def _count_task(batches):
 
 def fit(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS):
     """``(languages, matrix)`` learned from ``(doc_id, text, lang)`` rows.  At most
-    about ``max_docs`` rows are used, chosen by the hash of the id; the matrix is
-    float32, buckets x languages, the log of add-one smoothed shares.  Priors are
-    uniform."""
+    about ``max_docs`` rows of each language are used, chosen by the hash of the id, so a
+    rare language is learned from all its rows; the matrix is float32, buckets x
+    languages, the log of add-one smoothed shares.  Priors are uniform."""
     labelled = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    total = labelled.count()
-    if total > max_docs:
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages, to which the model is bounded")
+    large = [r for r in sizes if r["n"] > max_docs]
+    if large:
+        # places of 2**20 that a language's sample takes; all of them where it has few rows
+        most = F.create_map(*[F.lit(x) for r in large for x in (r["lang"], int((1 << 20) * max_docs / r["n"]))])
         share = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20))
-        labelled = labelled.filter(share < int((1 << 20) * max_docs / total))
+        labelled = labelled.filter(share < F.coalesce(most[F.col("lang")], F.lit(1 << 20)))
     counted = (labelled.select("text", "lang")
                .mapInArrow(_count_task, "lang string, bucket int, n long")
                .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     table = counted.toPandas()           # languages x buckets rows at most
     languages = sorted(table["lang"].unique())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the model is bounded to {MAX_LANGUAGES}")
     matrix = np.ones((BUCKETS, max(1, len(languages))), np.float64)
     col = table["lang"].map({lang: k for k, lang in enumerate(languages)}).to_numpy()
     if len(table):
@@ -161,10 +164,10 @@ def identify(docs: DataFrame, hold_out: int = 2, folds: int = 4) -> DataFrame:
     return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose language is recognised: not ``und``,
-    and with a posterior of ``min_score`` at least.  Learns from all labelled rows
-    of ``docs``; without any, texts with a letter stay."""
+def identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose language is identified, that is not
+    ``und``; a posterior that is split between languages is no reason to go.  Learns
+    from all labelled rows of ``docs``; without any, texts with a letter stay."""
     languages, matrix = fit(docs.select("doc_id", "text", "lang"))
     shared = docs.sparkSession.sparkContext.broadcast((languages, matrix))
     at = docs.columns.index("text")
@@ -174,8 +177,7 @@ def identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
         for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             if langs:
-                pred, score = score_texts(texts, langs, m)
-                keep = [p != UNDETERMINED and s >= min_score for p, s in zip(pred, score)]
+                keep = [p != UNDETERMINED for p in score_texts(texts, langs, m)[0]]
             else:
                 keep = [t is not None and any(map(str.isalpha, t)) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
