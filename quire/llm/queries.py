@@ -29,7 +29,7 @@ def op4_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudonymised whole texts, with the kinds of the replaced values."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonyms.pseudonymise(docs, report="kinds").withColumn("n_values", F.size("kinds"))
+    return pseudonyms.pseudonymise(docs, pseudonyms.session_key(spark), report="kinds").withColumn("n_values", F.size("kinds"))
 
 
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:

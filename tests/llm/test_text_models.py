@@ -185,12 +185,60 @@ def test_feistel_is_a_permutation(n):
 
 def test_pseudonymise_passes_other_columns(make_docs, edge_rows):
     docs = make_docs(edge_rows + [(50, TEXT, "en", "a")])
-    out = pseudonyms.pseudonymise(docs, report="found")
+    out = pseudonyms.pseudonymise(docs, b"k", report="found")
     assert out.columns == [*docs.columns, "found"]
     rows = out.collect()
     assert len(rows) == len(edge_rows) + 1
     assert sum(r.text is None for r in rows) == 2
     assert all(r.text == t for r, (_, t, *_) in zip(rows, edge_rows))
     with pytest.raises(ValueError):
-        pseudonyms.pseudonymise(docs, report="kinds")
-    assert pseudonyms.pseudonymise(make_docs([])).count() == 0
+        pseudonyms.pseudonymise(docs, b"k", report="kinds")
+    assert pseudonyms.pseudonymise(make_docs([]), b"k").count() == 0
+
+
+LONG_LOCAL = "very.long_" * 30 + "name"
+
+
+@pytest.mark.parametrize("text, kinds", [
+    ("1/2/2020", ["date"]), ("3/14/1999", ["date"]), ("12/31/1999", ["date"]), ("1987-5-6", ["date"]), ("1987-05-06", ["date"]),
+    ("05.06.1987", ["date"]), ("born 5. März 1987 in", ["date"]), ("le 5 mars 1987.", ["date"]), ("el 5 de marzo de 1987", ["date"]),
+    ("March 5, 1987", ["date"]), ("on the 21st October 2014", ["date"]), ("17 OKTOBER 1991", ["date"]), ("may 3 1960", ["date"]),
+    ("0171 1234567", ["phone"]), ("030/12345678", ["phone"]), ("+49 171 1234567", ["phone"]),
+    ("gb82 west 1234 5698 7654 32", ["iban"]), ("de89370400440532013000", ["iban"]), ("DE89 3704 0044 0532 0130 00", ["iban"]),
+    ("2001:db8::ff00:42:8329", ["ip"]), ("2001:0DB8:0000:0000:0000:FF00:0042:8329", ["ip"]), ("at 10.0.0.1", ["ip"]),
+    ("Jane.Doe@Example.COM", ["email"]), (f"{LONG_LOCAL}@x.org", ["email"]), ("x@a.b.c.d.e.f.g.h.i.example.com", ["email"])])
+def test_width_and_case_are_kept_and_the_inverse_is_exact(text, kinds):
+    new, found = pseudonymise_text(text, Feistel(b"k"))
+    assert found == kinds and new != text
+    assert pseudonymise_text(new, Feistel(b"k", inverse=True)) == (text, found)
+    if kinds[0] != "date" or not any(c.isalpha() for c in text):        # months have names of their own lengths
+        shape = lambda t: ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else c for c in t]
+        hexed = kinds == ["ip"]
+        assert [c if not hexed else "x" if c in "dlu" else c for c in shape(new)] == [c if not hexed else "x" if c in "dlu" else c for c in shape(text)] \
+            or "." in text and hexed
+
+
+def test_no_letter_of_a_long_name_stays_in_clear():
+    new = pseudonymise_text(f"{LONG_LOCAL}@x.org", Feistel(b"k"))[0]
+    letters = [(a, b) for a, b in zip(new, LONG_LOCAL) if b.isalpha()]
+    assert sum(a == b for a, b in letters) < 0.2 * len(letters)
+
+
+@pytest.mark.parametrize("text", ["12:30:45", "ratio 3:2", "std::vector", "ab::cd", "0123", "May 40, 1987", "32. März 1987", "de12 abcd", "A: 5"])
+def test_look_alikes_stay(text):
+    assert pseudonymise_text(text, Feistel(b"k")) == (text, [])
+
+
+def test_rare_languages_are_learned(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_TRAIN_DOCS", 20)
+    rows = [(i, "the cat and the dog went to the house " * 3, "en") for i in range(2000)]
+    rows += [(5000 + i, "ghxq wvzk pqrx jxkz wqvx " * 3, "xx") for i in range(3)]
+    languages, _ = langid.fit(make_docs(rows), max_docs=20)
+    assert languages == ["en", "xx"]
+    out = {r.doc_id: r.lang_pred for r in langid.predict(make_docs(rows), langid.fit(make_docs(rows), max_docs=20)).collect()}
+    assert all(out[5000 + i] == "xx" for i in range(3)) and out[0] == "en"
+
+
+def test_split_posteriors_stay(make_docs):
+    rows = [(i, "aaa bbb", "en" if i % 2 else "fr") for i in range(20)] + [(100, "ab", None), (101, "12", None)]
+    assert {r.doc_id for r in langid.identified(make_docs(rows)).collect()} == {*range(20), 100}
