@@ -30,7 +30,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to pseudonyms; ``n_chars`` follows the new text."""
-    replaced = pseudonyms.pseudonymise(docs)
+    replaced = pseudonyms.pseudonymise(docs, pseudonyms.session_key(spark))
     if "n_chars" not in docs.columns:
         return replaced
     length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
