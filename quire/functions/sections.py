@@ -7,16 +7,15 @@ from pyspark.sql import Column, functions as F
 from .text import as_col, py_strip
 
 
+def _quoted(name: str) -> str:
+    return "\\Q" + name.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def section_pattern(name: str) -> str:
     """Heading ``==+ name ==+`` (any level, case-insensitive, not anchored to a
     line start); the body runs to the next heading of any level, sub-headings
     included, or to the end of the text."""
-    quoted = "\\Q" + name.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    return r"(?isuU)==+\s*" + quoted + r"\s*==+(.*?)(?===+[^=]|\z)"
-
-
-def _quoted(name: str) -> str:
-    return "\\Q" + name.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    return r"(?isuU)==+\s*" + _quoted(name) + r"\s*==+(.*?)(?===+[^=]|\z)"
 
 
 def level_pattern(name: str, level: int) -> str:

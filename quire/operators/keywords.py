@@ -7,12 +7,12 @@ kept in a table use :func:`keyword_join`.
 
 from __future__ import annotations
 
-import re
 from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
+from ..functions.matching import class_hits
 from ..functions.text import as_col, keyword_hits
 from ..schemas import region_column
 
@@ -21,72 +21,40 @@ def _class_key(name: str) -> str:
     return name.lower()
 
 
-def _trie_pattern(words: Sequence[str]) -> str:
-    """Regular expression of a word list, longest match first, with common
-    prefixes factored out, so a position is ruled out by its first characters."""
-    def build(items: list[str]) -> str:
-        heads: dict[str, list[str]] = {}
-        for w in items:
-            if w:
-                heads.setdefault(w[0], []).append(w[1:])
-        branches = [re.escape(c) + build(sorted(set(rest))) for c, rest in sorted(heads.items())]
-        if not branches:
-            return ""
-        body = "(?:" + "|".join(branches) + ")"
-        return body + "?" if "" in items else body
-    return build(sorted(set(words)))
-
-
-def scan_counts(lowered, dictionary: Mapping[str, Sequence[str]]) -> dict:
-    """Per-class hit counts from one scan of each lower-cased text.
-
-    A lookahead over the word list finds the longest entry at every position; an
-    entry's own prefixes that are entries too are added from a literal map.  Same
-    counts as :func:`quire.functions.text.keyword_hits` (distinct entries that occur;
-    an entry listed twice counts twice), whatever the dictionary size, in
-    expressions only."""
-    classes = list(dictionary)
-    entries = [(ci, k.lower()) for ci, c in enumerate(classes) for k in dictionary[c]]
-    words = sorted({k for _, k in entries if k})
-    always = [sum(1 for ci, k in entries if ci == n and not k) for n in range(len(classes))]
-    if not words:
-        return {c: F.lit(always[n]) for n, c in enumerate(classes)}
-    numbers: dict[str, list[int]] = {}
-    owner = []
-    for ci, k in entries:
-        if k:
-            numbers.setdefault(k, []).append(len(owner))
-            owner.append(ci)
-    pairs = []
-    for w in words:
-        hit = [n for end in range(1, len(w) + 1) for n in numbers.get(w[:end], [])]
-        pairs += [F.lit(w), F.array(*[F.lit(n) for n in hit])]
-    found = F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"(?=({_trie_pattern(words)}))"), F.lit(1)))
-    ids = F.array_distinct(F.flatten(F.transform(found, lambda w: F.element_at(F.create_map(*pairs), w))))
-    own = [F.array(*[F.lit(n) for n, ci in enumerate(owner) if ci == k]) for k in range(len(classes))]
-    return {c: F.size(F.array_intersect(ids, own[k])) + always[k] if any(ci == k for ci in owner) else F.lit(always[k])
-            for k, c in enumerate(classes)}
-
-
 def keyword_features(df: DataFrame, text_col: str,
                      dictionary: Mapping[str, Sequence[str]] = C.CLASS_KEYWORDS,
                      thresholds: Mapping[str, int] = C.CLASS_THRESHOLDS,
-                     method: str = "filter", keep_input: bool = True) -> DataFrame:
+                     method: str = "filter", keep_input: bool = True, whole_words: bool = False) -> DataFrame:
     """Adds ``{c}_keyword_count``, ``{c}_keyword_binary`` (count >= threshold) for
     each class and ``{c}_keyword_ratio`` = count / max(total, 1).
 
-    ``method``: "filter" / "sum" (one scan of the text per keyword; the default) or
-    "scan" (one scan per text whatever the dictionary size)."""
+    ``method``: "filter" / "sum" (one scan of the text per keyword, expressions only;
+    the default) or "scan" (one pass over each text whatever the dictionary size:
+    :mod:`..functions.matching`).  ``whole_words`` (with "scan") wants no letter, digit or
+    underscore beside an occurrence."""
+    if whole_words and method != "scan":
+        raise ValueError("whole words are found by method='scan'")
     classes = list(dictionary)
     base = df.columns if keep_input else []
     low = F.lower(F.coalesce(as_col(text_col), F.lit("")))
     # Counts are computed once in their own projection; binaries and ratios read them.
     lowered = df.withColumn("_low", low)
     if method == "scan":
-        counts = scan_counts(F.col("_low"), dictionary)
+        lowered = lowered.withColumn("_hits", class_hits(F.col("_low"), dictionary, whole_words)).drop("_low")
+        counts = {c: F.get("_hits", i) for i, c in enumerate(classes)}
     else:
         counts = {c: keyword_hits(F.col("_low"), dictionary[c], method) for c in classes}
     counted = lowered.select(*base, *[counts[c].alias(f"{_class_key(c)}_keyword_count") for c in classes])
+    return _with_shares(counted, classes, thresholds, base)
+
+
+def features_from_hits(df: DataFrame, hits_col: str, classes: Sequence[str], thresholds: Mapping[str, int], keep: Sequence[str]) -> DataFrame:
+    """The columns of :func:`keyword_features` from an array of hits per class."""
+    counted = df.select(*keep, *[F.get(hits_col, i).alias(f"{_class_key(c)}_keyword_count") for i, c in enumerate(classes)])
+    return _with_shares(counted, classes, thresholds, keep)
+
+
+def _with_shares(counted: DataFrame, classes: Sequence[str], thresholds: Mapping[str, int], keep: Sequence[str]) -> DataFrame:
     total = None
     for c in classes:
         term = F.col(f"{_class_key(c)}_keyword_count")
@@ -100,7 +68,7 @@ def keyword_features(df: DataFrame, text_col: str,
                    .alias(f"{k}_keyword_binary"))
     ratios = [(F.col(f"{_class_key(c)}_keyword_count").cast("double") / total).alias(f"{_class_key(c)}_keyword_ratio")
               for c in classes]
-    return counted.select(*base, *out, *ratios)
+    return counted.select(*keep, *out, *ratios)
 
 
 def price_tier_expr(text, low_dict: Sequence[str] = C.BUDGET_KEYWORDS,
@@ -109,9 +77,12 @@ def price_tier_expr(text, low_dict: Sequence[str] = C.BUDGET_KEYWORDS,
     low > high and low >= 2 → 1; otherwise 2."""
     t = as_col(text)
     low = F.lower(t)
-    lo = keyword_hits(low, low_dict, method)
-    hi = keyword_hits(low, high_dict, method)
-    return (F.when(t.isNull() | (t == ""), F.lit(2))
+    return tier_of(t, keyword_hits(low, low_dict, method), keyword_hits(low, high_dict, method))
+
+
+def tier_of(text, lo, hi):
+    """The tier from the hits of the two dictionaries."""
+    return (F.when(text.isNull() | (text == ""), F.lit(2))
             .when((hi > lo) & (hi >= 2), F.lit(3))
             .when((lo > hi) & (lo >= 2), F.lit(1))
             .otherwise(F.lit(2)))
@@ -145,32 +116,33 @@ def keyword_table(spark, dictionary: Mapping[str, Sequence[str]] = C.CLASS_KEYWO
     return spark.createDataFrame(rows, "cls string, kw string, kw_ord int")
 
 
-GRAM = 3
+#: keywords of a table that are looked for in one pass over the texts
+PASS_KEYWORDS = 200_000
 
 
 def keyword_join(df: DataFrame, key: str, text_col: str, keywords: DataFrame,
-                 classes: Sequence[str] | None = None) -> DataFrame:
+                 classes: Sequence[str] | None = None, whole_words: bool = False) -> DataFrame:
     """Join ``lower(text) contains kw`` against a keyword table of any size, counted
-    per (key, cls).  Every key gets a row per class (zero when nothing hits).
+    per (key, cls).  Every row gets a row per class (zero when nothing hits).
 
-    An equi-join: each text gives its distinct three-character pieces, each keyword
-    the piece it begins with (shorter keywords: itself, against the text's pieces
-    of that length).  Only keys and pieces meet the keywords; the few candidates are
-    verified on the text with ``contains`` and counted per key and class."""
-    kw = keywords.select("cls", "kw").withColumn("_g", F.substring("kw", 1, GRAM))
-    low = df.select(F.col(key), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low"))
+    Texts stay where they are: the table is cut by hash into parts of about
+    ``PASS_KEYWORDS`` rows, each of which goes to the tasks for one pass over the texts,
+    and the passes' counts are added inside the row."""
+    kw = keywords.select("cls", F.lower("kw").alias("kw"))
     if classes is None:
         classes = [r["cls"] for r in kw.select("cls").distinct().orderBy("cls").collect()]     # the class list
-    sizes = [r[0] for r in kw.select(F.length("_g")).distinct().collect()]                     # 1 to GRAM
-    # a lookahead gives the piece at every position in one pass over the text
-    pieces = [F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes or [GRAM]]
-    grams = low.select(key, F.explode(F.array_distinct(F.concat(*pieces))).alias("_g"))
-    candidates = grams.join(kw, "_g").select(key, "cls", "kw")
-    hits = (candidates.join(low, key).filter(F.contains(F.col("_low"), F.col("kw")))
-            .groupBy(key, "cls").agg(F.count(F.lit(1)).alias("hits")))
-    grid = df.select(key, F.explode(F.array(*[F.lit(c) for c in classes])).alias("cls"))
-    return (grid.join(hits, [key, "cls"], "left")
-            .select(key, "cls", F.coalesce(F.col("hits"), F.lit(0)).cast("long").alias("hits")))
+    parts = max(1, -(-kw.count() // PASS_KEYWORDS))
+    part = F.pmod(F.xxhash64("cls", "kw"), F.lit(parts))
+    low = df.select(F.col(key), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low"))
+    total = None
+    for p in range(parts):
+        rows = (kw if parts == 1 else kw.filter(part == p)).toPandas()          # about PASS_KEYWORDS rows
+        own = {c: rows.loc[rows["cls"] == c, "kw"].tolist() for c in classes}
+        hits = class_hits(F.col("_low"), own, whole_words)
+        total = hits if total is None else F.zip_with(total, hits, lambda x, y: x + y)
+    counted = low.select(key, total.alias("_hits"))
+    named = F.arrays_zip(F.array(*[F.lit(c) for c in classes]).alias("cls"), F.col("_hits").alias("hits"))
+    return counted.select(key, F.explode(named).alias("_h")).select(key, F.col("_h.cls").alias("cls"), F.col("_h.hits").cast("long").alias("hits"))
 
 
 def keyword_counts(df: DataFrame, key: str, text_col: str, dictionary: Mapping[str, Sequence[str]]) -> DataFrame:

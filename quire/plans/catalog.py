@@ -143,15 +143,35 @@ def q_keyword_features_scan(spark, root):
     return _keyword_out(f, ["doc_id"])
 
 
+# --- SCL-1 with whole words only ---
+WORD_DICT = {"Alpha": ["the", "of", "and the"], "Beta": ["der", "die", "und"], "Gamma": ["les", "la", "de la"]}
+
+
+def _sql_whole_hits(kws) -> str:
+    return " + ".join(f"CAST(regexp_matches(lower(coalesce(text, '')), '(^|[^\\pL\\pN_]){k}([^\\pL\\pN_]|$)') AS BIGINT)" for k in kws)
+
+
+@register("keyword_features_words", "SELECT doc_id, " + ", ".join(
+    f"{_sql_whole_hits(kws)} AS {c.lower()}_keyword_count" for c, kws in WORD_DICT.items()) + " FROM documents")
+def q_keyword_features_words(spark, root):
+    """Keywords and phrases that stand apart from other words."""
+    docs = t(spark, root, "documents").select("doc_id", "text")
+    f = KW.keyword_features(docs, "text", WORD_DICT, {}, method="scan", whole_words=True)
+    return f.select("doc_id", *[F.col(f"{c.lower()}_keyword_count").cast("long") for c in WORD_DICT])
+
+
 # --- SCL-1..4 with the original's own dictionaries, thresholds and tier lists ---
 @register("travel_keyword_features", f"""
 SELECT doc_id, {sql_keyword_cols('text', C.CLASS_KEYWORDS, C.CLASS_THRESHOLDS)},
   {sql_tier('text', C.BUDGET_KEYWORDS, C.LUXURY_KEYWORDS)} AS price_tier FROM documents""")
 def q_travel_keyword_features(spark, root):
-    # ~200 keywords over whole texts: one scan per text instead of one per keyword
+    # ~200 keywords over whole texts: one pass per text instead of one per keyword, the tier's lists included
     docs = t(spark, root, "documents").select("doc_id", "text")
-    f = KW.keyword_features(docs, "text", C.CLASS_KEYWORDS, C.CLASS_THRESHOLDS, method="scan")
-    f = f.withColumn("price_tier", KW.price_tier_expr(F.col("text")).cast("long"))
+    lists = {**C.CLASS_KEYWORDS, "_low_list": C.BUDGET_KEYWORDS, "_high_list": C.LUXURY_KEYWORDS}
+    hits = docs.withColumn("_hits", KW.class_hits(F.lower(F.coalesce("text", F.lit(""))), lists))
+    n = len(C.CLASS_KEYWORDS)
+    f = KW.features_from_hits(hits, "_hits", list(C.CLASS_KEYWORDS), C.CLASS_THRESHOLDS, ["doc_id", "text", "_hits"])
+    f = f.withColumn("price_tier", KW.tier_of(F.col("text"), F.get("_hits", n), F.get("_hits", n + 1)).cast("long"))
     cols = ["doc_id"]
     for c in C.CLASS_KEYWORDS:
         k = c.lower()
@@ -218,7 +238,7 @@ def q_keyword_join(spark, root):
 
 @register("keyword_table_join", SQL_KEYWORD_HITS)
 def q_keyword_table_join(spark, root):
-    """The dictionary as a table: equi-join on the keywords' first characters."""
+    """The dictionary as a table: a pass over the texts for each part of it."""
     docs = t(spark, root, "documents").select("doc_id", "text")
     return KW.keyword_join(docs, "doc_id", "text", KW.keyword_table(spark, DOC_DICT), classes=list(DOC_DICT))
 
@@ -233,15 +253,16 @@ def q_section_extract(spark, root):
 
 # --- SCL-6: sections with their sub-sections ---
 @register("section_with_subsections", f"""
-WITH d0 AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+WITH d0 AS (SELECT doc_id, string_split(replace(coalesce(text, ''), '=', '&#61;'), chr(10)) AS l FROM documents)
 SELECT doc_id, md5({Q.strip("""array_to_string(list_filter(l, lambda x, i: (i - 1) % 2 = 0), chr(10)) || chr(10) || '=' || '==More===' || chr(10)
   || array_to_string(list_filter(l, lambda x, i: (i - 1) % 2 = 1), chr(10)) || chr(10)""")}) AS body_md5
-FROM d0 WHERE NOT contains(array_to_string(l, chr(10)), '==')""")
+FROM d0""")
 def q_section_with_subsections(spark, root):
-    """A section that has a sub-heading, read to the end of its sub-section."""
+    """A section that has a sub-heading, read to the end of its sub-section; equals
+    signs of the text are escaped as markup does, so no line of it is a heading."""
     from ..functions.sections import extract_section
-    docs = t(spark, root, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    docs = docs.filter(~F.contains(F.col("text"), F.lit("==")))
+    docs = t(spark, root, "documents").select(
+        "doc_id", F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("="), F.lit("&#61;")).alias("text"))
     arr = F.split("text", "\n")
     w = F.concat(F.lit("intro\n==Do==\n"), F.array_join(F.filter(arr, lambda x, i: i % 2 == 0), "\n"), F.lit("\n===More===\n"),
                  F.array_join(F.filter(arr, lambda x, i: i % 2 == 1), "\n"), F.lit("\n==Sleep==\nend"))
@@ -1225,7 +1246,10 @@ def _answer_index(spark, root):
     from .index import build_index
     enc = HashingEncoder(C.EMBEDDING_DIM)
     ents, arts = _index_inputs(spark, root)
-    return build_index(ents, arts, enc, key="cache_key")["index"], enc
+    # encoded and written once; search, encoder check and text lookup read the table
+    path = _scratch(spark, "answer-index")
+    build_index(ents, arts, enc, key="cache_key")["index"].write.parquet(path)
+    return spark.read.parquet(path), enc
 
 
 def batch_answers(spark, root) -> tuple[DataFrame, DataFrame]:
@@ -1303,12 +1327,10 @@ def stream_answers(spark, root):
     from ..streaming.incremental import answer_stream, read_output
     base = _scratch(spark, "stream-answers")
     index, enc = _answer_index(spark, root)
-    path = os.path.join(base, "index")
-    index.write.parquet(path)
     req = _requests(spark, root)
     src, responses, rejects, runs = (os.path.join(base, x) for x in ("requests", "responses", "rejects", "runs"))
     req.write.mode("overwrite").parquet(src)
-    answer_stream(spark, src, req.schema, spark.read.parquet(path), enc, _lang_model(spark, root), responses, runs,
+    answer_stream(spark, src, req.schema, index, enc, _lang_model(spark, root), responses, runs,
                   os.path.join(base, "ckpt"), rejects_path=rejects,
                   dictionary=LANG_DICT, thresholds=LANG_THRESHOLDS, regions=[], unique_chunks=False)
     return read_output(spark, responses), read_output(spark, rejects), read_output(spark, runs)
@@ -1502,11 +1524,8 @@ def q_index_incremental(spark, root):
 def q_sanity_queries(spark, root):
     """The fixed retrieval queries against an index of all documents: top 3 each,
     in descending similarity."""
-    from ..operators.encode import HashingEncoder
-    from .index import build_index
-    enc = HashingEncoder(C.EMBEDDING_DIM)
-    ents, arts = _index_inputs(spark, root)
-    index = build_index(ents, arts, enc, key="cache_key")["index"].select("chunk_id", "embedding", "encoder_id")
+    index, enc = _answer_index(spark, root)
+    index = index.select("chunk_id", "embedding", "encoder_id")
     q = spark.createDataFrame([(i, x) for i, x in enumerate(C.SANITY_QUERIES)], "query_id int, query string")
     hits = S.search_text(q, index, enc, k=C.SANITY_TOP_K, min_similarity=None, carry=["chunk_id"], tie=["chunk_id"], round_to=None)
     by = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"),

@@ -1,3 +1,4 @@
+import pytest
 """Keyword features: cases carried over from the original unit tests."""
 
 from pyspark.sql import functions as F
@@ -138,3 +139,35 @@ def test_scan_equals_one_scan_per_keyword(spark):
     r = keyword_features(spark.createDataFrame([(1, "AB")], "id int, text string"), "text", dup,
                          {"X": 1, "Y": 1}, method="scan").first()
     assert r["x_keyword_count"] == 3 and r["y_keyword_count"] == 1
+
+
+def test_large_dictionary_equals_brute_force(spark, monkeypatch):
+    """100,000 entries in a table that takes several passes."""
+    import random
+    from quire.operators import keywords as KW
+    rng = random.Random(1)
+    letters = "abcdefgh é-"
+    entries = sorted({"".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(130_000)})[:100_000]
+    table = [(["A", "B", "C"][i % 3], w) for i, w in enumerate(entries)] + [("A", ""), ("B", entries[5].upper())]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 200))) for _ in range(25)] + [None, "", "\x00a b", "ABC é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = {}
+    for i, text in enumerate(texts):
+        low = (text or "").lower()
+        parts = {low[a:a + n] for n in range(0, 10) for a in range(len(low) + 1)}
+        for c in "ABC":
+            want[i, c] = sum(w.lower() in parts for k, w in table if k == c)
+    monkeypatch.setattr(KW, "PASS_KEYWORDS", 60_000)
+    got = keyword_join(df, "id", "text", spark.createDataFrame(table, "cls string, kw string"), classes=["A", "B", "C"])
+    assert {(r.id, r.cls): r.hits for r in got.collect()} == want
+
+
+def test_words_stand_apart(spark):
+    rows = [(1, "space spa-like SPA"), (2, "a spaß"), (3, "the spa"), (4, "spa_1 the  spa day"), (5, "the spa day."), (6, None)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    d = {"X": ["spa"], "Y": ["spa day", "the spa"]}
+    f = {r.id: (r.x_keyword_count, r.y_keyword_count) for r in
+         keyword_features(df, "text", d, {}, method="scan", whole_words=True).collect()}
+    assert f == {1: (1, 0), 2: (0, 0), 3: (1, 1), 4: (1, 1), 5: (1, 2), 6: (0, 0)}
+    with pytest.raises(ValueError):
+        keyword_features(df, "text", d, {}, whole_words=True)
