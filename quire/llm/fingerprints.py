@@ -73,7 +73,7 @@ def written(sketch: Column) -> Column:
 
 
 KEY = ["doc", "t1", "t2"]
-#: equal rows that one task writes out
+#: equal rows that come out of one row of the join
 COPIES = 1 << 16
 
 
@@ -116,37 +116,31 @@ def compare_with_edits(docs: DataFrame, fraction: float = FRACTION) -> DataFrame
     are shuffled once by that key and the borrowed halves once."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = keyed(docs)
-    order = cut(ordered_rows(base.select("doc_id", *KEY, "n_chars").distinct(), partitions))
-    here = order.select(*[F.col(k).alias(f"to_{k}") for k in KEY], F.floor(F.col("n_chars") / 2).cast("int").alias("take"),
-                        ((F.col("pos") + 1) % F.col("total")).alias("next_pos"))
-    links = here.join(order.select(*[F.col(k).alias(f"from_{k}") for k in KEY], F.col("pos").alias("next_pos")), "next_pos").drop("next_pos")
+    narrow = base.select("doc_id", *KEY, "n_chars").groupBy("doc_id", *KEY, "n_chars").agg(F.count(F.lit(1)).alias("copies"))
+    order = cut(ordered_rows(narrow, partitions))
+    to = [*[F.col(k).alias(f"to_{k}") for k in KEY], "doc_id", "n_chars"]
+    of = [F.col(k).alias(f"from_{k}") for k in KEY]
+    here = order.select(*to, ((F.col("pos") + 1) % F.col("total")).alias("next_pos"))
+    following = here.join(order.select(*of, F.col("pos").alias("next_pos")), "next_pos").drop("next_pos").withColumn("times", F.lit(1).cast("long"))
+    # all but one of equal rows have a copy of themselves as next document; a very large
+    # group of them comes in parts
+    again = order.filter(F.col("copies") > 1).withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 2) / COPIES))))
+    again = again.select(*to, *of, F.least(F.col("copies") - 1 - F.col("part") * COPIES, F.lit(COPIES)).cast("long").alias("times"))
+    links = following.unionByName(again).withColumn("take", F.floor(F.col("n_chars") / 2).cast("int"))
     # both joins read the same columns by the same key, so one exchange serves both
-    prints = with_fingerprint(base, "text", "fp", fraction)
-    own = prints.groupBy(*KEY).agg(F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.first("text").alias("text"),
-                                   F.first("fp").alias("fp"), F.count(F.lit(1)).alias("copies"))
-    lent = own.select(*KEY, "text", "fp").join(links, [own[k] == links[f"from_{k}"] for k in KEY]).select(
-        *[f"to_{k}" for k in KEY], F.col("fp").alias("next_fp"), F.substring("text", F.lit(1), F.col("take")).alias("lent"))
+    own = with_fingerprint(base.select(*KEY, "text"), "text", "fp", fraction).groupBy(*KEY).agg(F.first("text").alias("text"), F.first("fp").alias("fp"))
+    lent = own.join(links, [own[k] == links[f"from_{k}"] for k in KEY]).select(
+        *[f"to_{k}" for k in KEY], "doc_id", "n_chars", "take", "times", F.col("fp").alias("next_fp"),
+        F.substring("text", F.lit(1), F.col("take")).alias("lent"))
     both = own.join(lent, [own[k] == lent[f"to_{k}"] for k in KEY])
-    take = F.floor(F.col("n_chars") / 2).cast("int")
-    columns = ["doc_id", "n_chars", "copies", "text", "fp"]
-    next_one = both.select(*columns, "next_fp", "lent", F.lit(1).cast("long").alias("times"))
-    # all but one of equal rows have a copy of themselves as next document
-    again = own.filter(F.col("copies") > 1).select(*columns, F.col("fp").alias("next_fp"), F.substring("text", F.lit(1), take).alias("lent"),
-                                                   (F.col("copies") - 1).alias("times"))
-
-    def compared(rows):
-        rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - take).cast("int")), "lent"))
-        rows = with_fingerprint(rows.drop("text", "lent"), "edited", "edited_fp", fraction)
-        return rows.select(
-            "times", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written(F.col("fp")).alias("fingerprint"),
-            written(F.col("edited_fp")).alias("edited_fingerprint"),
-            resemblance(F.col("fp"), F.col("edited_fp"), fraction).alias("near_edited"),
-            resemblance(F.col("fp"), F.col("next_fp"), fraction).alias("near_next"),
-            containment(F.col("fp"), F.col("edited_fp"), fraction).alias("contained_in_edited"),
-            containment(F.col("fp"), F.col("next_fp"), fraction).alias("contained_in_next"))
-
-    copies = compared(again).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / COPIES))))
-    copies = copies.repartition("doc_id", "part")         # a very large group of equal rows is written by several tasks
-    size = F.least(F.col("times") - F.col("part") * COPIES, F.lit(COPIES)).cast("int")
-    copies = copies.withColumn("_", F.explode(F.array_repeat(F.lit(0), size)))
-    return compared(next_one).drop("times").unionByName(copies.drop("times", "part", "_"))
+    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("take")).cast("int")), "lent"))
+    both = with_fingerprint(both.select("doc_id", "n_chars", "times", "fp", "next_fp", "edited"), "edited", "edited_fp", fraction)
+    rows = both.select(
+        "times", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written(F.col("fp")).alias("fingerprint"),
+        written(F.col("edited_fp")).alias("edited_fingerprint"),
+        resemblance(F.col("fp"), F.col("edited_fp"), fraction).alias("near_edited"),
+        resemblance(F.col("fp"), F.col("next_fp"), fraction).alias("near_next"),
+        containment(F.col("fp"), F.col("edited_fp"), fraction).alias("contained_in_edited"),
+        containment(F.col("fp"), F.col("next_fp"), fraction).alias("contained_in_next"))
+    return rows.withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).drop("times")
