@@ -244,3 +244,18 @@ def test_split_keeps_null_labels_and_keys(spark):
     assert out.count() == 101 and out.filter("label IS NULL").count() == 20
     assert SP.stratified_split(df, "label", "id").count() == 101
     assert SP.stratified_folds(df, "label", "id").count() == 101
+
+
+def test_search_copies_no_vector_for_other_blocks(spark):
+    """Blocks meet in a product: neither side is copied for every block or cell of the
+    other, and many small blocks give the rows of one."""
+    x, q = clustered(900, 8, 9, 5), clustered(70, 8, 9, 6)
+    x[50:90], x[300] = x[4], 0
+    idx = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>").repartition(4)
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, embedding array<float>")
+    want = brute(q.astype(np.float64), x.astype(np.float64), list(range(70)), list(range(900)), 4, 0.1)
+    for pivots in (1, 12):
+        found = search(qs, idx, k=4, min_similarity=0.1, carry=["id"], query_block_rows=9, index_block_rows=40, pivots=pivots)
+        plan = found._jdf.queryExecution().toString()
+        assert "CartesianProduct" in plan and "CoGroup" not in plan
+        assert {(r.query_id, r.rank, r.id, r.similarity) for r in found.collect()} == want
